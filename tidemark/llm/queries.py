@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import urls
+from tidemark.llm import decontam, urls
 
 #: The rules of op1: fixed values.
 URL_RULES = [
@@ -29,10 +29,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontam.decontaminate(docs, _read(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return judged.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_decontaminate": op2_decontaminate,
 }
 
+#: The words of op2: fixed values.
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL: dict[str, str] = {
@@ -54,4 +64,27 @@ ORACLE_SQL: dict[str, str] = {
                 WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)), 'allow') AS verdict
         FROM parts
     """,
+    "op2_decontaminate": rf"""
+        WITH doc AS (
+            SELECT row_number() OVER () AS k, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents
+        ), item AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM benchmark
+        ), win AS (
+            SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + 9], ' ') AS g
+            FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM item WHERE len(w) > 0)
+        ), sizes AS (SELECT DISTINCT n FROM win
+        ), grams AS (
+            SELECT k, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+            FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, sizes)
+        ), hit AS (SELECT k, grams.n AS n, i, item_id FROM grams JOIN win ON grams.g = win.g AND grams.n = win.n
+        ), cover AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM hit) GROUP BY k
+        ), held AS (
+            SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+            FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY k
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN cover USING (k) LEFT JOIN held USING (k)
+    """,
 }
