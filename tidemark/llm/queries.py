@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, urls
+from tidemark.llm import chat, decontam, urls
 
 #: The rules of op1: fixed values.
 URL_RULES = [
@@ -36,9 +36,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated")
 
 
+def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
+    "op10_perspectives": op10_perspectives,
 }
 
 #: The words of op2: fixed values.
@@ -87,4 +92,22 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN cover USING (k) LEFT JOIN held USING (k)
     """,
+    "op10_perspectives": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS speech
+            FROM conversations
+        ), who AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM said WHERE speaker <> 'system'
+        ), seen AS (
+            SELECT conv_id, perspective, turn, speech, speaker = perspective AS train,
+                   CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+                   CASE WHEN speaker NOT IN (perspective, 'system') THEN replace(speaker, '<|', '< |') END AS name
+            FROM said JOIN who ON conv_id IS NOT DISTINCT FROM c
+        ), cut AS (
+            SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head,
+                   speech || '<|im_end|>' || chr(10) AS body FROM seen
+        )
+        SELECT conv_id, perspective, turn, role, name, head || body AS rendered, length(head) AS start,
+               CASE WHEN train THEN length(head) + length(body) ELSE length(head) END AS "end", train
+        FROM cut
+    """,
 }
