@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, urls
+from tidemark.llm import chat, decontam, quality, urls
 
 #: The rules of op1: fixed values.
 URL_RULES = [
@@ -36,6 +36,16 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.learn(docs, _read(spark, sf_dir, "labels")))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.apply_rules(docs, quality.learn(docs, _read(spark, sf_dir, "labels"), monotone=quality.constraints()))
+
+
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(_read(spark, sf_dir, "conversations"))
 
@@ -43,6 +53,8 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality": op3_quality,
+    "op7_quality_rules": op7_quality_rules,
     "op10_perspectives": op10_perspectives,
 }
 
