@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import map_column
+
 #: Exact counts of a text, in the order of ``counts``.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: What models see, in the order of ``features``: ratios and log sizes, never ids, labels, lang or source.
@@ -95,18 +94,12 @@ def measured(rows: DataFrame, text: str, kept: list[str], finish, schema: str) -
     ``finish`` gets two numpy matrices and returns a dict of columns; ``schema`` is their DDL. Rows
     stay in their partitions, and a batch is all that a task holds at once.
     """
-    keep = rows.select(*kept).schema
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [schema])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = np.zeros((batch.num_rows, len(COUNTS)), np.int64)
-            features = np.zeros((batch.num_rows, len(FEATURES)))
-            for i, value in enumerate(batch.column(batch.num_columns - 1)):
-                counts[i], features[i] = measure(value.as_py())
-            made = finish(counts, features)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *map(pa.array, made.values())], names=[*batch.schema.names[:-1], *made]
-            )
-
-    return rows.select(*kept, F.col(text).cast("binary").alias("__text")).mapInArrow(work, ddl)
+
+    def make(texts: list[bytes | None]) -> dict:
+        counts = np.zeros((len(texts), len(COUNTS)), np.int64)
+        features = np.zeros((len(texts), len(FEATURES)))
+        for i, value in enumerate(texts):
+            counts[i], features[i] = measure(value)
+        return finish(counts, features)
+
+    return map_column(rows, kept, F.col(text).cast("binary"), make, schema)

@@ -13,9 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import map_column
+
 #: n-grams of one to three characters; so many make a profile.
 LONGEST, RANKS = 3, 400
 #: At most about so many documents of each language are learnt from; of a language with fewer, all.
@@ -151,13 +154,11 @@ def identify(docs: DataFrame, profiles: Profiles, doc_id: str = "doc_id", text:
     columns are ignored.
     """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            said = [profiles.guess(t) for t in batch["body"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [s[0] for s in said], "score": [s[1] for s in said]})
+    def make(texts: list[str | None]) -> dict:
+        said = [profiles.guess(t) for t in texts]
+        return {"lang_pred": pa.array([s[0] for s in said], pa.string()), "score": pa.array([s[1] for s in said], pa.float64())}
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInPandas(work, f"doc_id {kind}, lang_pred string, score double")
+    found = map_column(rows, ["doc_id"], F.col("body"), make, "lang_pred string, score double")
     held = F.coalesce(id_remainder(F.col("doc_id")) == 2, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

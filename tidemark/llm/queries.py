@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, langid, quality, urls
+from tidemark.llm import chat, decontam, html_text, langid, quality, urls
 
 #: The rules of op1: fixed values.
 URL_RULES = [
@@ -41,6 +41,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.learn(docs, _read(spark, sf_dir, "labels")))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"), kept=["page_id", "url"])
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs, langid.learn(docs))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
+    "op4_html_text": op4_html_text,
     "op6_language": op6_language,
     "op7_quality_rules": op7_quality_rules,
     "op10_perspectives": op10_perspectives,
