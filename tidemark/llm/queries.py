@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, html_text, langid, quality, urls
+from tidemark.llm import chat, decontam, html_text, langid, quality, urls, warc
 
 #: The rules of op1: fixed values.
 URL_RULES = [
@@ -55,6 +55,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(docs, quality.learn(docs, _read(spark, sf_dir, "labels"), monotone=quality.constraints()))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(_read(spark, sf_dir, "pages"))
+    return warc.read_archive(archive).select(
+        F.col("record_key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(_read(spark, sf_dir, "conversations"))
 
@@ -66,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op6_language": op6_language,
     "op7_quality_rules": op7_quality_rules,
+    "op8_warc": op8_warc,
     "op10_perspectives": op10_perspectives,
 }
 
