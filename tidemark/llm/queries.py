@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, html_text, langid, quality, urls, warc
+from tidemark.llm import chat, decontam, html_text, langid, packing, quality, urls, warc
 
 #: The rules of op1: fixed values.
 URL_RULES = [
@@ -66,6 +66,19 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed tokenizer file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack(packing.tokenize(docs, tokenizer_path()))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(_read(spark, sf_dir, "conversations"))
 
@@ -78,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
+    "op9_packing": op9_packing,
     "op10_perspectives": op10_perspectives,
 }
 
