@@ -8,9 +8,9 @@ that each join a bounded number of partitions, until one partition is left.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,65 +22,63 @@ from tidemark.llm.storage import stored
 #: Open windows of each partition, and partitions whose left-over windows one task merges.
 OPEN_WINDOWS, MERGED_PARTITIONS = 32, 16
 #: Entries of a worker's cache of chunk encodings, and characters of the longest chunk kept there.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 500_000, 48
 #: What every tokenizer treats as white space between chunks that it encodes each on its own.
 _BLANKS = re.compile(r"[ \t\n\r]+")
 #: White space that may be read in more than one way: such texts are encoded whole.
-_ODD_BLANKS = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    """Ids of whole texts from a tokenizer that drops white space and never joins across it.
+    """Ids of whole texts, as little-endian 32-bit integers, from a tokenizer that drops white space.
 
-    Each distinct chunk between blanks is encoded once and remembered, up to ``CACHE_CHUNKS``
-    chunks; the ids of a text are those of its chunks in order. That gives the ids of encoding the
-    whole text, which ``chunked`` verifies for the tokenizer at hand on a probe before it is relied on.
+    Such a tokenizer never joins what white space parts. Each distinct chunk between blanks is encoded
+    once and remembered, and the ids of a text are those of its chunks in order. Full, the cache
+    starts anew. A probe decides whether the tokenizer at hand is of that kind; if not, and for texts
+    with odd white space, whole texts are encoded.
     """
 
     #: Blanks, marks, letters, digits and combining characters next to white space.
-    PROBE = "It's  A\tprobe:\n'tis é ́x 12 3.4\r\n\nÉtÉ ... a'b 's &amp; ΣΣ 中文 <|x|> #*$%& "
+    PROBE = "It's  A\tprobe:\n'tis \u00e9 \u0301x 12 3.4\r\n\n\u00c9t\u00c9 ... a'b 's &amp; \u03a3\u03a3 \u4e2d\u6587 <|x|> #*$%& "
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding(), self.tokenizer.no_truncation()
-        self.cache: dict[str, list[int]] = {}
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.cache: dict[str, bytes] = {}
         self.chunked = True
-        self.chunked = self.encode([self.PROBE])[0].tolist() == self._whole([self.PROBE])[0]
+        self.chunked = self.encode([self.PROBE]) == self._whole([self.PROBE])
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.chunked or _ODD_BLANKS.search(t)]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [_BLANKS.split(t) if self.chunked and not _ODD_BLANKS.search(t) else None for t in texts]
+        cache = self.cache
+        if len(cache) > CACHE_CHUNKS:
+            cache.clear()
+        cache[""] = b""
+        missing = list({c for chunks in split if chunks for c in chunks if c not in cache})
+        known = cache if len(missing) < CACHE_CHUNKS else dict(cache)
+        for at in range(0, len(missing), 2_000):
+            part = missing[at : at + 2_000]
+            known.update(zip(part, self._whole(part), strict=True))
+        get = known.__getitem__
+        out = [b"".join(map(get, chunks)) if chunks else b"" for chunks in split]
+        whole = [i for i, chunks in enumerate(split) if chunks is None]
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = np.array(ids, np.uint32)
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                out[i] = self._chunks(text)
+            out[i] = ids
+        for c in missing:
+            if len(c) > CACHE_CHARS:
+                known.pop(c, None)
         return out
 
-    def _chunks(self, text: str) -> np.ndarray:
-        chunks = [c for c in _BLANKS.split(text) if c]
-        cache = self.cache
-        missing = [c for c in set(chunks) if c not in cache]
-        extra: dict[str, list[int]] = {}
-        if missing:
-            for c, ids in zip(missing, self._whole(missing), strict=True):
-                if len(c) <= CACHE_CHARS and len(cache) < CACHE_CHUNKS:
-                    cache[c] = ids
-                else:
-                    extra[c] = ids
-        if extra:
-            found = [extra[c] if c in extra else cache[c] for c in chunks]
-        else:
-            found = [cache[c] for c in chunks]
-        return np.fromiter(chain.from_iterable(found), np.uint32)
-
 
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder of the tokenizer file at ``path``, loaded once per process."""
@@ -93,14 +91,14 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str = "do
     """doc_id and ids of every document row: its tokens as little-endian 32-bit integers, then ``end_id``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    last = np.array([end_id], "<u4")
+    last = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [np.concatenate((x, last)).astype("<u4").tobytes() for x in known.encode(part.column(1).to_pylist())]
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                ids = [x + last for x in known.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return rows.mapInArrow(work, f"doc_id {kind}, ids binary")
