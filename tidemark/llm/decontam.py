@@ -84,7 +84,7 @@ def build_index(
 def _ranked(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     """Phrases with their terms in order of rarity: ranked is an array of (df, offset, term), first offsets only."""
     each = (
-        wanted.withColumn("phrase", F.sha2(F.concat_ws(" ", "words"), 256))
+        wanted.withColumn("phrase", F.xxhash64(F.concat_ws(" ", "words")))  # tells an item's windows apart
         .select("item", "phrase", "words", F.posexplode("words").alias("offset", "term"))
         .join(small(counts), "term")
         .groupBy("item", "phrase", "term")
@@ -134,7 +134,7 @@ def find_phrases(index: DataFrame, ranked: DataFrame) -> DataFrame:
     first = first.select("doc", "mark", "item", "phrase", "start", n.alias("n"), "term2")
     second = _lists(index, asked, "term2", "offset2", []).withColumnRenamed("doc", "doc2").withColumnRenamed("mark", "mark2")
     met = first.where(F.col("term2").isNotNull()).join(
-        second.distinct(),
+        second,
         F.col("doc").eqNullSafe(F.col("doc2"))
         & (F.col("mark") == F.col("mark2"))
         & (first["item"].eqNullSafe(second["item"]))
