@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, html_text, langid, packing, quality, urls, warc
+from tidemark.llm import chat, decontam, html_text, jaccard, langid, packing, quality, urls, warc
 
 #: The rules of op1: fixed values.
 URL_RULES = [
@@ -45,6 +45,11 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"), kept=["page_id", "url"])
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_classes(docs).select("doc_id", "class_id", "copy_of", "n_copies", "n_links")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs, langid.learn(docs))
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_html_text": op4_html_text,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_language": op6_language,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
