@@ -184,6 +184,17 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, start, add, lambda state: state["total"])
 
 
+def _search(docs: DataFrame, items: DataFrame, window: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(index, occurrences) of all windows of the items in the whole corpus."""
+    wanted = stored(phrases(items, window).select("item", "words"), "windows")
+    terms = stored(wanted.select(F.explode("words").alias("term")).distinct(), "item-terms")
+    counts = stored(term_counts(docs, terms, doc_id, text), "term-counts")
+    ranked = stored(_ranked(wanted, counts), "ranked")
+    pivots = ranked.select(F.explode(F.slice("ranked", 1, 2)).alias("r")).select("r.term").distinct()
+    index = build_index(docs, pivots, window - 1, doc_id, text)
+    return index, find_phrases(index, ranked)
+
+
 def decontaminate(
     docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -194,14 +205,8 @@ def decontaminate(
     side; rows with a null or a repeated id are judged each by its own text; equal rows give equal
     rows; an empty table of items leaves every document clean; other columns are ignored.
     """
-    wanted = stored(phrases(items, window).select("item", "words"), "windows")
-    terms = stored(wanted.select(F.explode("words").alias("term")).distinct(), "item-terms")
-    counts = stored(term_counts(docs, terms, doc_id, text), "term-counts")
-    ranked = stored(_ranked(wanted, counts), "ranked")
-    pivots = ranked.select(F.explode(F.slice("ranked", 1, 2)).alias("r")).select("r.term").distinct()
-    index = build_index(docs, pivots, window - 1, doc_id, text)
-
-    hits = find_phrases(index, ranked).select(
+    index, found = _search(docs, items, window, doc_id, text)
+    hits = found.select(
         "doc",
         "mark",
         F.struct("start", "n").alias("span"),
@@ -229,3 +234,13 @@ def decontaminate(
         "items",
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows in whose text no window of an item occurs, with all their columns."""
+    _, found = _search(docs, items, window, doc_id, text)
+    hit = stored(found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).distinct(), "contaminated")
+    same = F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__mark"))
+    return docs.join(small(hit), same, "left_anti")

@@ -341,13 +341,13 @@ def jaccard_classes(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """One row per document row: doc_id, mark (hash of the text), class_id, copy_of, n_copies, n_links.
+    """One row per document row: doc_id, mark (hash of the text), class_key, class_id, copy_of, n_copies, n_links.
 
     Two texts are linked if the Jaccard similarity of their sets of shingles of ``words`` words is at
     least ``threshold``; a text of fewer words has one shingle. n_links counts the other, different
     sets that a text is linked with; n_copies the other rows of an equal set. copy_of is the
     least id of the rows of an equal set, class_id the least of all that are connected by links.
-    Null and empty texts, and texts without a word, are each a class of their own. Null ids come
+    Null and empty texts, and texts without a word, are each a class of their own, without a class_key. Null ids come
     into class_id and copy_of only if no row of the class has an id; rows of equal ids are told apart
     by their texts, and equal rows give equal rows. Other columns are ignored.
 
@@ -385,16 +385,39 @@ def jaccard_classes(
     linked = copies.join(classes, F.col("key") == F.col("node")).join(links, F.col("key") == F.col("l_key"))
     linked = stored(linked.select("key", "copy_of", "root", "n_links"), "linked-classes")
     least = linked.groupBy(F.col("root").alias("c_root")).agg(F.min("copy_of").alias("class_id"))
-    linked = linked.join(least, F.col("root") == F.col("c_root")).select(F.col("key").alias("c_key"), "class_id", "n_links")
+    linked = linked.join(least, F.col("root") == F.col("c_root")).select(F.col("key").alias("c_key"), "root", "class_id", "n_links")
     facts = copies.join(linked, F.col("key") == F.col("c_key"), "left").select(
-        F.col("key").alias("f_key"), "copy_of", "rows", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        F.col("key").alias("f_key"),
+        F.coalesce("root", "key").alias("class_key"),
+        F.coalesce("class_id", "copy_of").alias("class_id"),
+        "copy_of",
+        "rows",
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
     alone = F.col("key").isNull()
     return found.select("doc", "mark", "key").join(facts, F.col("key") == F.col("f_key"), "left").select(
         F.col("doc").alias("doc_id"),
         "mark",
+        "class_key",
         F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.col("doc")).otherwise(F.col("copy_of")).alias("copy_of"),
         F.coalesce(F.col("rows") - 1, F.lit(0)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class of ``jaccard_classes``, that of the least id, with all its columns.
+
+    Rows without an id stay only where no row of their class has one; equal rows stay once. Texts
+    without a word are classes of their own and all stay.
+    """
+    judged = jaccard_classes(docs, threshold, words, recall, doc_id, text)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    best = judged.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min(order).alias("best"))
+    chosen = stored(best.select(F.col("best.doc_id").alias("__doc"), F.col("best.mark").alias("__mark")).distinct(), "chosen")
+    wordless = stored(judged.where(F.col("class_key").isNull()).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark")).distinct(), "wordless")
+    marked = docs.withColumn("__own", F.xxhash64(text))
+    same = F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__mark"))
+    kept = marked.join(small(chosen), same, "left_semi").dropDuplicates([doc_id, "__own"])
+    return kept.unionByName(marked.join(small(wordless), same, "left_semi")).drop("__own")

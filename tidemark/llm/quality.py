@@ -90,3 +90,19 @@ def apply_rules(
     )
 
 __all__ = ["THRESHOLD", "apply_rules", "classify", "constraints", "docstats", "id_remainder", "learn"]
+
+
+def keep_classified(docs: DataFrame, model: Forest, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows that the classifier scores at ``threshold`` or more, with all their columns."""
+    scored = measured(docs, text, docs.columns, lambda _, x: {"__score": model.score(x)}, "__score double")
+    return scored.where(F.col("__score") >= threshold).drop("__score")
+
+
+def keep_ruled(docs: DataFrame, model: Forest, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows that pass the base rules and the constrained trees, with all their columns."""
+
+    def finish(counts: np.ndarray, x: np.ndarray) -> dict:
+        n, repeated = counts[:, COUNTS.index("n_words")], counts[:, COUNTS.index("n_repeat_words")]
+        return {"__kept": (n >= 50) & (100 * repeated <= 50 * n) & (model.score(x) >= threshold)}
+
+    return measured(docs, text, docs.columns, finish, "__kept boolean").where("__kept").drop("__kept")
