@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents through stages, each written and read again."""
+"""The corpus pipeline: documents through five stages, each written and read again."""
 
 from __future__ import annotations
 
@@ -6,11 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import decontam, jaccard, packing, quality
+from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.storage import stored
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
-#: The stages score and pack by fitted models and a tokenizer, which SQL cannot express.
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_classified(docs, quality.learn(docs, labels))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the constrained trees."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_ruled(docs, quality.learn(docs, labels, monotone=quality.constraints()))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each class of near-duplicates."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a ten-word passage of a benchmark item."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all remaining documents, with their ids, and their places in sequences of 4096."""
+    return packing.pack(packing.tokenize(docs, tokenizer_path()))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packed_sequences),
+]
+
+#: The stages score by fitted models and cut by a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
