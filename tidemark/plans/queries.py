@@ -111,11 +111,11 @@ def bars_latest_ingest(spark, sf_dir):
 
 # ---- payloads ----
 def _hits(df: DataFrame) -> DataFrame:
-    return df.select("request_id", "kind", "key", "payload", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("fetched_at"))
+    return df.select("request_id", "kind", "key", "payload", F.substring(stamps.as_of_text(F.col("fetched_at")), 1, 19).alias("fetched_at"))
 
 
 _ASOF = """SELECT request_id, r.kind, r.key, arg_max(payload, (as_of_ts, fetched)) AS payload,
-    strftime(arg_max(fetched, (as_of_ts, fetched)), '%Y-%m-%d %H:%M:%S') AS fetched_at
+    strftime(arg_max(fetched, (as_of_ts, fetched)), '%Y-%m-%dT%H:%M:%S') AS fetched_at
     FROM req r LEFT JOIN pay p ON r.kind = p.kind AND r.key = p.key AND p.as_of_ts <= r.cut {more} GROUP BY 1, 2, 3"""
 
 
