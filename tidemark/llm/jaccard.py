@@ -3,8 +3,9 @@
 Each run splits the shingle sets recursively: at a node of the recursion every set samples shared tokens
 by one hash per node, about 1/threshold of its own, and goes on to one child per sampled token. Two
 sets meet in a child if both sampled a token that they share. Nodes of few sets are compared by brute
-force; larger ones are split again, unless their sets are so alike that splitting does not shrink
-them. Runs are independent, and so many are made that their misses fall below one minus the recall.
+force; larger ones are split again, but for sets so alike that splitting would not part them: those
+that share a min-hash with half of a large node. Runs are independent, and so many are made that
+their misses fall below one minus the recall.
 
 Brute force in the nodes works on sketches (the least hashes of each set) and only decides which
 sets belong together. What belongs together is then compared exactly, on whole sets, each pair
@@ -29,8 +30,8 @@ from tidemark.llm.shingles import mix, shingle_set
 from tidemark.llm.storage import small, stored
 
 #: Sets up to which a node is compared by brute force, and the depth at which it is in any case.
-NODE_SETS, MAX_DEPTH = 256, 4
-#: A child that keeps more than this share of a large node is dense: splitting on would not shrink it.
+NODE_SETS, MAX_DEPTH = 256, 3
+#: Sets of a large node that share a min-hash with this share of it belong together as they are.
 DENSE = 0.5
 #: Least hashes of a set in its sketch; sketches that share under this share of what they can are apart.
 SKETCH, SKETCH_SHARE = 64, 0.55
@@ -59,26 +60,23 @@ def _chosen(tokens: np.ndarray, node: np.ndarray, threshold: float) -> tuple[np.
         return at, mix(mix(tokens[which] + _U(0x632BE59BD9B4E019)) ^ node[at])
 
 
-def first_nodes(tokens: np.ndarray, runs: int, threshold: float) -> np.ndarray:
-    """The nodes of depth one that a set reaches, over all runs."""
+def first_nodes(tokens: np.ndarray, runs: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of depth one that a set reaches over all runs, and its min-hash in each one's run."""
     with np.errstate(over="ignore"):
         roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
-    return np.unique(_chosen(tokens, roots, threshold)[1])
+        labels = mix(tokens[None, :] ^ mix(roots + _U(1))[:, None]).min(1)
+    run, node = _chosen(tokens, roots, threshold)
+    return node.view(np.int64), labels[run].view(np.int64)
 
 
-def deeper_nodes(tokens: np.ndarray, node: int, threshold: float, depth: int) -> list[tuple[int | None, ...]]:
-    """Chains of nodes of the next depths below ``node``, each ``depth`` long, ended early by None."""
-    chains: list[list[int]] = [[]]
-    for _ in range(depth):
-        longer = []
-        for chain in chains:
-            at = np.array([chain[-1] if chain else node], np.int64).view(np.uint64)
-            children = _chosen(tokens, at, threshold)[1].view(np.int64).tolist()
-            longer += [[*chain, c] for c in children]
-        chains = longer
-        if not chains:
-            break
-    return [tuple(c) for c in chains]
+def deeper_nodes(tokens: np.ndarray, node: int, threshold: float, depth: int) -> list[list[int]]:
+    """Chains of nodes of the next depths below ``node``, at most ``depth`` long; a set that samples nothing at a node stops there."""
+    at = np.array([node], np.int64).view(np.uint64)
+    chains: list[list[int]] = []
+    for child in _chosen(tokens, at, threshold)[1].view(np.int64).tolist():
+        below = deeper_nodes(tokens, child, threshold, depth - 1) if depth > 1 else []
+        chains += [[child, *c] for c in below] or [[child]]
+    return chains
 
 
 def set_key(tokens: np.ndarray) -> str | None:
@@ -94,19 +92,21 @@ def sketch(tokens: np.ndarray) -> bytes:
 
 
 def _described(docs: DataFrame, runs: int, threshold: float, words: int, doc_id: str, text: str) -> DataFrame:
-    """Every row as (doc, mark, key, n, sketch, nodes); all of them null for texts without words."""
+    """Every row as (doc, mark, key, n, sketch, nodes, labels); all of them null for texts without words."""
 
     def make(texts: list[bytes | None]) -> dict:
         sets = [shingle_set(t, words) for t in texts]
+        reached = [first_nodes(s, runs, threshold) if len(s) else (None, None) for s in sets]
         return {
             "key": pa.array([set_key(s) for s in sets], pa.string()),
             "n": pa.array([len(s) or None for s in sets], pa.int64()),
             "sketch": pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
-            "nodes": pa.array([first_nodes(s, runs, threshold).view(np.int64) if len(s) else None for s in sets], pa.list_(pa.int64())),
+            "nodes": pa.array([r[0] for r in reached], pa.list_(pa.int64())),
+            "labels": pa.array([r[1] for r in reached], pa.list_(pa.int64())),
         }
 
     rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("body"))
-    schema = "key string, n bigint, sketch binary, nodes array<bigint>"
+    schema = "key string, n bigint, sketch binary, nodes array<bigint>, labels array<bigint>"
     return map_column(rows, ["doc", "mark"], F.col("body").cast("binary"), make, schema)
 
 
@@ -120,17 +120,26 @@ def _counted(entries: DataFrame, node: str = "node") -> DataFrame:
     )
 
 
-def _leaves(found: DataFrame, docs: DataFrame, threshold: float, words: int, doc_id: str, text: str) -> DataFrame:
-    """(node, key): the members of the nodes to compare, nodes of equal members once."""
-    entries = found.where(F.col("key").isNotNull()).select("key", F.explode("nodes").alias("node")).distinct()
+def _leaves(
+    found: DataFrame, docs: DataFrame, threshold: float, words: int, doc_id: str, text: str
+) -> tuple[DataFrame, DataFrame | None]:
+    """(node, key) of the nodes to compare, nodes of equal members once; and edges (a, b) of dense parts of large nodes."""
+    reached = F.explode(F.arrays_zip("nodes", "labels")).alias("at")
+    entries = found.where(F.col("key").isNotNull()).select("key", reached)
+    entries = entries.select("key", F.col("at.nodes").alias("node"), F.col("at.labels").alias("label")).distinct()
     counted = stored(_counted(entries), "nodes")
-    small_nodes = counted.where(F.col("sets") <= NODE_SETS)
+    once = counted.where(F.col("sets") <= NODE_SETS).groupBy("sets", "sum1", "sum2").agg(F.min("node").alias("leaf"))
     large = stored(counted.where(F.col("sets") > NODE_SETS).select(F.col("node").alias("big"), "sets"), "large-nodes")
-    once = stored(small_nodes.groupBy("sets", "sum1", "sum2").agg(F.min("node").alias("leaf")).select("leaf"), "leaves")
-    leaves = entries.join(small(once), F.col("node") == F.col("leaf")).select("leaf", "key")
+    leaves = entries.join(small(stored(once.select("leaf"), "leaves")), F.col("node") == F.col("leaf")).select("leaf", "key")
     if large.isEmpty():
-        return leaves
-    return leaves.unionByName(_deep_leaves(found, docs, large, threshold, words, doc_id, text))
+        return leaves, None
+    members = stored(entries.join(small(large), F.col("node") == F.col("big")).select("key", "big", "label", "sets"), "large-members")
+    shared = members.groupBy("big", "label", "sets").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    dense = stored(shared.where(F.col("n") >= DENSE * F.col("sets")).select(F.col("big").alias("d_big"), F.col("label").alias("d_label"), "least"), "dense")
+    same = (F.col("big") == F.col("d_big")) & (F.col("label") == F.col("d_label"))
+    edges = members.join(small(dense), same).where(F.col("key") != F.col("least")).select(F.col("key").alias("a"), F.col("least").alias("b"))
+    rest = members.join(small(dense), same, "left_anti").select("key", "big")
+    return leaves.unionByName(_deep_leaves(found, docs, rest, threshold, words, doc_id, text)), edges
 
 
 def _texts_of(found: DataFrame, keys: DataFrame, docs: DataFrame, kept: list[str], doc_id: str, text: str) -> DataFrame:
@@ -142,42 +151,35 @@ def _texts_of(found: DataFrame, keys: DataFrame, docs: DataFrame, kept: list[str
 
 
 def _deep_leaves(
-    found: DataFrame, docs: DataFrame, large: DataFrame, threshold: float, words: int, doc_id: str, text: str
+    found: DataFrame, docs: DataFrame, members: DataFrame, threshold: float, words: int, doc_id: str, text: str
 ) -> DataFrame:
     """Leaves below the large nodes of depth one; their members' texts are read once more for that."""
     depth = MAX_DEPTH - 1
-    entries = found.where(F.col("key").isNotNull()).select("key", F.explode("nodes").alias("node")).distinct()
-    members = entries.join(small(large), F.col("node") == F.col("big")).groupBy("key").agg(F.collect_set("big").alias("bigs"))
-    texts = _texts_of(found, stored(members, "members"), docs, ["bigs"], doc_id, text)
+    wanted = stored(members.groupBy("key").agg(F.collect_set("big").alias("bigs")), "deep-members")  # at most the set's own nodes
+    texts = _texts_of(found, wanted, docs, ["bigs"], doc_id, text)
 
     def make(rows: list[dict]) -> dict:
         chains = []
         for row in rows:
             tokens = shingle_set(row["body"], words)
             own = set_key(tokens) == row["key"]
-            chains.append([
-                (big, *chain) for big in (row["bigs"] if own else []) for chain in deeper_nodes(tokens, big, threshold, depth)
-            ])
+            chains.append([chain for big in (row["bigs"] if own else []) for chain in deeper_nodes(tokens, big, threshold, depth)])
         return {"chains": pa.array(chains, pa.list_(pa.list_(pa.int64())))}
 
     deep = map_column(texts, ["key"], F.struct("key", "bigs", "body"), make, "chains array<array<bigint>>")
-    chain = F.col("chain")
-    levels = [f"d{i}" for i in range(depth + 1)]
+    chain, levels = F.col("chain"), [f"level{i}" for i in range(1, depth + 1)]
     rows = stored(
-        deep.select("key", F.explode("chains").alias("chain")).select("key", *[chain[i].alias(c) for i, c in enumerate(levels)]),
+        deep.select("key", F.explode("chains").alias("chain")).select("key", *[F.get(chain, F.lit(i)).alias(c) for i, c in enumerate(levels)]),
         "deep-nodes",
     )
-    above = large.select(F.col("big").alias("d0"), F.col("sets").alias("above"))
     leaves = None
-    for i in range(1, depth + 1):
-        own = f"d{i}"
-        sizes = _counted(rows.select("key", "d0", own).distinct(), own).withColumnRenamed("sets", "here")
-        rows = rows.join(small(stored(above, "above")), levels[i - 1]).join(small(stored(sizes, "sizes")), own)
-        ends = (F.col("here") <= NODE_SETS) | (F.col("here") > DENSE * F.col("above")) | F.lit(i == depth)
-        done = rows.where(ends).select(F.col(own).alias("leaf"), "key").distinct()
+    for i, own in enumerate(levels):
+        sizes = stored(_counted(rows.select("key", own).distinct(), own).select(F.col(own).alias("leaf"), "sets"), "deep-sizes")
+        met = rows.join(small(sizes), F.col(own) == F.col("leaf"))  # sets alone in a node go no further
+        ends = (F.col("sets") <= NODE_SETS) | F.lit(i == depth - 1)
+        done = met.where(ends).select("leaf", "key").distinct()
         leaves = done if leaves is None else leaves.unionByName(done)
-        above = rows.where(~ends).select(own, F.col("here").alias("above")).distinct()
-        rows = rows.where(~ends).select("key", *levels)
+        rows = met.where(~ends).select("key", *levels)
     return leaves
 
 
@@ -354,8 +356,9 @@ def jaccard_classes(
     A linked pair is missed with a probability of at most 1 - ``recall``; links that are counted are exact.
     """
     found = stored(_described(docs, runs_for(recall), threshold, words, doc_id, text), "sets")
-    leaves = stored(_leaves(found, docs, threshold, words, doc_id, text), "members")
-    together = components(_near(leaves, found))
+    leaves, dense = _leaves(found, docs, threshold, words, doc_id, text)
+    near = _near(stored(leaves, "members"), found)
+    together = components(near if dense is None else near.unionByName(dense))
     sizes = (
         found.where(F.col("key").isNotNull()).select("key", "n").distinct().join(together, F.col("key") == F.col("node"))
     )
