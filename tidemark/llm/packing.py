@@ -8,25 +8,26 @@ that each join a bounded number of partitions, until one partition is left.
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import map_column
 from tidemark.llm.storage import stored
 
 #: Open windows of each partition, and partitions whose left-over windows one task merges.
 OPEN_WINDOWS, MERGED_PARTITIONS = 32, 16
 #: Entries of a worker's cache of chunk encodings, and characters of the longest chunk kept there.
-CACHE_CHUNKS, CACHE_CHARS = 500_000, 48
-#: What every tokenizer treats as white space between chunks that it encodes each on its own.
-_BLANKS = re.compile(r"[ \t\n\r]+")
-#: White space that may be read in more than one way: such texts are encoded whole.
-_ODD_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+CACHE_CHUNKS, CACHE_CHARS = 300_000, 48
+#: Marks after a chunk's letters that the tokenizer takes as one word.
+_MARKS = ".,;:!?*$%&#|"
+#: White space besides blank, tab and line ends, and what may be read as such: texts with it are encoded whole.
+_ODD_BLANKS = [chr(c) for c in (*range(0x0B, 0x0D), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
 
 _loaded: dict[str, "ChunkEncoder"] = {}
 
@@ -35,8 +36,8 @@ class ChunkEncoder:
     """Ids of whole texts, as little-endian 32-bit integers, from a tokenizer that drops white space.
 
     Such a tokenizer never joins what white space parts. Each distinct chunk between blanks is encoded
-    once and remembered, and the ids of a text are those of its chunks in order. Full, the cache
-    starts anew. A probe decides whether the tokenizer at hand is of that kind; if not, and for texts
+    once and remembered, and the ids of a text are those of its chunks in order. A full cache becomes the
+    older one, from which what is met again is taken over, and a new one begins. A probe decides whether the tokenizer at hand is of that kind; if not, and for texts
     with odd white space, whole texts are encoded.
     """
 
@@ -51,24 +52,64 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.joined = False
         self.chunked = True
         self.chunked = self.encode([self.PROBE]) == self._whole([self.PROBE])
 
+        model = json.loads(self.tokenizer.to_str())["model"]
+        suffix = model.get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[at for token, at in vocab.items() if token.endswith(suffix)]] = True
+        self.joined = bool(suffix)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _plain(self, chunks: list[str], words: np.ndarray) -> list[bytes]:
+        """Chunks of letters, then perhaps marks, encoded as one text and parted at the ends of their words.
+
+        ``words`` is how many words (letters, marks) each has. A chunk never has fewer than that for the
+        tokenizer, so if all have as many together, each has; otherwise each is encoded on its own.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != words.sum():
+            return self._whole(chunks)
+        stops = (4 * (ends[np.cumsum(words) - 1] + 1)).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _learn(self, missing: list[str], known: dict[str, bytes]) -> None:
+        plain, words, other = [], [], []
+        for c in missing:
+            core = c.rstrip(_MARKS)
+            if self.joined and core.isalpha():
+                plain.append(c)
+                words.append(1 if len(core) == len(c) else 2)
+            else:
+                other.append(c)
+        counts = np.array(words, np.int64)
+        for at in range(0, len(plain), 2_000):
+            known.update(zip(plain[at : at + 2_000], self._plain(plain[at : at + 2_000], counts[at : at + 2_000]), strict=True))
+        for at in range(0, len(other), 2_000):
+            known.update(zip(other[at : at + 2_000], self._whole(other[at : at + 2_000]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_BLANKS.split(t) if self.chunked and not _ODD_BLANKS.search(t) else None for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        cache[""] = b""
-        missing = list({c for chunks in split if chunks for c in chunks if c not in cache})
+        split = [t.split() if self.chunked and not any(c in t for c in _ODD_BLANKS) else None for t in texts]
+        if len(self.cache) > CACHE_CHUNKS:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        missing = {c for chunks in split if chunks for c in chunks if c not in cache}
+        if older:
+            again = missing & older.keys()
+            cache.update((c, older[c]) for c in again)
+            missing -= again
         known = cache if len(missing) < CACHE_CHUNKS else dict(cache)
-        for at in range(0, len(missing), 2_000):
-            part = missing[at : at + 2_000]
-            known.update(zip(part, self._whole(part), strict=True))
+        self._learn(list(missing), known)
         get = known.__getitem__
         out = [b"".join(map(get, chunks)) if chunks else b"" for chunks in split]
         whole = [i for i, chunks in enumerate(split) if chunks is None]
@@ -89,19 +130,13 @@ def encoder(path: str) -> ChunkEncoder:
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids of every document row: its tokens as little-endian 32-bit integers, then ``end_id``."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    last = np.array([end_id], "<u4").tobytes()
+    ids_of = _text_ids(tokenizer, end_id)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                ids = [x + last for x in known.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+    def make(texts: list[str | None]) -> dict:
+        return {"ids": pa.array([x for at in range(0, len(texts), 250) for x in ids_of(texts[at : at + 250])], pa.binary())}
 
-    return rows.mapInArrow(work, f"doc_id {kind}, ids binary")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
+    return map_column(rows, ["doc_id"], F.col("body"), make, "ids binary")
 
 
 class Windows:
@@ -135,7 +170,19 @@ class Windows:
         return closed
 
 
-def _pack_partition(capacity: int, limit: int, id_bytes: bool):
+def _parts(batch: pa.RecordBatch, ids_of: Callable[[list], list[bytes]]) -> Iterator[tuple[object, bytes, int]]:
+    for at in range(0, batch.num_rows, 250):
+        part = batch.slice(at, 250)
+        yield from zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist()), part.column(2).to_pylist(), strict=True)
+
+
+def _text_ids(tokenizer: str, end_id: int) -> Callable[[list[str | None]], list[bytes]]:
+    """Ids of texts, null as empty, each followed by ``end_id``; the encoder is loaded where it is used."""
+    last = np.array([end_id], "<u4").tobytes()
+    return lambda texts: [x + last for x in encoder(tokenizer).encode([t or "" for t in texts])]
+
+
+def _pack_partition(capacity: int, limit: int, id_bytes: bool, ids_of: Callable[[list], list[bytes]]):
     names = ["doc_id", "start", "length", "doc_tokens", "part", "window", "offset", "closed"] + ["ids"] * id_bytes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +205,7 @@ def _pack_partition(capacity: int, limit: int, id_bytes: bool):
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, ids, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                part = p
+            for key, ids, part in _parts(batch, ids_of):
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     length = min(capacity, total - start)
@@ -226,10 +272,36 @@ def pack(
     cannot change what others have read. A merging task reads at most ``merged_partitions`` times
     ``open_windows`` window sizes, no ids.
     """
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    work, _ = _pack_partition(capacity, open_windows, keep_ids)
+    rows = tokens.where(F.length("ids") >= 4).select("doc_id", F.col("ids").alias("value"))
+    return _packed(rows, lambda ids: ids, capacity, open_windows, merged_partitions, keep_ids)
+
+
+def pack_texts(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = 2,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    capacity: int = 4096,
+    open_windows: int = OPEN_WINDOWS,
+    merged_partitions: int = MERGED_PARTITIONS,
+    keep_ids: bool = True,
+) -> DataFrame:
+    """``pack`` of ``tokenize``, in one Python worker a task: the ids of texts go straight into windows.
+
+    A null text is empty: its only id is ``end_id``. Other columns are ignored.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("value"))
+    return _packed(rows, _text_ids(tokenizer, end_id), capacity, open_windows, merged_partitions, keep_ids)
+
+
+def _packed(
+    rows: DataFrame, ids_of: Callable[[list], list[bytes]], capacity: int, open_windows: int, merged_partitions: int, keep_ids: bool
+) -> DataFrame:
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    work, _ = _pack_partition(capacity, open_windows, keep_ids, ids_of)
     schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, part bigint, `window` bigint, offset bigint, closed boolean"
-    rows = tokens.where(F.length("ids") >= 4).select("doc_id", "ids", F.spark_partition_id().cast("long").alias("part"))
+    rows = rows.select("doc_id", "value", F.spark_partition_id().cast("long").alias("part"))
     pieces = stored(rows.mapInArrow(work, schema + ", ids binary" * keep_ids), "pieces")
 
     open_ = pieces.where(~F.col("closed")).groupBy("part", "window").agg(F.sum("length").alias("used"))

@@ -80,7 +80,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    packed = packing.pack(packing.tokenize(docs, tokenizer_path()))
+    packed = packing.pack_texts(docs, tokenizer_path())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
