@@ -165,4 +165,22 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN train THEN length(head) + length(body) ELSE length(head) END AS "end", train
         FROM cut
     """,
+    "op8_warc": r"""
+        WITH payload AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                   array_to_string(list_transform(string_split(sha1(encode(coalesce(html, ''))), ''),
+                       lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), '') AS bits
+            FROM pages
+        ), named AS (
+            SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+                + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INTEGER)
+                + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INTEGER) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER)
+                + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER) AS INTEGER), 1)), '') AS payload_digest
+            FROM payload
+        ), last AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS largest FROM named)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < largest THEN largest END AS refers_to
+        FROM last
+    """,
 }
