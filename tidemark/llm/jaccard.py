@@ -265,8 +265,6 @@ def _alike(table: pa.Table) -> dict[str, list]:
     keys = table.column("key").to_pylist()
     n = np.array(table.column("n").to_pylist())
     sketches = [np.frombuffer(s, np.uint32) for s in table.column("sketch").to_pylist()]
-    root = np.arange(len(keys))
-    links = np.zeros((len(keys), len(keys)), bool)
     sizes = np.minimum(n, SKETCH)
     shared = _shared(sketches)
     links = shared >= SKETCH_SHARE * np.maximum(sizes[:, None], sizes[None, :])
