@@ -7,24 +7,28 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
+#: Rows of a batch that are Python objects at one time.
+SLICE_ROWS = 500
+
 
 def map_column(
     rows: DataFrame, kept: list[str], value: Column, make: Callable[[list], dict[str, object]], schema: str
 ) -> DataFrame:
-    """``kept`` of every row with the columns that ``make`` gives for the batch's list of ``value``.
+    """``kept`` of every row with the columns that ``make`` gives for a list of at most ``SLICE_ROWS`` of ``value``.
 
     ``schema`` is the made columns' DDL. The kept columns stay in Arrow, so nulls and large integers
-    pass unchanged. Rows stay in their partitions; a task holds one batch at a time.
+    pass unchanged. Rows stay in their partitions; a task holds one Arrow batch at a time, and one
+    slice of it as Python objects.
     """
     held = rows.select(*kept).schema
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in held] + [schema])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            made = make(batch.column(batch.num_columns - 1).to_pylist())
-            columns = [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *made])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                made = make(part.column(part.num_columns - 1).to_pylist())
+                columns = [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], *made])
 
     return rows.select(*kept, value.alias("__value")).mapInArrow(work, ddl)
