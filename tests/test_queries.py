@@ -42,3 +42,12 @@ def test_current_rows_need_one_exchange_and_no_sort(spark):
 
     plan = current(views.ingest(spark, str(DATA)), ["ticker", "date"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_every_cited_word_is_checked(spark, tmp_path):
+    said = " ".join(f"w{i}" for i in range(20)) + "  w1 "
+    spark.createDataFrame([(1, 0, said), (1, 1, None)], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r["turn"]: r["invented"] for r in queries.cited_check(spark, str(tmp_path)).collect()}
+    assert found == {0: "|".join(f"w{i}" for i in range(4, 20)), 1: ""}
+    with_all_words = queries.ORACLE_SQL["cited_check"].replace("[1:12]", "")
+    compare(spark, connect(DATA), DATA, queries.cited_check, with_all_words)

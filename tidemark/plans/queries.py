@@ -359,7 +359,7 @@ def quoted_check(spark, sf_dir):
     h AS (SELECT conv_id, turn, cited, cited[1:4] AS given FROM w)
     SELECT conv_id, turn, array_to_string(list_filter(cited, lambda c: NOT list_contains(given, c)), '|') AS invented FROM h""")
 def cited_check(spark, sf_dir):
-    words = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""), 1, 12)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")
     rows = views.table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("cited"))
     return rows.select("conv_id", "turn", F.array_join(cycle.invented(F.col("cited"), F.slice("cited", 1, 4)), "|").alias("invented"))
 
