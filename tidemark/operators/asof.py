@@ -41,7 +41,10 @@ def read_bars(
 
 
 def bars_for(bars: DataFrame, requests: DataFrame) -> DataFrame:
-    """Bars for many requests (request_id, ticker, start, end, as_of, known_at) at once; nulls are not given."""
+    """Bars for many requests (request_id, ticker, start, end, as_of, known_at) at once; nulls are not given.
+
+    Requests with a first and a last day meet bars by ticker and month, so that few tickers do not mean few keys.
+    """
     r = requests.select(
         "request_id",
         F.col("ticker").alias("r_ticker"),
@@ -56,7 +59,12 @@ def bars_for(bars: DataFrame, requests: DataFrame) -> DataFrame:
         & (F.col("r_end").isNull() | (date <= F.col("r_end")))
         & (F.col("r_known").isNull() | (F.col("fetched_at") <= F.col("r_known")))
     )
-    return r.join(bars, fits).select("request_id", "ticker", *BAR_COLUMNS)
+    bounded = r.where(F.col("r_start") <= F.col("r_end"))
+    months = F.sequence(F.trunc("r_start", "month"), F.trunc("r_end", "month"), F.expr("interval 1 month"))
+    by_month = bounded.withColumn("r_month", F.explode(months)).join(bars, fits & (F.trunc("date", "month") == F.col("r_month")))
+    open_ended = r.where(F.col("r_start").isNull() | F.col("r_end").isNull()).join(bars, fits)
+    wanted = ["request_id", "ticker", *BAR_COLUMNS]
+    return by_month.select(*wanted).unionByName(open_ended.select(*wanted))
 
 
 def _served() -> list[Column]:
