@@ -189,6 +189,12 @@ def test_language_on_awkward_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(table, nothing).collect()} == {"und"}
 
 
+def test_number_signs_are_no_letters(spark):
+    table = docs(spark, "the cat", "½", "² ①", "x²")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(table, langid.learn(table)).collect()}
+    assert found[1] == found[2] == ("und", 0.0) and found[3][0] == "en"
+
+
 def test_ngrams_by_hand():
     keys, counts = langid._counted(langid.grams("Ab ab"))
     wanted = Counter(g for n in (1, 2, 3) for i in range(len(" ab ab ") - n + 1) if (g := " ab ab "[i : i + n]) != " ")

@@ -7,7 +7,6 @@ greatest distance where the profile lacks it; the language with the least sum wi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,6 @@ SAMPLE_DOCS = 2_000
 #: At most so many languages, the most frequent first, are learnt.
 MAX_LANGS = 500
 
-_LETTER = re.compile(r"[^\W\d_]")
 _BITS = 21  # of a code point
 
 
@@ -73,9 +71,11 @@ class Profiles:
 
     def guess(self, text: str | None) -> tuple[str, float]:
         """(language, score). ``und`` and 0 for null, for a text without letters, or if nothing was learnt."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs:
             return "und", 0.0
         own = ranked(text, self.ranks)
+        if not len(own):
+            return "und", 0.0
         at = np.searchsorted(self.keys, own).clip(max=len(self.keys) - 1)
         known = self.keys[at] == own
         distance = np.full((len(own), len(self.langs)), self.ranks)
