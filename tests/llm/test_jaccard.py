@@ -57,6 +57,23 @@ def test_chosen_paths_meet():
     assert met >= 199 and apart >= 80
 
 
+def test_chosen_paths_meet_below_large_nodes():
+    """Pairs at the threshold that meet only in nodes of the greatest depth are found as often as promised."""
+    rng = np.random.default_rng(2)
+    runs, met, pairs = jaccard.runs_for(0.999), 0, 2000
+    below, repeats = jaccard.MAX_DEPTH - 1, jaccard.repeats_for(0.999, runs)
+
+    def ends(tokens, node):
+        return {c[-1] for c in jaccard.repeated_nodes(tokens, node, 0.8, below, repeats) if len(c) == below}
+
+    for _ in range(pairs):
+        y = np.unique(rng.integers(0, 2**63, 90).astype(np.uint64))
+        x = y[rng.permutation(90)[:72]]
+        first = [set(jaccard.first_nodes(s, runs, 0.8)[0].tolist()) for s in (x, y)]
+        met += any(set.intersection(*[ends(s, node) for s in (x, y)]) for node in first[0] & first[1])
+    assert met >= 0.997 * pairs
+
+
 def check(spark, texts, monkeypatch=None):
     rows = [(i, t, "clash") for i, t in enumerate(texts)]
     table = spark.createDataFrame([*rows, rows[0], (None, texts[0], "x"), (None, "nobody else says these words", "x")], "doc_id bigint, text string, class_id string")
@@ -134,3 +151,17 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, at, str(DATA))
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in at.select("doc_id").collect()}
     assert packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+
+
+def test_pipeline_rules_keep_what_op7_keeps(spark):
+    import corpus_pipeline
+    from conftest import DATA
+
+    from tidemark.llm import queries
+
+    folder = str(DATA.parent / "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    good = {r["doc_id"] for r in queries.op7_quality_rules(spark, folder).where("kept").collect()}
+    for handed in (corpus_pipeline.quality_classifier(spark, docs, folder), docs.join(spark.read.parquet(f"{folder}/labels.parquet").where("quality = 0").select("doc_id"), "doc_id", "left_anti")):
+        ids = {r["doc_id"] for r in handed.select("doc_id").collect()}
+        assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, handed, folder).collect()} == ids & good

@@ -3,7 +3,7 @@
 Each run splits the shingle sets recursively: at a node of the recursion every set samples shared tokens
 by one hash per node, about 1/threshold of its own, and goes on to one child per sampled token. Two
 sets meet in a child if both sampled a token that they share. Nodes of few sets are compared by brute
-force; larger ones are split again, but for sets so alike that splitting would not part them: those
+force; larger ones are split again, several times over, but for sets so alike that splitting would not part them: those
 that share a min-hash with half of a large node. Runs are independent, and so many are made that
 their misses fall below one minus the recall.
 
@@ -41,14 +41,28 @@ BLOCK_SETS, BLOCK_TOKENS = 1024, 2_000_000
 _U = np.uint64
 
 
-def runs_for(recall: float) -> int:
-    """Independent runs after which a pair at the threshold is missed with at most 1 - ``recall``.
+def _survival(levels: int) -> float:
+    """How likely a pair at the threshold is to meet again in some node so many levels down.
 
-    A pair at the threshold shares at least one sampled token at a node with probability 1 - 1/e, and
-    survives two levels with 1 - exp(-(1 - 1/e)).
+    Such a pair shares one sampled token at a node on average; if it survives the levels below a child with
+    probability p, it survives one level more with 1 - exp(-p).
     """
-    two_levels = 1 - math.exp(-(1 - math.exp(-1)))
-    return math.ceil(math.log(1 - recall) / math.log(1 - two_levels))
+    p = 1.0
+    for _ in range(levels):
+        p = 1 - math.exp(-p)
+    return p
+
+
+def runs_for(recall: float) -> int:
+    """Independent runs after which a pair at the threshold that must survive two levels is missed with at most 1 - ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - _survival(2)))
+
+
+def repeats_for(recall: float, runs: int) -> int:
+    """How often a large node of depth one is split so that ``runs`` keep the recall if all ``MAX_DEPTH`` levels must be survived."""
+    miss, below = (1 - recall) ** (1 / runs), _survival(MAX_DEPTH - 1)
+    needed = -math.log(miss)  # of each large node: 1 - exp(-needed) is 1 - miss
+    return max(1, math.ceil(math.log(1 - needed) / math.log(1 - below)))
 
 
 def _chosen(tokens: np.ndarray, node: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +93,13 @@ def deeper_nodes(tokens: np.ndarray, node: int, threshold: float, depth: int) ->
     return chains
 
 
+def repeated_nodes(tokens: np.ndarray, node: int, threshold: float, depth: int, repeats: int) -> list[list[int]]:
+    """``deeper_nodes`` of a large node for each of ``repeats`` independent splits of it."""
+    with np.errstate(over="ignore"):
+        roots = np.array([node], np.int64).view(np.uint64) ^ (np.arange(repeats, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
+    return [chain for root in roots.view(np.int64).tolist() for chain in deeper_nodes(tokens, root, threshold, depth)]
+
+
 def set_key(tokens: np.ndarray) -> str | None:
     """96 bits that name a set; null for the empty one."""
     return hashlib.blake2b(tokens.tobytes(), digest_size=12).hexdigest() if len(tokens) else None
@@ -121,7 +142,7 @@ def _counted(entries: DataFrame, node: str = "node") -> DataFrame:
 
 
 def _leaves(
-    found: DataFrame, docs: DataFrame, threshold: float, words: int, doc_id: str, text: str
+    found: DataFrame, docs: DataFrame, threshold: float, words: int, repeats: int, doc_id: str, text: str
 ) -> tuple[DataFrame, DataFrame | None]:
     """(node, key) of the nodes to compare, nodes of equal members once; and edges (a, b) of dense parts of large nodes."""
     reached = F.explode(F.arrays_zip("nodes", "labels")).alias("at")
@@ -139,7 +160,7 @@ def _leaves(
     same = (F.col("big") == F.col("d_big")) & (F.col("label") == F.col("d_label"))
     edges = members.join(small(dense), same).where(F.col("key") != F.col("least")).select(F.col("key").alias("a"), F.col("least").alias("b"))
     rest = members.join(small(dense), same, "left_anti").select("key", "big")
-    return leaves.unionByName(_deep_leaves(found, docs, rest, threshold, words, doc_id, text)), edges
+    return leaves.unionByName(_deep_leaves(found, docs, rest, threshold, words, repeats, doc_id, text)), edges
 
 
 def _texts_of(found: DataFrame, keys: DataFrame, docs: DataFrame, kept: list[str], doc_id: str, text: str) -> DataFrame:
@@ -151,7 +172,7 @@ def _texts_of(found: DataFrame, keys: DataFrame, docs: DataFrame, kept: list[str
 
 
 def _deep_leaves(
-    found: DataFrame, docs: DataFrame, members: DataFrame, threshold: float, words: int, doc_id: str, text: str
+    found: DataFrame, docs: DataFrame, members: DataFrame, threshold: float, words: int, repeats: int, doc_id: str, text: str
 ) -> DataFrame:
     """Leaves below the large nodes of depth one; their members' texts are read once more for that."""
     depth = MAX_DEPTH - 1
@@ -163,7 +184,7 @@ def _deep_leaves(
         for row in rows:
             tokens = shingle_set(row["body"], words)
             own = set_key(tokens) == row["key"]
-            chains.append([chain for big in (row["bigs"] if own else []) for chain in deeper_nodes(tokens, big, threshold, depth)])
+            chains.append([chain for big in (row["bigs"] if own else []) for chain in repeated_nodes(tokens, big, threshold, depth, repeats)])
         return {"chains": pa.array(chains, pa.list_(pa.list_(pa.int64())))}
 
     deep = map_column(texts, ["key"], F.struct("key", "bigs", "body"), make, "chains array<array<bigint>>")
@@ -353,8 +374,9 @@ def jaccard_classes(
 
     A linked pair is missed with a probability of at most 1 - ``recall``; links that are counted are exact.
     """
-    found = stored(_described(docs, runs_for(recall), threshold, words, doc_id, text), "sets")
-    leaves, dense = _leaves(found, docs, threshold, words, doc_id, text)
+    runs = runs_for(recall)
+    found = stored(_described(docs, runs, threshold, words, doc_id, text), "sets")
+    leaves, dense = _leaves(found, docs, threshold, words, repeats_for(recall, runs), doc_id, text)
     near = _near(stored(leaves, "members"), found)
     together = components(near if dense is None else near.unionByName(dense))
     sizes = (
