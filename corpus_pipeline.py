@@ -18,9 +18,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the constrained trees."""
+    """Documents that pass the base rules and the constrained trees, which learn from the whole of ``documents``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.keep_ruled(docs, quality.learn(docs, labels, monotone=quality.constraints()))
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality.keep_ruled(docs, quality.learn(whole, labels, monotone=quality.constraints()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
