@@ -221,6 +221,25 @@ def test_html_blocks(page):
     assert html_text.content(page) == PAGES[page]
 
 
+LONG = "A long sentence of the article, with marks; and some more of it. " * 4
+WRAPPERS = ["class='layout has-sidebar'", "class='content no-sidebar'", "class='reader-view'", "class=reader", "id=menu", "role=form"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_html_wrappers_do_not_lose_the_article(wrapper):
+    page = f"<div {wrapper}><div class=ad>Buy!</div><article><h1>T</h1><p>{LONG}</p></article><section class=comments><p>Nice.</p></section></div>"
+    assert html_text.content(page) == ["T", LONG.strip()]
+    assert html_text.content(f"<nav><a>n</a></nav><form><p>{LONG}</p></form>") == [LONG.strip()]
+
+
+def test_html_links_are_measured_as_read():
+    coded = "".join(f"&#{ord(c)};" for c in LONG[:60])
+    page = f"<article><p>{LONG}</p><p>{LONG} <a>{coded}</a></p><p><a>{LONG}</a></p></article>"
+    assert html_text.content(page) == [LONG.strip(), LONG + LONG[:60].strip(), LONG.strip()]
+    outside = "".join(f"&#{ord(c)};" for c in LONG)
+    assert html_text.content(f"<p>{outside}<a>{coded}</a></p>") == [LONG + LONG[:60].strip()]
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(i, p, "clash") for i, p in enumerate(PAGES)], "page_id int, html string, text string")
     found = html_text.extract(rows, kept=["page_id"]).collect()

@@ -26,7 +26,7 @@ ASIDE = {
     "nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "figcaption", "label", "fieldset",
     "input", "option", "optgroup", "datalist", "canvas", "audio", "video", "map", "applet", "embed", "frameset",
 }
-#: Words in an element's id, class or role that set it aside, between non-letters or ends.
+#: Words in an element's id, class or role that set it aside. A name counts if it has no word but these and PLAIN_NAMES.
 ASIDE_NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "banners", "sponsor", "sponsored", "promo", "promotion",
     "comment", "comments", "commentlist", "disqus", "replies", "respond", "discussion", "reader", "cookie", "cookies", "consent", "gdpr", "notice",
@@ -35,6 +35,11 @@ ASIDE_NAMES = {
     "footer", "footnav", "copyright", "header", "masthead", "topbar", "toolbar", "share", "sharing", "social", "search", "pagination", "pager",
     "toc", "skip", "contentinfo", "complementary", "dialog", "form",
 }
+#: Words that say of what or where a named part is, and nothing of what it holds.
+PLAIN_NAMES = {
+    "site", "page", "main", "top", "bottom", "left", "right", "primary", "secondary", "global", "section", "list", "box", "block", "wrapper",
+    "wrap", "container", "inner", "outer", "area", "item", "bar", "links", "post", "article",
+}
 #: Elements that never have content of their own.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements inside a line: they neither begin nor end a block.
@@ -62,32 +67,63 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """A block of text: its path, its parts, and whether it lies in what is set aside."""
 
-    __slots__ = ("aside", "heading", "linked", "parts", "path", "text")
+    __slots__ = ("asides", "heading", "hidden", "linked", "link_parts", "mains", "parts", "path", "text")
 
-    def __init__(self, path: str, aside: bool, heading: bool) -> None:
-        self.path, self.aside, self.heading, self.parts, self.linked, self.text = path, aside, heading, [], 0, ""
+    def __init__(self, path: str, asides: list[int], hidden: bool, mains: list[int], heading: bool) -> None:
+        self.path, self.asides, self.hidden, self.mains, self.heading = path, asides, hidden, mains, heading
+        self.parts, self.link_parts, self.linked, self.text = [], [], 0, ""
 
     def close(self) -> bool:
         """Makes the text from the parts; whether there is any."""
         self.text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
+        self.linked = sum(len(_SPACE.sub(" ", html.unescape(x)).strip()) for x in self.link_parts)
         return self.text != ""
 
 
-def _set_aside(name: str, tag: str) -> bool:
+def _set_aside(name: str, tag: str) -> str:
+    """Why an element is set aside: ``element``, ``name`` or ``hidden``; empty if it is not."""
     if name in ASIDE:
-        return True
+        return "name" if name == "form" else "element"
     if "=" not in tag and "hidden" not in tag:
-        return False
+        return ""
     if name in ("body", "html", "main", "article"):
-        return False
-    named = " ".join(m.strip("\"'") for m in _MARKS.findall(tag))
-    split = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()
-    return bool(ASIDE_NAMES.intersection(_WORDS.findall(split))) or _HIDDEN.search(tag) is not None
+        return ""
+    if _HIDDEN.search(tag) is not None:
+        return "hidden"
+    for named in " ".join(m.strip("\"'") for m in _MARKS.findall(tag)).split():
+        words = set(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()))
+        if words & ASIDE_NAMES and words <= ASIDE_NAMES | PLAIN_NAMES:
+            return "name"
+    return ""
+
+
+def _spared(nodes: list[Node], named: set[int]) -> set[int]:
+    """Elements set aside that hold the article after all.
+
+    That is the ``article`` or ``main`` of most text, if none lies outside what is set aside or if it has
+    most of the page's text. Without any, named elements (not menus and the like) with most of the text.
+    """
+    total, mains, held, free = 0, {}, {}, False
+    for n in nodes:
+        total += len(n.text)
+        free = free or bool(n.mains and not n.asides)
+        for m in n.mains:
+            mains[m] = mains.get(m, 0) + len(n.text)
+        for a in n.asides:
+            held[a] = held.get(a, 0) + len(n.text)
+    if not mains:
+        return {a for a in named if held.get(a, 0) > 0.5 * total}
+    best = max(mains, key=lambda m: (mains[m], -m))
+    if free and mains[best] <= 0.5 * total:
+        return set()
+    return {a for n in nodes if best in n.mains for a in n.asides if a < best}
 
 
 def blocks(page: str) -> list[Node]:
     """The page's non-empty blocks of text that are not set aside, in order. Unclosed elements end where an outer one does."""
-    stack: list[tuple[str, bool]] = []  # (element, set aside)
+    stack: list[tuple[str, str, int]] = []  # (element, why it is set aside, its number on the page)
+    named: set[int] = set()
+    opened = 0
     found: list[Node] = []
     node: Node | None = None
     at, end = 0, len(page)
@@ -99,12 +135,13 @@ def blocks(page: str) -> list[Node]:
         if node is None:
             if raw.isspace():
                 return
-            names = [n for n, _ in stack if n not in INLINE]
-            node = Node("/".join(names), any(a for _, a in stack), any(n in HEADINGS for n in names))
+            names = [n for n, _, _ in stack if n not in INLINE]
+            asides, mains = [i for _, a, i in stack if a], [i for n, _, i in stack if n in ("article", "main")]
+            node = Node("/".join(names), asides, any(a == "hidden" for _, a, _ in stack), mains, any(n in HEADINGS for n in names))
             found.append(node)
         node.parts.append(raw)
-        if any(n == "a" for n, _ in stack):
-            node.linked += len(raw.strip())
+        if any(n == "a" for n, _, _ in stack):
+            node.link_parts.append(raw)
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -124,7 +161,7 @@ def blocks(page: str) -> list[Node]:
         if tag[1] == "/":
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if stack[i][1] or any(n not in INLINE for n, _ in stack[i:]):
+                    if stack[i][1] or any(n not in INLINE for n, _, _ in stack[i:]):
                         node = None
                     del stack[i:]
                     break
@@ -151,16 +188,21 @@ def blocks(page: str) -> list[Node]:
                     break
                 if stack[i][0] in BARRIER:
                     break
-        elif not inline and any(n == "p" for n, _ in stack):
-            i = max(i for i, (n, _) in enumerate(stack) if n == "p")
-            if not any(n in BARRIER for n, _ in stack[i:]):
+        elif not inline and any(n == "p" for n, _, _ in stack):
+            i = max(i for i, (n, _, _) in enumerate(stack) if n == "p")
+            if not any(n in BARRIER for n, _, _ in stack[i:]):
                 del stack[i:]  # a block ends an open paragraph, and what that holds
         aside = _set_aside(name, tag)
         if aside:
             node = None
         if not tag.endswith("/>"):
-            stack.append((name, aside))
-    return [n for n in found if not n.aside and n.close()]
+            opened += 1
+            stack.append((name, aside, opened))
+            if aside == "name":
+                named.add(opened)
+    shown = [n for n in found if not n.hidden and n.close()]
+    spared = _spared(shown, named) if any(n.asides for n in shown) else set()
+    return [n for n in shown if spared.issuperset(n.asides)]
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -178,7 +220,7 @@ def content(page: str | None, keep: float = 0.25) -> list[str]:
     and short blocks go with it.
     """
     nodes = [(n, n.text) for n in blocks(page or "")]
-    nodes = [(n, t) for n, t in nodes if n.linked < 0.6 * len(t) or n.heading]
+    nodes = [(n, t) for n, t in nodes if n.mains or n.linked < 0.6 * len(t) or n.heading]
     inner = [(n, t) for n, t in nodes if re.search(r"(^|/)(article|main)(/|$)", n.path)]
     if sum(len(t) for _, t in inner) > 0.3 * sum(len(t) for _, t in nodes):
         nodes = inner
