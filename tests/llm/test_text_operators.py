@@ -240,6 +240,11 @@ def test_html_links_are_measured_as_read():
     assert html_text.content(f"<p>{outside}<a>{coded}</a></p>") == [LONG + LONG[:60].strip()]
 
 
+def test_html_ratios_decide_inside_the_article():
+    page = "<article>" + f"<p>{LONG}</p>" * 5 + "<div><span>Ad</span></div>" * 6 + "</article>"
+    assert html_text.content(page) == [LONG.strip()] * 5
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(i, p, "clash") for i, p in enumerate(PAGES)], "page_id int, html string, text string")
     found = html_text.extract(rows, kept=["page_id"]).collect()

@@ -40,6 +40,8 @@ PLAIN_NAMES = {
     "site", "page", "main", "top", "bottom", "left", "right", "primary", "secondary", "global", "section", "list", "box", "block", "wrapper",
     "wrap", "container", "inner", "outer", "area", "item", "bar", "links", "post", "article",
 }
+#: The share of its full score that a path outside an article has, where the article holds most of the page's text.
+OUTSIDE = 0.1
 #: Elements that never have content of their own.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements inside a line: they neither begin nor end a block.
@@ -215,17 +217,12 @@ def _smooth(values: np.ndarray) -> np.ndarray:
 def content(page: str | None, keep: float = 0.25) -> list[str]:
     """The content blocks of a page.
 
-    A path is content if its fused ratio is at least ``keep`` of the mean over the page's text. Within
-    an ``article`` or ``main`` that holds most of what is left, only that counts, and its headings
-    and short blocks go with it.
+    A path is content if its fused ratio is at least ``keep`` of the mean over the page's text. An ``article``
+    or ``main`` that holds most of what is left only weighs: paths outside have ``OUTSIDE`` of their
+    score. Headings before the last content block go with it.
     """
     nodes = [(n, n.text) for n in blocks(page or "")]
     nodes = [(n, t) for n, t in nodes if n.mains or n.linked < 0.6 * len(t) or n.heading]
-    inner = [(n, t) for n, t in nodes if re.search(r"(^|/)(article|main)(/|$)", n.path)]
-    if sum(len(t) for _, t in inner) > 0.3 * sum(len(t) for _, t in nodes):
-        nodes = inner
-        articles = [(n, t) for n, t in nodes if re.search(r"(^|/)article(/|$)", n.path)]
-        nodes = articles or nodes
     if not nodes:
         return []
     paths = {p: i for i, p in enumerate(dict.fromkeys(n.path for n, _ in nodes))}
@@ -237,11 +234,15 @@ def content(page: str | None, keep: float = 0.25) -> list[str]:
     fused = np.sqrt(_smooth(text_ratio[which]) * (1.0 + _smooth(mark_ratio[which])))
     path_score = np.bincount(which, fused) / per_path
     mean = float((fused * length).sum() / length.sum())
+    within = np.array([bool(n.mains) for n, _ in nodes])
+    if length[within].sum() > 0.3 * length.sum():
+        path_score = path_score * np.where(np.bincount(which, within) > 0, 1.0, OUTSIDE)
     good = path_score >= keep * mean
+    if not good.any():
+        good = path_score >= path_score.max()
     first, last = np.flatnonzero(good[which])[[0, -1]]
-    within = np.array([bool(re.search(r"(^|/)(article|main)(/|$)", n.path)) for n, _ in nodes])
     led = np.array([n.heading for n, _ in nodes]) & (np.arange(len(nodes)) < last)
-    return [t for i, (_, t) in enumerate(nodes) if good[which[i]] or within[i] or (led[i] and i >= first - 3)]
+    return [t for i, (_, t) in enumerate(nodes) if good[which[i]] or (led[i] and (within[i] or i >= first - 3))]
 
 
 def extract(pages: DataFrame, html_column: str = "html", kept: list[str] | None = None) -> DataFrame:
