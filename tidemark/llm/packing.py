@@ -8,8 +8,8 @@ that each join a bounded number of partitions, until one partition is left.
 
 from __future__ import annotations
 
-import json
 import os
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,32 +17,61 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import map_column
+from tidemark.llm.batches import SLICE_ROWS, give_back, map_column
 from tidemark.llm.storage import stored
 
 #: Open windows of each partition, and partitions whose left-over windows one task merges.
 OPEN_WINDOWS, MERGED_PARTITIONS = 32, 16
 #: Entries of a worker's cache of chunk encodings, and characters of the longest chunk kept there.
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 200_000, 48
 #: Marks after a chunk's letters that the tokenizer takes as one word.
 _MARKS = ".,;:!?*$%&#|"
 #: White space besides blank, tab and line ends, and what may be read as such: texts with it are encoded whole.
 _ODD_BLANKS = [chr(c) for c in (*range(0x0B, 0x0D), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+#: Below this character letters have one form, and their lower case does not depend on what stands beside them.
+_PLAIN_BELOW = "\u0250"
 
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level models have for each byte: itself if it is printable, else one above 255."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
+class ChunkIds(dict):
+    """Ids of chunks as bytes, made when they are first asked for; what an older cache held is taken over."""
+
+    def __init__(self, make: Callable[[str, "ChunkIds"], bytes], older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.make(chunk, self)
+        if len(chunk) <= CACHE_CHARS:
+            self[chunk] = found
+        return found
+
+
 class ChunkEncoder:
     """Ids of whole texts, as little-endian 32-bit integers, from a tokenizer that drops white space.
 
     Such a tokenizer never joins what white space parts. Each distinct chunk between blanks is encoded
-    once and remembered, and the ids of a text are those of its chunks in order. A full cache becomes the
-    older one, from which what is met again is taken over, and a new one begins. A probe decides whether the tokenizer at hand is of that kind; if not, and for texts
+    once and remembered, and the ids of a text are those of its chunks in order. Letters with marks
+    after them are two words to it, and plain letters go to its model in lower case without its other
+    steps. A full cache becomes the older one, from which what is met again is taken over, and a new
+    one begins. Probes decide whether the tokenizer at hand is of that kind; if not, and for texts
     with odd white space, whole texts are encoded.
     """
 
     #: Blanks, marks, letters, digits and combining characters next to white space.
     PROBE = "It's  A\tprobe:\n'tis \u00e9 \u0301x 12 3.4\r\n\n\u00c9t\u00c9 ... a'b 's &amp; \u03a3\u03a3 \u4e2d\u6587 <|x|> #*$%& "
+    #: Letters, with capitals and accents, and with marks after them.
+    WORDS = "Words OF internationalization qxzvk \u00c9t\u00c9 stra\u00dfe \u0153uvre ma\u00f1ana, end. what?! a### B&&& c$%*"
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
@@ -51,73 +80,46 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.joined = False
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.plain = False
+        self.cache = ChunkIds(self._make, {})
         self.chunked = True
         self.chunked = self.encode([self.PROBE]) == self._whole([self.PROBE])
+        self.plain = True
+        words = self.WORDS.split()
+        self.plain = [self._make(w, ChunkIds(self._make, {})) for w in words] == self._whole(words)
+        self.forget()
 
-        model = json.loads(self.tokenizer.to_str())["model"]
-        suffix = model.get("end_of_word_suffix")
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        if suffix:
-            self.ends[[at for token, at in vocab.items() if token.endswith(suffix)]] = True
-        self.joined = bool(suffix)
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.cache = ChunkIds(self._make, {})
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _plain(self, chunks: list[str], words: np.ndarray) -> list[bytes]:
-        """Chunks of letters, then perhaps marks, encoded as one text and parted at the ends of their words.
-
-        ``words`` is how many words (letters, marks) each has. A chunk never has fewer than that for the
-        tokenizer, so if all have as many together, each has; otherwise each is encoded on its own.
-        """
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids])
-        if len(ends) != words.sum():
-            return self._whole(chunks)
-        stops = (4 * (ends[np.cumsum(words) - 1] + 1)).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-
-    def _learn(self, missing: list[str], known: dict[str, bytes]) -> None:
-        plain, words, other = [], [], []
-        for c in missing:
-            core = c.rstrip(_MARKS)
-            if self.joined and core.isalpha():
-                plain.append(c)
-                words.append(1 if len(core) == len(c) else 2)
-            else:
-                other.append(c)
-        counts = np.array(words, np.int64)
-        for at in range(0, len(plain), 2_000):
-            known.update(zip(plain[at : at + 2_000], self._plain(plain[at : at + 2_000], counts[at : at + 2_000]), strict=True))
-        for at in range(0, len(other), 2_000):
-            known.update(zip(other[at : at + 2_000], self._whole(other[at : at + 2_000]), strict=True))
+    def _make(self, chunk: str, known: ChunkIds) -> bytes:
+        core = chunk.rstrip(_MARKS) if self.plain else ""
+        if not core.isalpha() or max(core) >= _PLAIN_BELOW:
+            return self._whole([chunk])[0]
+        lower = core.lower()
+        if lower == chunk:
+            letters = chunk if chunk.isascii() else "".join(map(self.letters.__getitem__, chunk.encode()))
+            ids = [t.id for t in self.model.tokenize(letters)]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if not lower.isalpha() or max(lower) >= _PLAIN_BELOW:
+            return self._whole([chunk])[0]
+        return known[lower] + known[chunk[len(core) :]] if len(core) < len(chunk) else known[lower]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if self.chunked and not any(c in t for c in _ODD_BLANKS) else None for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        missing = {c for chunks in split if chunks for c in chunks if c not in cache}
-        if older:
-            again = missing & older.keys()
-            cache.update((c, older[c]) for c in again)
-            missing -= again
-        known = cache if len(missing) < CACHE_CHUNKS else dict(cache)
-        self._learn(list(missing), known)
-        get = known.__getitem__
-        out = [b"".join(map(get, chunks)) if chunks else b"" for chunks in split]
-        whole = [i for i, chunks in enumerate(split) if chunks is None]
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]) if whole else [], strict=True):
-            out[i] = ids
-        for c in missing:
-            if len(c) > CACHE_CHARS:
-                known.pop(c, None)
+        out = []
+        for text in texts:
+            if not self.chunked or any(c in text for c in _ODD_BLANKS):
+                out.append(self._whole([text])[0])
+                continue
+            if len(self.cache) > CACHE_CHUNKS:
+                self.cache, self.cache.older = ChunkIds(self._make, self.cache), {}
+            out.append(b"".join(map(self.cache.__getitem__, text.split())))
         return out
 
 
@@ -133,14 +135,14 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str = "do
     ids_of = _text_ids(tokenizer, end_id)
 
     def make(texts: list[str | None]) -> dict:
-        return {"ids": pa.array([x for at in range(0, len(texts), 250) for x in ids_of(texts[at : at + 250])], pa.binary())}
+        return {"ids": pa.array(ids_of(texts), pa.binary())}
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
     return map_column(rows, ["doc_id"], F.col("body"), make, "ids binary")
 
 
 class Windows:
-    """The open windows of one task: best fit by binary search over their free room."""
+    """The open windows of one task, by free room, so that the first with enough of it is the best fit."""
 
     def __init__(self, capacity: int, limit: int) -> None:
         self.capacity, self.limit, self.open = capacity, limit, []  # (room, number, items), by room
@@ -171,8 +173,8 @@ class Windows:
 
 
 def _parts(batch: pa.RecordBatch, ids_of: Callable[[list], list[bytes]]) -> Iterator[tuple[object, bytes, int]]:
-    for at in range(0, batch.num_rows, 250):
-        part = batch.slice(at, 250)
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        part = batch.slice(at, SLICE_ROWS)
         yield from zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist()), part.column(2).to_pylist(), strict=True)
 
 
@@ -219,6 +221,9 @@ def _pack_partition(capacity: int, limit: int, id_bytes: bool, ids_of: Callable[
             emit(window, window[0] == 0)
         if kind is not None and rows:
             yield flush()
+        for used in _loaded.values():
+            used.forget()
+        give_back()
 
     return work, names
 
