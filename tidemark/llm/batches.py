@@ -10,9 +10,14 @@ from pyspark.sql import Column, DataFrame
 
 #: Rows of a batch that are Python objects at one time.
 SLICE_ROWS = 500
+#: Rows and bytes of an Arrow batch: set on the session where it has Spark's own values (10,000 rows, 64 MB).
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b"),
+}
 
 
-def give_back() -> None:
+def _give_back() -> None:
     """Hands the memory that a task has freed back to the system: workers stay alive between tasks."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
@@ -20,6 +25,22 @@ def give_back() -> None:
         trim(0)
 
 
+def in_arrow(
+    rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+) -> DataFrame:
+    """``mapInArrow`` with batches bounded in rows and bytes, and workers that keep no freed memory."""
+    conf = rows.sparkSession.conf
+    for key, (usual, ours) in BATCH.items():
+        if conf.get(key, None) == usual:
+            conf.set(key, ours)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        _give_back()
+
+    return rows.mapInArrow(run, schema)
+
+
 def map_column(
     rows: DataFrame, kept: list[str], value: Column, make: Callable[[list], dict[str, object]], schema: str
 ) -> DataFrame:
@@ -39,6 +60,5 @@ def map_column(
                 made = make(part.column(part.num_columns - 1).to_pylist())
                 columns = [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], *made])
-        give_back()
 
-    return rows.select(*kept, value.alias("__value")).mapInArrow(work, ddl)
+    return in_arrow(rows.select(*kept, value.alias("__value")), work, ddl)

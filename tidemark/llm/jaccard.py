@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import map_column
+from tidemark.llm.batches import in_arrow, map_column
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mix, shingle_set
 from tidemark.llm.storage import small, stored
@@ -240,7 +240,7 @@ def _grouped(rows: DataFrame, by: list[str], work: Callable[[pa.Table], dict[str
         if made[out.names[0]]:
             yield flush()
 
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    return in_arrow(rows.repartition(*by).sortWithinPartitions(*by), run, schema)
 
 
 def _shared(tokens: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:

@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import SLICE_ROWS, give_back, map_column
+from tidemark.llm.batches import SLICE_ROWS, in_arrow, map_column
 from tidemark.llm.storage import stored
 
 #: Open windows of each partition, and partitions whose left-over windows one task merges.
 OPEN_WINDOWS, MERGED_PARTITIONS = 32, 16
+#: Pieces, of ``capacity`` ids at most, that a task holds before it hands them on.
+FLUSHED_PIECES = 500
 #: Entries of a worker's cache of chunk encodings, and characters of the longest chunk kept there.
 CACHE_CHUNKS, CACHE_CHARS = 200_000, 48
 #: Marks after a chunk's letters that the tokenizer takes as one word.
@@ -215,7 +217,7 @@ def _pack_partition(capacity: int, limit: int, id_bytes: bool, ids_of: Callable[
                     done = windows.place(length, piece)
                     if done is not None:
                         emit(done, True)
-                if len(rows) >= 2_000:
+                if len(rows) >= FLUSHED_PIECES:
                     yield flush()
         for window in windows.open:
             emit(window, window[0] == 0)
@@ -223,7 +225,6 @@ def _pack_partition(capacity: int, limit: int, id_bytes: bool, ids_of: Callable[
             yield flush()
         for used in _loaded.values():
             used.forget()
-        give_back()
 
     return work, names
 
@@ -307,7 +308,7 @@ def _packed(
     work, _ = _pack_partition(capacity, open_windows, keep_ids, ids_of)
     schema = f"doc_id {kind}, start bigint, length bigint, doc_tokens bigint, part bigint, `window` bigint, offset bigint, closed boolean"
     rows = rows.select("doc_id", "value", F.spark_partition_id().cast("long").alias("part"))
-    pieces = stored(rows.mapInArrow(work, schema + ", ids binary" * keep_ids), "pieces")
+    pieces = stored(in_arrow(rows, work, schema + ", ids binary" * keep_ids), "pieces")
 
     open_ = pieces.where(~F.col("closed")).groupBy("part", "window").agg(F.sum("length").alias("used"))
     # what became of each first window: where it lies now, and how far in

@@ -14,6 +14,9 @@ for _c in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
 for _c in range(0x41, 0x5B):
     _BYTES[_c] = _c + 32
 
+#: Powers of each kind that a worker keeps: for texts of a million bytes, longer ones make their own.
+KEPT_POWERS = 1 << 20
+
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -25,11 +28,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(which: str, n: int) -> np.ndarray:
+    """The first ``n`` powers; a worker keeps at most ``KEPT_POWERS`` of them."""
     have = _powers[which]
     if len(have) < n:
-        factor = np.full(max(n, 2 * len(have)), _P if which == "up" else _P_INVERSE, np.uint64)
+        factor = np.full(max(n, min(2 * len(have), KEPT_POWERS)), _P if which == "up" else _P_INVERSE, np.uint64)
         factor[0] = 1
-        have = _powers[which] = np.cumprod(factor, dtype=np.uint64)
+        have = np.cumprod(factor, dtype=np.uint64)
+        if len(have) <= KEPT_POWERS:
+            _powers[which] = have
     return have[:n]
 
 

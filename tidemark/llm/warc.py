@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import map_column
+from tidemark.llm.batches import in_arrow, map_column
 from tidemark.llm.storage import small, stored
 
 #: Plain bytes after which a frame is closed, and compressed bytes after which a bundle is.
@@ -211,7 +211,7 @@ def write_archive(
         if bundle.index:
             yield ended(bundle, part, number)
 
-    return stored(rows.mapInArrow(work, f"bundle string, content binary, index {_INDEX}"), "archive")
+    return stored(in_arrow(rows, work, f"bundle string, content binary, index {_INDEX}"), "archive")
 
 
 def read_archive(archive: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def read_archive(archive: DataFrame) -> DataFrame:
         "bundle string, frame int, offset bigint, record_key string, url string, record_type string, "
         "payload_digest string, payload_bytes bigint, refers_to string, payload binary"
     )
-    return archive.select("bundle", "content").mapInArrow(work, schema)
+    return in_arrow(archive.select("bundle", "content"), work, schema)
 
 
 def locate(archive: DataFrame) -> DataFrame:
