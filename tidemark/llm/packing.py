@@ -25,7 +25,7 @@ OPEN_WINDOWS, MERGED_PARTITIONS = 32, 16
 #: Pieces, of ``capacity`` ids at most, that a task holds before it hands them on.
 FLUSHED_PIECES = 500
 #: Entries of a worker's cache of chunk encodings, and characters of the longest chunk kept there.
-CACHE_CHUNKS, CACHE_CHARS = 200_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 600_000, 48
 #: Marks after a chunk's letters that the tokenizer takes as one word.
 _MARKS = ".,;:!?*$%&#|"
 #: White space besides blank, tab and line ends, and what may be read as such: texts with it are encoded whole.
@@ -44,16 +44,14 @@ def _byte_letters() -> list[str]:
 
 
 class ChunkIds(dict):
-    """Ids of chunks as bytes, made when they are first asked for; what an older cache held is taken over."""
+    """Ids of chunks as bytes, made when they are first asked for."""
 
-    def __init__(self, make: Callable[[str, "ChunkIds"], bytes], older: dict[str, bytes]) -> None:
+    def __init__(self, make: Callable[[str, "ChunkIds"], bytes]) -> None:
         super().__init__()
-        self.make, self.older = make, older
+        self.make = make
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.older.get(chunk)
-        if found is None:
-            found = self.make(chunk, self)
+        found = self.make(chunk, self)
         if len(chunk) <= CACHE_CHARS:
             self[chunk] = found
         return found
@@ -65,9 +63,8 @@ class ChunkEncoder:
     Such a tokenizer never joins what white space parts. Each distinct chunk between blanks is encoded
     once and remembered, and the ids of a text are those of its chunks in order. Letters with marks
     after them are two words to it, and plain letters go to its model in lower case without its other
-    steps. A full cache becomes the older one, from which what is met again is taken over, and a new
-    one begins. Probes decide whether the tokenizer at hand is of that kind; if not, and for texts
-    with odd white space, whole texts are encoded.
+    steps. A full cache, of about 100 MB, is emptied. Probes decide whether the tokenizer at hand is of
+    that kind; if not, and for texts with odd white space, whole texts are encoded.
     """
 
     #: Blanks, marks, letters, digits and combining characters next to white space.
@@ -84,30 +81,34 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.plain = False
-        self.cache = ChunkIds(self._make, {})
+        self.cache = ChunkIds(self._make)
         self.chunked = True
         self.chunked = self.encode([self.PROBE]) == self._whole([self.PROBE])
         self.plain = True
         words = self.WORDS.split()
-        self.plain = [self._make(w, ChunkIds(self._make, {})) for w in words] == self._whole(words)
+        self.plain = [self._make(w, ChunkIds(self._make)) for w in words] == self._whole(words)
         self.forget()
 
     def forget(self) -> None:
         """Empties the caches."""
-        self.cache = ChunkIds(self._make, {})
+        self.cache = ChunkIds(self._make)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _make(self, chunk: str, known: ChunkIds) -> bytes:
+        if self.plain and chunk.isascii() and chunk.isalpha():
+            if not chunk.islower():
+                return known[chunk.lower()]
+            ids = [t.id for t in self.model.tokenize(chunk)]
+            return struct.pack(f"<{len(ids)}I", *ids)
         core = chunk.rstrip(_MARKS) if self.plain else ""
         if not core.isalpha() or max(core) >= _PLAIN_BELOW:
             return self._whole([chunk])[0]
         lower = core.lower()
         if lower == chunk:
-            letters = chunk if chunk.isascii() else "".join(map(self.letters.__getitem__, chunk.encode()))
-            ids = [t.id for t in self.model.tokenize(letters)]
+            ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, chunk.encode())))]
             return struct.pack(f"<{len(ids)}I", *ids)
         if not lower.isalpha() or max(lower) >= _PLAIN_BELOW:
             return self._whole([chunk])[0]
@@ -120,7 +121,7 @@ class ChunkEncoder:
                 out.append(self._whole([text])[0])
                 continue
             if len(self.cache) > CACHE_CHUNKS:
-                self.cache, self.cache.older = ChunkIds(self._make, self.cache), {}
+                self.cache.clear()
             out.append(b"".join(map(self.cache.__getitem__, text.split())))
         return out
 
