@@ -91,14 +91,53 @@ def test_decontamination_is_brute_force(spark):
     assert decontam.decontaminate(table.limit(0), bench).count() == 0
 
 
+def brute_near(text, item, slop, n=10):
+    """Places of the item's windows: (window, position of the rarest word), for words with a given rarity."""
+    w, iw = words(text), words(item)
+    size = min(n, len(iw))
+    found = set()
+    for window in {tuple(iw[a : a + size]) for a in range(max(0, len(iw) - size + 1) if size else 0)}:
+        span = size + slop
+        for s in range(1 - span, len(w)):
+            lo, hi = max(0, s), s + span
+            if not Counter(window) - Counter(w[lo:hi]):
+                found.add((window, lo, hi))
+    return found
+
+
 def test_proximity(spark):
-    table = docs(spark, "alpha x beta y gamma", "gamma beta alpha", "alpha beta", "alpha a b c d e f g h beta gamma")
-    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id int, text string")
-    wanted = decontam.phrases(bench, 10)
-    terms = wanted.select(F.explode("words").alias("term")).distinct()
-    ranked = decontam._ranked(wanted.select("item", "words"), decontam.term_counts(table, terms))
-    index = decontam.build_index(table, None, around=6)
-    assert {r["doc"] for r in decontam.find_near(index, ranked, 2).collect()} == {0, 1}
+    rng = np.random.default_rng(3)
+    line = lambda n: " ".join(rng.choice([f"w{i}" for i in range(12)], n))
+    items = [(1, "alpha beta gamma"), (2, line(6)), (3, "same other same"), (4, line(4)), (5, "lone"), (6, ""), (7, None)]
+    texts = ["alpha x beta y gamma", "gamma beta alpha", "alpha beta", "alpha a b c d e f g h beta gamma", "same other", "same x other same", "other same same lone lone", "", None]
+    texts += [line(80) for _ in range(12)]
+    table = docs(spark, *texts)
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    for window, slop in ((10, 2), (3, 1), (4, 0)):
+        counts = Counter(x for t in texts + ["no id here", texts[0]] for x in words(t))
+        want = Counter()
+        for i, text in enumerate(texts):
+            w = words(text)
+            for item, it in items:
+                places = set()
+                for win, lo, hi in brute_near(text, it, slop, window):
+                    rare = min(counts[x] for x in win)
+                    places |= {p for p in range(lo, min(hi, len(w))) if w[p] in win and counts[w[p]] == rare}
+                if places:
+                    want[i, item] = len(places)
+        got = {(r["doc_id"], r["item_id"]): r["n"] for r in decontam.near_items(table, bench, slop, window).collect()}
+        assert set(got) == set(want)
+        assert all(got[k] <= want[k] for k in got)  # of equally rare words one is looked up
+    assert decontam.near_items(table.limit(0), bench).count() == decontam.near_items(table, bench.limit(0)).count() == 0
+
+
+def test_the_intersection_decides(spark, monkeypatch):
+    """Without the lists of the other terms, what shares the two rarest would be taken for a match."""
+    table = docs(spark, "a b c d e f g h i j", "a b c x e f g h i j", "d d d d")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id int, text string")
+    assert {r["doc_id"] for r in decontam.decontaminate(table, bench).where("contaminated").collect()} == {0}
+    monkeypatch.setattr(decontam, "_met", lambda a, b, on, how: a if how == "left_anti" else a.limit(0))
+    assert {r["doc_id"] for r in decontam.decontaminate(table, bench).where("contaminated").collect()} > {0}
 
 
 # ---- statistics, trees, quality ----

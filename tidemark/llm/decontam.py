@@ -1,10 +1,10 @@
 """Benchmark decontamination: a positional inverted index over the corpus and exact phrase search.
 
-The index stores a posting (term, document, position, the words around it) for every occurrence of
-the terms it is asked to hold, and one posting of the empty term per document row, whose position is
-the document's length. A phrase is looked up from its rarest terms: the posting lists of its rarest
-and its second rarest term are shifted by the terms' offsets in the phrase and intersected, and what
-remains is compared word by word with the words that the posting carries.
+The index stores a posting (term, document, position) for every word of the corpus, and one without a
+term per document row, whose position is the document's length. Terms are 64-bit hashes of words.
+A phrase is looked up from its rarest terms: the posting lists of its rarest and second rarest term are
+shifted by the terms' offsets and intersected, and the lists of all its other terms, as far as they
+lie where something is left, are intersected with that. Nothing but this decides what matches.
 
 Everything is DataFrame functions. Postings are spread by document, never gathered by term, so a
 term or passage that a third of the corpus holds makes no hot task; what test items contribute is
@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import small, stored
-from tidemark.llm.words import word_array
+from tidemark.llm.words import ascii_lower, cased_words, once, word_array
 
-#: The term of the posting that each document row has at its end.
-END = ""
+#: Where a posting lies; rows of one id and one text are the same document.
+_PLACE = ["doc", "mark", "pos", "term"]
 
 
 def phrases(items: DataFrame, window: int = 10, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -39,137 +39,134 @@ def phrases(items: DataFrame, window: int = 10, item_id: str = "item_id", text:
     )
 
 
-def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows keyed by id and a hash of the text: rows of one key have the same words."""
-    return docs.select(
-        F.col(doc_id).alias("doc"), F.xxhash64(text).alias("mark"), word_array(F.col(text)).alias("words")
-    )
-
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The stored index of all words: (doc, mark, term, pos); mark is a hash of the text.
 
-def term_counts(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, df): how many times each of ``terms`` occurs in the whole corpus; 0 where it does not."""
-    found = (
-        _documents(docs, doc_id, text)
-        .select(F.explode("words").alias("term"))
-        .join(small(terms), "term")
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
+    Each document row also has the posting (null, its number of words), so empty and null texts are in
+    the index too. The index is made in one pass and does not depend on what is searched for.
+    """
+    rows = docs.select(
+        F.col(doc_id).alias("doc"), once(F.xxhash64(text)).alias("mark"), F.concat(cased_words(F.col(text)), F.array(F.lit(""))).alias("words")
     )
-    return terms.join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    rows = rows.select("doc", "mark", F.posexplode("words").alias("pos", "word"))
+    term = F.when(F.col("word") != "", F.xxhash64(ascii_lower(F.col("word"))))
+    return stored(rows.select("doc", "mark", term.alias("term"), "pos"), "postings")
 
 
-def build_index(
-    docs: DataFrame, terms: DataFrame | None = None, around: int = 9, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """The stored index: (doc, mark, term, pos, from_pos, near).
+def ranked_phrases(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Stored phrases (phrase, item, n, ranked) of ``wanted`` (item, words): ranked is an array of (df, offset,
+    term), the terms that are rarest in the corpus first."""
+    numbered = stored(wanted.select("item", "words", F.monotonically_increasing_id().alias("phrase")), "windows")
+    each = numbered.select("phrase", "item", F.posexplode("words").alias("offset", "word")).withColumn("term", F.xxhash64("word"))
+    terms = stored(each.select("term").distinct(), "item-terms")
+    held = index.join(small(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
+    counts = stored(terms.join(held, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df")), "term-counts")
+    ranked = each.join(small(counts), "term").groupBy("phrase", "item").agg(F.sort_array(F.collect_list(F.struct("df", "offset", "term"))).alias("ranked"))
+    return stored(ranked.withColumn("n", F.size("ranked")), "ranked")
 
-    ``near`` is the words from ``from_pos`` to ``around`` words after ``pos``. With ``terms`` only
-    postings of those terms are kept; without it, of all. Each document row also has the posting
-    (END, its number of words), so empty and null texts are in the index too.
-    """
-    rows = _documents(docs, doc_id, text).select(
-        "doc", "mark", "words", F.posexplode(F.concat("words", F.array(F.lit(END)))).alias("pos", "term")
-    )
-    if terms is not None:
-        held = stored(terms.select("term").union(docs.sparkSession.createDataFrame([(END,)], "term string")), "index-terms")
-        rows = rows.join(small(held), "term")
-    start = F.greatest(F.lit(0), F.col("pos") - around)
-    near = F.slice("words", start + 1, F.col("pos") + around + 1 - start)
-    rows = rows.select(
-        "doc", "mark", "term", "pos", start.alias("from_pos"), F.when(F.col("term") != END, near).alias("near")
-    )
-    return stored(rows, "postings")
 
+def _same(a: DataFrame, b: DataFrame, on: list[str]) -> tuple[DataFrame, Column]:
+    """``b`` with its columns renamed, and the condition that ``on`` are equal, nulls too."""
+    b = b.withColumnsRenamed({c: f"_{c}" for c in on})
+    met = F.lit(True)
+    for c in on:
+        met = met & a[c].eqNullSafe(b[f"_{c}"])
+    return b, met
 
-def _ranked(wanted: DataFrame, counts: DataFrame) -> DataFrame:
-    """Phrases with their terms in order of rarity: ranked is an array of (df, offset, term), first offsets only."""
-    each = (
-        wanted.withColumn("phrase", F.xxhash64(F.concat_ws(" ", "words")))  # tells an item's windows apart
-        .select("item", "phrase", "words", F.posexplode("words").alias("offset", "term"))
-        .join(small(counts), "term")
-        .groupBy("item", "phrase", "term")
-        .agg(F.first("words").alias("words"), F.min("offset").alias("offset"), F.first("df").alias("df"))
-    )
-    return each.groupBy("item", "phrase").agg(
-        F.first("words").alias("words"), F.sort_array(F.collect_list(F.struct("df", "offset", "term"))).alias("ranked")
-    )
 
+def _met(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
+    b, met = _same(a, b.select(*on), on)
+    return a.join(small(b) if how == "left_semi" else b, met, how)
 
-def _lists(index: DataFrame, asked: DataFrame, term: str, offset: str, kept: list[str]) -> DataFrame:
-    """Posting lists of the asked terms, shifted to where the phrase would start."""
-    return (
-        index.join(small(asked.where(F.col(term).isNotNull()).withColumnRenamed(term, "term")), "term")
-        .withColumn("start", F.col("pos") - F.col(offset))
-        .where(F.col("start") >= 0)
-        .select("doc", "mark", "item", "phrase", "start", *kept)
-    )
 
+def _candidates(index: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Where the two rarest terms of a phrase of two words or more stand as in it: (doc, mark, phrase, start), stored.
 
-def _asked(ranked: DataFrame) -> DataFrame:
-    rare, next_rare = F.try_element_at("ranked", F.lit(1)), F.try_element_at("ranked", F.lit(2))
-    return stored(
-        ranked.select(
-            "item",
-            "phrase",
-            F.col("words").alias("p_words"),
-            rare["term"].alias("term1"),
-            rare["offset"].alias("offset1"),
-            next_rare["term"].alias("term2"),
-            next_rare["offset"].alias("offset2"),
-        ),
-        "phrases",
-    )
+    Windows of one passage mostly share these two terms and their distance, so lists are met by such
+    pairs, not by phrases. Both lists of a pair come from one scan and are combined before the shuffle.
+    """
+    first, second = F.col("ranked")[0], F.col("ranked")[1]
+    asked = ranked.where(F.col("n") > 1).select(
+        "phrase",
+        first["offset"].alias("offset"),
+        F.struct(first["term"].alias("one"), second["term"].alias("two"), (second["offset"] - first["offset"]).alias("apart")).alias("pair"),
+    )
+    numbers = stored(asked.select("pair").distinct().withColumn("number", F.monotonically_increasing_id()), "pairs")
+    one = F.struct(F.col("pair.one").alias("term"), F.lit(0).alias("shift"), F.lit(1).alias("side"))
+    two = F.struct(F.col("pair.two").alias("term"), F.col("pair.apart").alias("shift"), F.lit(2).alias("side"))
+    lists = stored(numbers.select("number", F.inline(F.array(one, two))), "lists")
+    anchors = (
+        index.join(small(lists), "term")
+        .groupBy("doc", "mark", "number", (F.col("pos") - F.col("shift")).alias("at"))
+        .agg(F.bit_or("side").alias("sides"))
+        .where(F.col("sides") == 3)
+    )
+    places = stored(asked.join(numbers, "pair").select("number", "phrase", "offset"), "pair-phrases")
+    start = F.col("at") - F.col("offset")
+    return stored(anchors.join(small(places), "number").where(start >= 0).select("doc", "mark", "phrase", start.alias("start")), "candidates")
 
 
 def find_phrases(index: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Every exact occurrence of a phrase: (doc, mark, item, start, n), each once.
-
-    ``index`` must hold the two rarest terms of each phrase with all the phrase's words around them.
-    A phrase with only one term is found from that one's list.
-    """
-    asked = _asked(ranked)
-    n = F.size("p_words")
-    first = _lists(index, asked, "term1", "offset1", ["term2", "p_words", "from_pos", "near"])
-    first = first.where(F.slice("near", F.greatest(F.lit(1), F.col("start") - F.col("from_pos") + 1), n) == F.col("p_words"))
-    first = first.select("doc", "mark", "item", "phrase", "start", n.alias("n"), "term2")
-    second = _lists(index, asked, "term2", "offset2", []).withColumnRenamed("doc", "doc2").withColumnRenamed("mark", "mark2")
-    met = first.where(F.col("term2").isNotNull()).join(
-        second,
-        F.col("doc").eqNullSafe(F.col("doc2"))
-        & (F.col("mark") == F.col("mark2"))
-        & (first["item"].eqNullSafe(second["item"]))
-        & (first["phrase"] == second["phrase"])
-        & (first["start"] == second["start"]),
-        "left_semi",
-    )
-    alone = first.where(F.col("term2").isNull())
-    return met.unionByName(alone).select("doc", "mark", "item", "start", "n").distinct()
+    """Every exact occurrence of a phrase of ``ranked_phrases``: (doc, mark, item, start, n), each once."""
+    alone = stored(ranked.where(F.col("n") == 1).select("phrase", F.col("ranked")[0]["term"].alias("term")), "single-words")
+    single = index.join(small(alone), "term").select("doc", "mark", "phrase", F.col("pos").alias("start"))
+    left = _candidates(index, ranked)
+    others = stored(ranked.where(F.col("n") > 2).select("phrase", F.inline(F.slice("ranked", 3, F.col("n")))).drop("df"), "other-terms")
+    wanted = left.join(small(others), "phrase").select("doc", "mark", "phrase", "start", (F.col("start") + F.col("offset")).alias("pos"), "term")
+    places = stored(wanted.select(*_PLACE).distinct(), "wanted-places")
+    marks = stored(left.select("mark").distinct(), "candidate-marks")
+    held = stored(_met(index.join(small(marks), "mark", "left_semi"), places, _PLACE, "left_semi").select(*_PLACE).distinct(), "held-places")
+    absent = stored(_met(places, held, _PLACE, "left_anti"), "absent-places")
+    broken = _met(wanted, absent, _PLACE, "left_semi").select("doc", "mark", "phrase", "start").distinct()
+    whole = _met(left, broken, ["doc", "mark", "phrase", "start"], "left_anti")
+    names = small(stored(ranked.select("phrase", "item", "n"), "phrase-names"))
+    return whole.unionByName(single).join(names, "phrase").select("doc", "mark", "item", "start", "n").distinct()
 
 
 def find_near(index: DataFrame, ranked: DataFrame, slop: int) -> DataFrame:
-    """Proximity matches: (doc, mark, item, pos), an occurrence ``pos`` of the phrase's rarest term in
-    some span of at most its length plus ``slop`` words that holds every term of it, in any order.
+    """Proximity matches: (doc, mark, phrase, item, pos), an occurrence ``pos`` of the phrase's rarest term in some
+    span of at most its length plus ``slop`` words that holds all words of the phrase, in any order; a
+    word that the phrase has twice must be there twice.
 
-    ``index`` must have been built with ``around`` of at least the longest phrase plus ``slop``, less one.
+    The lists of the rarest and of the next rarest different term are met in blocks of a span's length;
+    the other lists are read only around what is left, at most two spans about each occurrence.
     """
-    asked = stored(
-        ranked.select(
-            "item",
-            F.try_element_at("ranked", F.lit(1))["term"].alias("term"),
-            F.array_distinct("words").alias("p_terms"),
-            (F.size("words") + slop).alias("span"),
-        ),
-        "near-phrases",
-    )
-    at = F.col("pos") - F.col("from_pos")
-    first = F.greatest(F.lit(0), at - F.col("span") + 1)
-    spans = F.transform(F.sequence(first, at), lambda i: F.slice("near", i + 1, F.col("span")))
-    return (
-        index.join(small(asked), "term")
-        .where(F.exists(spans, lambda s: F.size(F.array_except("p_terms", s)) == 0))
-        .select("doc", "mark", "item", "pos")
-        .distinct()
-    )
+    terms = F.array_distinct(F.transform("ranked", lambda r: r["term"]))
+    needs = F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(F.filter("ranked", lambda r: r["term"] == t)).alias("times")))
+    asked = stored(ranked.select("phrase", "item", (F.col("n") + slop).alias("span"), needs.alias("needs")), "near-phrases")
+    rare = asked.select("phrase", "item", "span", "needs", F.col("needs")[0]["term"].alias("term"))
+    anchors = index.join(small(stored(rare, "near-rarest")), "term").select("doc", "mark", "phrase", "item", "span", "needs", "pos")
+    second = stored(asked.where(F.size("needs") > 1).select("phrase", "span", F.col("needs")[1]["term"].alias("term")), "near-second")
+    block = F.floor(F.col("pos") / F.col("span"))
+    beside = index.join(small(second), "term").select("doc", "mark", "phrase", F.explode(F.sequence(block - 1, block + 1)).alias("block")).distinct()
+    pairs = anchors.where(F.size("needs") > 1).withColumn("block", block)
+    pairs = _met_far(pairs, beside, ["doc", "mark", "phrase", "block"]).drop("block")
+    anchors = stored(pairs.unionByName(anchors.where(F.size("needs") == 1)), "near-anchors")
+    at = F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("span") + 1), F.col("pos") + F.col("span") - 1)
+    wanted = anchors.select("doc", "mark", "phrase", F.col("pos").alias("anchor"), F.explode(F.col("needs.term")).alias("term"), at.alias("at"))
+    wanted = wanted.select("doc", "mark", "phrase", "anchor", "term", F.explode("at").alias("pos"))
+    marks = stored(anchors.select("mark").distinct(), "near-marks")
+    around, met = _same(wanted, index.join(small(marks), "mark", "left_semi").select(*_PLACE).distinct(), _PLACE)
+    seen = wanted.join(around, met).groupBy("doc", "mark", "phrase", "anchor").agg(F.collect_list(F.struct("pos", "term")).alias("seen"))
+    held = anchors.withColumn("anchor", F.col("pos"))
+    seen, met = _same(held, seen, ["doc", "mark", "phrase", "anchor"])
+    full = held.join(seen, met)
+
+    def holds(first: Column) -> Column:
+        def enough(need: Column) -> Column:
+            here = F.filter("seen", lambda s: (s["term"] == need["term"]) & (s["pos"] >= first) & (s["pos"] < first + F.col("span")))
+            return F.size(here) >= need["times"]
+
+        return F.forall("needs", enough)
+
+    firsts = F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("span") + 1), F.col("pos"))
+    return full.where(F.exists(firsts, holds)).select("doc", "mark", "phrase", "item", "pos").distinct()
+
+
+def _met_far(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``a`` that ``b``, of any size, has the ``on`` of."""
+    b, met = _same(a, b.select(*on), on)
+    return a.join(b, met, "left_semi")
 
 
 def _covered(spans: Column) -> Column:
@@ -186,13 +183,8 @@ def _covered(spans: Column) -> Column:
 
 def _search(docs: DataFrame, items: DataFrame, window: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(index, occurrences) of all windows of the items in the whole corpus."""
-    wanted = stored(phrases(items, window).select("item", "words"), "windows")
-    terms = stored(wanted.select(F.explode("words").alias("term")).distinct(), "item-terms")
-    counts = stored(term_counts(docs, terms, doc_id, text), "term-counts")
-    ranked = stored(_ranked(wanted, counts), "ranked")
-    pivots = ranked.select(F.explode(F.slice("ranked", 1, 2)).alias("r")).select("r.term").distinct()
-    index = build_index(docs, pivots, window - 1, doc_id, text)
-    return index, find_phrases(index, ranked)
+    index = build_index(docs, doc_id, text)
+    return index, find_phrases(index, ranked_phrases(index, phrases(items, window)))
 
 
 def decontaminate(
@@ -213,7 +205,7 @@ def decontaminate(
         F.col("item").cast("string").alias("item"),
         F.lit(None).cast("long").alias("n_words"),
     )
-    lengths = index.where(F.col("term") == END).select(
+    lengths = index.where(F.col("term").isNull()).select(
         "doc",
         "mark",
         F.lit(None).cast("struct<start:int,n:int>").alias("span"),
@@ -236,10 +228,23 @@ def decontaminate(
     )
 
 
+def near_items(
+    docs: DataFrame, items: DataFrame, slop: int = 2, window: int = 10, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, item_id, n): in how many places a document has all words of some window of an item near together.
+
+    A place is an occurrence of the window's rarest word that ``find_near`` finds; documents without any give
+    no row. Rows of one id are counted by their different texts together; other columns are ignored.
+    """
+    index = build_index(docs, doc_id, text)
+    found = find_near(index, ranked_phrases(index, phrases(items, window)), slop)
+    return found.select("doc", "mark", "item", "pos").distinct().groupBy(F.col("doc").alias(doc_id), F.col("item").alias("item_id")).agg(F.count("*").alias("n"))
+
+
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows in whose text no window of an item occurs, with all their columns."""
+    """The rows in whose text no window of an item occurs, with all their columns; null texts stay."""
     _, found = _search(docs, items, window, doc_id, text)
     hit = stored(found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).distinct(), "contaminated")
     same = F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__mark"))
