@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.stamps import as_of_instant, known_instant
 from tidemark.sources.store import Store
 
 
 def ingest_payloads(arrivals: DataFrame, store: Store, checkpoint: str, source: str) -> StreamingQuery:
     """Streams (kind, key, as_of, payload, fetched_at as text) into a store with a path.
 
-    Every batch writes its own folder anew, so one that is run again after a failure replaces what it
-    had written; arrival order is the batch number, then the row in it.
+    Every batch is one append under the query's id, which its checkpoint keeps, and the batch's number, so
+    one that is run again after a failure is not appended twice, and no other writer is touched.
+    Arrival order is the batch, then the row in it; a batch follows what the store held when it came.
     """
-    log = f"{store.path}/payloads"
+    if store.path is None:
+        raise ValueError("a store in memory takes no stream")
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.select(
-            "kind",
-            "key",
-            "as_of",
-            as_of_instant(F.col("as_of")).alias("as_of_ts"),
-            F.lit(source).alias("source"),
-            "payload",
-            known_instant(F.col("fetched_at")).alias("fetched_at"),
-            (F.monotonically_increasing_id() + F.shiftleft(F.lit(number + 1).cast("long"), 40)).alias("ingest_seq"),
-        )
-        rows.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        query = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        store.append_payloads(batch, source, under=f"stream-{query}-{number}")
 
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
