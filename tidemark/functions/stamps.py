@@ -18,7 +18,18 @@ _STAMP = (
 )
 
 
+#: The usual forms, which Spark reads as they are once a zone stands at their end; and those that have one.
+_USUAL = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})?$"
+_ZONED = r"(?:Z|[+-]\d{2}:\d{2})$"
+
+
 def _instant(stamp: Column, zone: str) -> Column:
+    """The usual forms take two tests and one cast; only others are taken apart."""
+    named = F.when(stamp.rlike(_ZONED), stamp).otherwise(F.concat(stamp, F.lit(f" {zone}")))
+    return F.when(stamp.rlike(_USUAL), named.try_cast("timestamp")).otherwise(_taken_apart(stamp, zone))
+
+
+def _taken_apart(stamp: Column, zone: str) -> Column:
     def part(i: int) -> Column:
         return F.regexp_extract(stamp, _STAMP, i)
 

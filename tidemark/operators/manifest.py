@@ -103,9 +103,10 @@ def misfiled_research(research: DataFrame, as_of: Column) -> DataFrame:
     v = F.try_parse_json("data")
     said, stamp = F.try_variant_get(v, "$.ticker", "string"), F.coalesce(F.try_variant_get(v, "$.as_of", "string"), F.lit(""))
     agent = F.coalesce(F.try_variant_get(v, "$.agent", "string"), F.lit("?"))
-    same = session_day(as_of_instant(stamp)) == session_day(as_of_instant(as_of))
+    run = session_day(as_of_instant(as_of))
+    same, day = session_day(as_of_instant(stamp)) == run, F.coalesce(run.cast("string"), F.lit("None"))
     wrong = F.when(~said.eqNullSafe(F.col("ticker")), F.concat(agent, F.lit(" output filed under "), "ticker", F.lit(" names "), F.coalesce(said, F.lit("nothing"))))
-    other = F.when(~F.coalesce(same, F.lit(False)), F.concat(agent, F.lit("["), "ticker", F.lit("] is stamped '"), stamp, F.lit("', not this run's session")))
+    other = F.when(~F.coalesce(same, F.lit(False)), F.concat(agent, F.lit("["), "ticker", F.lit("] is stamped '"), stamp, F.lit("', not session "), day))
     return research.select(F.explode(F.array_compact(F.array(wrong, other))).alias("problem"))
 
 
