@@ -1,52 +1,31 @@
 """Where the operators put what several of their steps read, and when they may broadcast.
 
 Executors can be lost and share no local disk, so lineage is cut only with tables written
-below ``spark.checkpoint.dir``; a local folder is used only where that setting is absent.
+below ``spark.checkpoint.dir``; see ``tidemark.sources.tables``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only after a count has shown it to have no more rows than this.
-BROADCAST_ROWS = 400_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can read and write."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        root = spark.sparkContext.getCheckpointDir()
-    if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+from tidemark.sources.tables import shared_dir, stored
 
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "shared_dir", "small", "stored"]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: computed once, lineage cut."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A side is broadcast only after a count has shown it to have no more rows, and about no more bytes, than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast only if it is stored already and counts at most ``rows`` rows.
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast only if it is stored already and small in rows and in bytes.
 
-    Beyond that the join shuffles, and adaptive execution splits its skewed partitions.
+    A row takes about 24 bytes and 8 for each column in memory; what strings and arrays take besides is
+    reckoned as thrice their files. Beyond the bounds the join shuffles, and adaptive execution splits
+    its skewed partitions.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    rows = df.count()
+    if rows > BROADCAST_ROWS:
+        return df
+    files = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if rows * (24 + 8 * len(df.columns)) + 3 * files <= BROADCAST_BYTES else df
