@@ -49,19 +49,15 @@ def test_every_cited_word_is_checked(spark, tmp_path):
     spark.createDataFrame([(1, 0, said), (1, 1, None)], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     found = {r["turn"]: r["invented"] for r in queries.cited_check(spark, str(tmp_path)).collect()}
     assert found == {0: "|".join(f"w{i}" for i in range(4, 20)), 1: ""}
-    with_all_words = queries.ORACLE_SQL["cited_check"].replace("[1:12]", "")
-    compare(spark, connect(DATA), DATA, queries.cited_check, with_all_words)
+    compare(spark, connect(DATA), DATA, queries.cited_check, queries.ORACLE_SQL["cited_check"])
 
 
 @pytest.mark.parametrize("name", ["payload_asof", "payload_asof_known", "cache_lookup"])
 def test_every_event_is_asked_for(spark, con, name):
-    whole = queries.ORACLE_SQL[name].replace(" WHERE event_id % 10 = 0", "")
-    assert whole != queries.ORACLE_SQL[name]
-    assert compare(spark, con, DATA, queries.QUERIES[name], whole) > 0.9 * con.execute("SELECT count(*) FROM events").fetchone()[0]
+    assert "event_id % 10" not in queries.ORACLE_SQL[name]
+    assert compare(spark, con, DATA, queries.QUERIES[name], queries.ORACLE_SQL[name]) > 0.9 * con.execute("SELECT count(*) FROM events").fetchone()[0]
 
 
 def test_every_customer_asks_for_every_ticker(spark, con):
-    whole = queries.ORACLE_SQL["bars_for_requests"]
-    whole = whole.replace(" WHERE c_custkey % 100 = 0", "").replace("(SELECT min(o_orderpriority) FROM orders) AS ticker", "ticker")
-    whole = whole.replace("FROM customer)", "FROM customer, (SELECT DISTINCT o_orderpriority AS ticker FROM orders))")
-    assert compare(spark, con, DATA, queries.bars_for_requests, whole) == con.execute("SELECT count(*) FROM customer").fetchone()[0]
+    found = compare(spark, con, DATA, queries.bars_for_requests, queries.ORACLE_SQL["bars_for_requests"])
+    assert found == con.execute("SELECT count(*) FROM customer").fetchone()[0]

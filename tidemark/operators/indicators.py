@@ -91,6 +91,11 @@ def atr_series(bars: DataFrame, n: int = 14) -> DataFrame:
     return ewm_series(ranged, f"atr_{n}", lambda r: r["tr"], 1.0 / n, n)
 
 
+def too_short(bars: DataFrame) -> DataFrame:
+    """(ticker, n_bars) of the tickers that ``snapshot`` refuses for their short history."""
+    return bars.groupBy("ticker").agg(F.count("*").alias("n_bars")).where(F.col("n_bars") < LEAST_BARS)
+
+
 def snapshot(bars: DataFrame, strict: bool = False) -> DataFrame:
     """One row a ticker: the indicators at its last bar. Tickers of under 30 bars are left out, or with
     ``strict`` fail the job. What cannot be computed is null."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,9 @@ from tidemark.operators import asof, indicators, manifest, rules
 from tidemark.operators import calls as external
 from tidemark.operators.calendar import CLOSED, NYSE
 from tidemark.plans import cycle, views
-from tidemark.sources.store import current
+from tidemark.sources import recorded
+from tidemark.sources.store import Store, current
+from tidemark.sources.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,7 +51,7 @@ _PAYLOADS = """pay AS (
     FROM events), req AS (
     SELECT event_id AS request_id, event_type AS kind, CAST(user_id AS VARCHAR) AS key, (ts + INTERVAL 1 HOUR) AT TIME ZONE 'America/New_York' AS cut,
            date_trunc('second', ts + INTERVAL 48 HOUR) AS known
-    FROM events WHERE event_id % 10 = 0)"""
+    FROM events)"""
 _CALLS = """calls AS (
     SELECT event_id AS seq, event_type AS agent, CAST(user_id AS VARCHAR) AS ticker,
            CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS DATE) AS day, props AS digest, value FROM events)"""
@@ -80,7 +84,8 @@ def bars_known_at(spark, sf_dir):
 
 
 @query(f"""WITH {_BARS}, r AS (
-    SELECT c_custkey AS request_id, (SELECT min(o_orderpriority) FROM orders) AS ticker, DATE '1995-06-01' + CAST(c_custkey % 700 AS INTEGER) AS s FROM customer WHERE c_custkey % 100 = 0)
+    SELECT c_custkey AS request_id, ticker, DATE '1995-06-01' + CAST(c_custkey % 700 AS INTEGER) AS s
+    FROM customer, (SELECT DISTINCT o_orderpriority AS ticker FROM orders))
     SELECT request_id, count(*) AS n, round(sum(close), 2) AS total FROM r JOIN bars USING (ticker)
     WHERE date >= s AND date <= s + 60 AND date + lag <= s + 45 GROUP BY 1""")
 def bars_for_requests(spark, sf_dir):
@@ -322,7 +327,7 @@ def snapshot_refused(spark, sf_dir):
     """Tickers with too short a history for a snapshot."""
     day = F.col("ts").cast("date")
     days = views.table(spark, sf_dir, "events").select(F.col("event_type").alias("ticker"), day.alias("date")).where(NYSE.is_session(F.col("date"))).distinct()
-    return days.groupBy("ticker").agg(F.count("*").alias("n_bars")).where(F.col("n_bars") < indicators.LEAST_BARS)
+    return indicators.too_short(days)
 
 
 # ---- the research gate ----
@@ -355,7 +360,7 @@ def quoted_check(spark, sf_dir):
     return cycle.wrong_quotes(quotes, tables)
 
 
-@query("""WITH w AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[^ ]+')[1:12] AS cited FROM conversations),
+@query("""WITH w AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[^ ]+') AS cited FROM conversations),
     h AS (SELECT conv_id, turn, cited, cited[1:4] AS given FROM w)
     SELECT conv_id, turn, array_to_string(list_filter(cited, lambda c: NOT list_contains(given, c)), '|') AS invented FROM h""")
 def cited_check(spark, sf_dir):
@@ -401,8 +406,39 @@ def cross_check_violations(spark, sf_dir):
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS ticker FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""")
 def missing_source_gaps(spark, sf_dir):
     asked = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ticker"))
-    sources = views.table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 300000)
-    return asked.join(sources.select(F.col("o_custkey").cast("string").alias("ticker")), "ticker", "left_anti")
+    found = cycle.headlines_for(asked, _headlines(spark, sf_dir), "2026-09-14", "2026-09-14")
+    return cycle.silent_gaps(found).select("ticker")
+
+
+def _headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large orders as headlines of their customers."""
+    large = views.table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 300000)
+    at = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return large.select(
+        F.lit("headlines").alias("kind"), F.col("o_custkey").cast("string").alias("key"), at.alias("as_of"), stamps.as_of_instant(at).alias("as_of_ts"),
+        F.concat(F.lit("["), F.col("o_orderkey").cast("string"), F.lit("]")).alias("payload"), stamps.known_instant(at).alias("fetched_at"), F.col("o_orderkey").alias("ingest_seq"),
+    )
+
+
+@query("""WITH large AS (SELECT o_custkey, arg_max(o_orderkey, (CAST(o_orderdate AS DATE), o_orderkey)) AS last FROM orders WHERE o_totalprice > 300000 GROUP BY 1)
+    SELECT CAST(c_custkey AS VARCHAR) AS ticker, '[' || last || ']' AS payload FROM customer LEFT JOIN large ON o_custkey = c_custkey""")
+def headlines_as_of(spark, sf_dir):
+    """Every customer's latest headline; of those of one day that of the last order is current."""
+    asked = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ticker"))
+    return cycle.headlines_for(asked, current(_headlines(spark, sf_dir), ["kind", "key", "as_of"]), "2026-09-14", "2026-09-14")
+
+
+@query(f"""WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS ticker, c_custkey % 7 AS r, c_custkey % 5 AS trend, c_custkey % 3 AS tone FROM customer)
+    SELECT ticker, CASE WHEN r > 0 AND trend > 0 THEN '{{"trend":"up","strength":"s' || trend || '","tone":' || CASE WHEN tone > 0 THEN '"t' || tone || '"' ELSE 'null' END
+           || ',"atr_pct":0.25,"ret_1m":null}}' END AS summary,
+           CASE WHEN r = 0 THEN '{cycle.NOT_ASKED_GAP.format(why=cycle.OVER_BUDGET)}' WHEN trend = 0 THEN '{cycle.NO_TREND_GAP}' END AS gap FROM t""")
+def summaries_rolled(spark, sf_dir):
+    key, n = F.col("c_custkey").cast("string").alias("ticker"), F.col("c_custkey")
+    customers = views.table(spark, sf_dir, "customer")
+    trend = customers.where(n % 5 > 0).select(key, F.lit(cycle.TREND).alias("agent"), F.concat(F.lit('{"trend": "up", "strength": "s'), (n % 5).cast("string"), F.lit('"}')).alias("data"))
+    tone = customers.where(n % 3 > 0).select(key, F.lit(cycle.TONE).alias("agent"), F.concat(F.lit('{"tone": "t'), (n % 3).cast("string"), F.lit('"}')).alias("data"))
+    tables = customers.select(key, F.lit(0.25).alias("atr_pct"), F.lit(None).cast("double").alias("ret_1m"))
+    return cycle.summaries(tables, customers.where(n % 7 > 0).select(key), trend.unionByName(tone), cycle.OVER_BUDGET)
 
 
 @query("""SELECT event_type AS stage, count(*) AS asked, count(*) FILTER (WHERE value > 99) AS n_failed,
@@ -457,10 +493,130 @@ def stale_misses(spark, sf_dir):
 def cache_lookup(spark, sf_dir):
     stored = views.payloads(spark, sf_dir).withColumn("key", F.concat_ws("|", "kind", "key")).withColumn("kind", F.lit(external.CACHE_KIND))
     body = F.concat(F.lit('{"data": '), "payload", F.lit(', "reply": {"model": "m"}}'))
-    asked = views.requests(spark, sf_dir).withColumn("cache_key", F.concat_ws("|", "kind", "key"))
+    asked = views.requests(spark, sf_dir).withColumns({"cache_key": F.concat_ws("|", "kind", "key"), "payload": F.lit("what is asked")})
     return external.from_cache(asked, stored.withColumn("payload", body)).select("request_id", F.replace("data", F.lit(":"), F.lit(": ")).alias("data"))
 
 
+@query(f"""WITH {_CALLS}, asked AS (SELECT *, '{{"k": ' || (seq % 50) || '}}' AS own FROM calls)
+    SELECT agent, count(*) AS n, array_to_string(list_sort(list(DISTINCT CAST(day AS VARCHAR))), ',') AS days FROM asked a
+    WHERE EXISTS (SELECT 1 FROM calls e WHERE e.agent = a.agent AND e.ticker = a.ticker AND e.day = a.day AND e.digest <> a.own) GROUP BY 1""")
+def stale_misses_stored(spark, sf_dir):
+    """Per agent the missed calls whose agent and ticker have an answer to another question stored in the session."""
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    who = F.concat_ws("|", F.lit("live"), "event_type", F.col("user_id").cast("string"))
+    events = views.table(spark, sf_dir, "events")
+    held = events.select(F.lit(external.CACHE_KIND).alias("kind"), F.concat_ws("|", who, "props").alias("key"), stamps.as_of_instant(at).alias("as_of_ts"))
+    own = F.concat(F.lit('{"k": '), (F.col("event_id") % 50).cast("string"), F.lit("}"))
+    missed = events.select(F.col("event_type").alias("agent"), at.alias("as_of"), F.concat_ws("|", who, own).alias("cache_key"))
+    return external.stale_report(external.stale_misses(missed, held)).withColumn("days", F.array_join(F.transform("days", lambda d: d.cast("string")), ","))
+
+
+class _ByNumber:
+    """A backend that answers by the number asked about: well, well at the second attempt, badly, or not at all."""
+
+    name = "live"
+
+    def complete(self, call: external.Call) -> external.Reply:
+        second = "Your previous reply was rejected" in call.prompt
+        k = int(re.search(r'"k": (\d+)', call.prompt).group(1))
+        if k % 4 == 3:
+            raise external.BackendError("down")
+        text = f'{{"k": {k}}}' if k % 4 == 0 or (k % 4 == 1 and second) else '{"k": "none"}'
+        return external.Reply(text, call.model, self.name, 100, 20, 0.002)
+
+
+_K_REPLY = {"k": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}}
+
+
+def _asked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of asking about every event again, after all were asked about once with a store."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    asked = views.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), F.col("event_type").alias("agent"), F.col("user_id").cast("string").alias("ticker"), stamp.alias("as_of"),
+        F.lit("sys").alias("system"), F.col("props").alias("payload"), F.lit("k").alias("schema"),
+    )
+    store, settings = Store(spark), external.Settings(default_model="m")
+    external.run_calls(asked, _ByNumber(), _K_REPLY, settings, store, now="2024-03-01T00:00:00Z")
+    return external.run_calls(asked, _ByNumber(), _K_REPLY, settings, store, now="2024-03-01T00:00:00Z")[0]
+
+
+_TWICE = """o AS (SELECT event_id AS request_id, event_type AS agent, CAST(user_id AS VARCHAR) AS ticker, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"""
+
+
+@query(f"""WITH {_TWICE} SELECT request_id, CASE WHEN k % 4 < 2 THEN k END AS k, CAST(CASE k % 4 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS attempts,
+    CASE k % 4 WHEN 2 THEN 'schema' WHEN 3 THEN 'backend' END AS stage FROM o""")
+def calls_again(spark, sf_dir):
+    """Answers of the session are served from the store; what failed is asked again."""
+    k = F.try_variant_get(F.try_parse_json("data"), "$.k", "bigint")
+    return _asked_twice(spark, sf_dir).select("request_id", k.alias("k"), "attempts", "stage")
+
+
+@query(f"""WITH {_TWICE} SELECT agent, ticker, stage, error, count(*) AS n FROM (SELECT agent, ticker, CASE k % 4 WHEN 2 THEN 'schema' ELSE 'backend' END AS stage,
+    CASE k % 4 WHEN 2 THEN 'rejected twice: schema ''k'' rejected the output: k: ''none'' is not of type ''integer''' ELSE 'down' END AS error FROM o WHERE k % 4 > 1) GROUP BY ALL""")
+def calls_failures(spark, sf_dir):
+    return external.failures(_asked_twice(spark, sf_dir)).groupBy("agent", "ticker", "stage", "error").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_TWICE}, u AS (SELECT agent, k % 4 < 2 AS cached, CASE WHEN k % 4 = 2 THEN 2 ELSE 1 END AS n FROM o WHERE k % 4 < 3)
+    SELECT agent, 'm' AS model, 'live' AS backend, CAST(sum(n) AS BIGINT) AS calls, count(*) FILTER (WHERE cached) AS cached_calls, CAST(100 * sum(n) AS BIGINT) AS input_tokens,
+    CAST(20 * sum(n) AS BIGINT) AS output_tokens, round(CAST(sum(n) AS DOUBLE) / 500, 6) AS cost_usd, round(CAST(coalesce(sum(n) FILTER (WHERE NOT cached), 0) AS DOUBLE) / 500, 6) AS spent_usd
+    FROM u GROUP BY 1""")
+def calls_usage(spark, sf_dir):
+    """What the second time used: replies from the store bring the cost of their first time and spend nothing."""
+    return _rounded(external.usage(external.uses_of(_asked_twice(spark, sf_dir))), "cost_usd", "spent_usd", places=6)
+
+
+@query("""WITH c AS (SELECT event_id, event_type AS agent, CAST(user_id AS VARCHAR) AS ticker, user_id FROM events)
+    SELECT event_id, CASE WHEN user_id % 3 = 0 THEN agent || '/' || ticker || '.json' WHEN agent < 'm' THEN agent || '/default.json' WHEN agent <> 'view' THEN agent || '.json' END AS recorded FROM c""")
+def recorded_places(spark, sf_dir):
+    """The most specific recorded reply of each call."""
+    events = views.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("agent"), F.col("user_id").cast("string").alias("ticker"))
+    own, default, flat = (place.alias("place") for place in recorded.places())
+    agents = events.select("agent").distinct()
+    held = events.where(F.col("ticker").cast("bigint") % 3 == 0).select(own).distinct().unionByName(agents.where(F.col("agent") < "m").select(default))
+    held = held.unionByName(agents.where(F.col("agent") != "view").select(flat))
+    return recorded.with_recorded(events, held.withColumn("recorded", F.col("place"))).select("event_id", "recorded")
+
+
+# ---- the store on disk ----
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/tidemark/store-{uuid.uuid4().hex}")
+
+
+@query(f"""WITH {_BARS} SELECT ticker, date, close + CASE WHEN day(date) % 2 = 0 THEN 1 ELSE 0 END AS close, day(date) % 2 = 0 AS again FROM bars""")
+def store_bars(spark, sf_dir):
+    """Bars stored, those of even days stored again with another close under an earlier fetch: the last arrival is current."""
+    store, rows = _store(spark), views.bars(spark, sf_dir).drop("fetched_at")
+    store.upsert_bars(rows, "first", "2010-01-02")
+    store.upsert_bars(rows.where(F.dayofmonth("date") % 2 == 0).withColumn("close", F.col("close") + 1), "again", "2010-01-01")
+    return store.bars().select("ticker", "date", "close", (F.col("source") == "again").alias("again"))
+
+
+@query(f"""WITH {_BARS} SELECT 'bars' AS kind, ticker AS key, 'first' AS source, count(*) AS n_rows FROM bars GROUP BY 2""")
+def store_fetches(spark, sf_dir):
+    store = _store(spark)
+    store.upsert_bars(views.bars(spark, sf_dir).drop("fetched_at"), "first", "2010-01-02")
+    return store.log("fetches").select("kind", "key", "source", "n_rows")
+
+
+@query("""SELECT event_type AS kind, CAST(user_id AS VARCHAR) AS key, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS as_of, count(*) AS versions, count(*) > 1 OR bool_and(event_id % 2 = 0) AS either,
+    CASE WHEN count(*) = 1 THEN any_value(props) END AS only FROM events GROUP BY 1, 2, 3""")
+def store_payloads(spark, sf_dir):
+    """Payloads of a log on disk with the number of versions that each has had, and the payload where that is one."""
+    store = _store(spark)
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    rows = views.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("key"), stamp.alias("as_of"), F.col("props").alias("payload"), F.lit("2024-03-01").alias("fetched_at"),
+        (F.col("event_id") % 2 == 0).alias("even"),
+    )
+    for even in (True, False):
+        store.append_payloads(rows.where(F.col("even") == even), "even" if even else "odd", under=f"events-{even}")
+        store.append_payloads(rows, "repeated", under=f"events-{even}")  # was marked before: left out
+    counted = store.payloads(history=True).groupBy("kind", "key", "as_of").agg(F.count("*").alias("versions"))
+    either = (F.col("versions") > 1) | (F.col("source") == "even")
+    return store.payloads().join(counted, ["kind", "key", "as_of"]).select("kind", "key", "as_of", "versions", either.alias("either"), F.when(F.col("versions") == 1, F.col("payload")).alias("only"))
+
+
 # ---- JSON ----
 @query("""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
     CASE WHEN event_id % 4 = 3 THEN 'the reply contains no JSON object: ' || props[:-2] END AS problem FROM events""")
@@ -495,6 +651,27 @@ def canonical_hash(spark, sf_dir):
     return views.table(spark, sf_dir, "events").select(digest.alias("d")).agg(F.count_distinct("d").alias("questions"), F.count("*").alias("n"))
 
 
+_QUESTION = """'{"p": ' || props || ', "x": ' || (event_id % 9) || '.5}'"""
+
+
+@query(f"""SELECT event_id, {_QUESTION} AS canonical,
+    sha256('{{"effort": "", "model": "m", "payload": ' || {_QUESTION} || ', "schema": "c", "system": "s"}}') AS digest FROM events""")
+def canonical_digests(spark, sf_dir):
+    """The canonical form of noisy questions and their digests, byte for byte."""
+    noisy = F.concat(F.lit('{"x":'), (F.col("event_id") % 9).cast("string"), F.lit('.500001, "fetched_at": "'), F.col("event_id").cast("string"), F.lit('", "p":'), "props", F.lit("}"))
+    digest = jsontext.digest_text(F.lit("s"), noisy, F.lit("m"), F.lit("c"), F.lit(""))
+    return views.table(spark, sf_dir, "events").select("event_id", jsontext.canonical_text(noisy).alias("canonical"), digest.alias("digest"))
+
+
+@query("""SELECT event_id, '{"meta": {"as_of": "2020-01-01"}, "as_of": "' || CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE '2024-02-20T16:30:00' END || '", "p": ' || props || '}' AS reply FROM events""")
+def restamp_nested(spark, sf_dir):
+    """Only an object's own stamp is replaced."""
+    own = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    other = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'00:30:00")).otherwise(F.lit("2024-02-20T16:30:00"))
+    text = F.concat(F.lit('{"meta": {"as_of": "2020-01-01"}, "as_of": "'), own, F.lit('", "p": '), "props", F.lit("}"))
+    return views.table(spark, sf_dir, "events").select("event_id", jsontext.restamped(text, other).alias("reply"))
+
+
 @query("""SELECT CAST(ts AS DATE) || '-morning' || CASE WHEN event_id % 2 = 0 THEN '-dryrun' ELSE '' END AS run_id, count(*) AS n FROM events GROUP BY 1""")
 def run_ids(spark, sf_dir):
     backend: Column = F.when(F.col("event_id") % 2 == 0, "fake").otherwise("live")
