@@ -284,6 +284,44 @@ def test_html_ratios_decide_inside_the_article():
     assert html_text.content(page) == [LONG.strip()] * 5
 
 
+BARE_PAGES = {
+    f"<body><div class=top><ul><li><a href=x>One</a></li><li><a>Two</a></li></ul></div><div><h1>T</h1><p>{LONG}</p><p><a>{LONG}</a></p><p>{LONG}</p></div><div><span>Buy now</span></div></body>": ["T", LONG.strip(), LONG.strip(), LONG.strip()],
+    f"<div class='reader-article'><h1>T</h1><p>{LONG}</p></div>": ["T", LONG.strip()],
+    f"<div id='discussion-paper'><p>{LONG}</p></div><div class=comments><p>Nice. I like it.</p></div>": [LONG.strip()],
+    f"<article><header><h1>T</h1><p>By me</p></header><p>{LONG}</p></article><header><h1>Site</h1></header>": ["T", LONG.strip()],
+    f"<main><div class=comments><p>{LONG}</p><p>{LONG}</p></div><p>{LONG}</p><p>Short.</p></main>": [LONG.strip(), "Short."],
+    f"<table><tr><td>{LONG}</td></tr></table><div>nav | x | y</div>": [LONG.strip()],
+    f"<nav>{LONG}</nav><div><p>{LONG}</p></div>" * 3: [LONG.strip()] * 3,
+}
+
+
+@pytest.mark.parametrize("page", BARE_PAGES)
+def test_html_without_or_beside_an_article(page):
+    assert html_text.content(page) == BARE_PAGES[page]
+
+
+def test_html_ratios_decide():
+    """Without the threshold, adverts come in on every page of the table: only the ratios keep them out."""
+    import pyarrow.parquet as pq
+    from conftest import DATA
+
+    pages = pq.read_table(f"{DATA}/pages.parquet").column("html").to_pylist()
+    for page in pages:
+        kept, all_ = html_text.content(page), html_text.content(page, keep=0.0)
+        assert set(kept) < set(all_)
+        article = html_text.content(page[page.index("<article") : page.index("</article>")])
+        assert kept == article
+
+
+@pytest.mark.parametrize("page", ["<div>" * 10_000 + "x", "<div><p>a " * 10_000, "<div><span>t</b></i>" * 10_000, "<li>x" * 20_000, "<aside>y" * 10_000, "<article>z " * 10_000, "<p>long text " * 200_000])
+def test_html_time_does_not_grow_with_depth(page):
+    import time
+
+    began = time.process_time()
+    html_text.content(page)
+    assert time.process_time() - began < 3
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(i, p, "clash") for i, p in enumerate(PAGES)], "page_id int, html string, text string")
     found = html_text.extract(rows, kept=["page_id"]).collect()

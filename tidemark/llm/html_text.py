@@ -3,14 +3,15 @@
 A page is read into text nodes, each with its root-to-leaf tag path. Nodes of one path are
 counted together: how much text and how much punctuation the path holds for each of its nodes.
 Both ratios are smoothed along the page, fused by their product, and the paths above a
-threshold are content. Paths below elements that never hold an article's text (menus,
-forms, notices, comments) are set aside first.
+threshold are content. Names of elements, and whether a path lies in an article, only weigh; menus,
+forms' parts and the like, which never hold an article's text, are set aside first.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +27,20 @@ ASIDE = {
     "nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "figcaption", "label", "fieldset",
     "input", "option", "optgroup", "datalist", "canvas", "audio", "video", "map", "applet", "embed", "frameset",
 }
-#: Words in an element's id, class or role that set it aside. A name counts if it has no word but these and PLAIN_NAMES.
+#: Words in an element's id, class or role that make it weigh little. A name counts if it has no word but these and PLAIN_NAMES.
 ASIDE_NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "banners", "sponsor", "sponsored", "promo", "promotion",
-    "comment", "comments", "commentlist", "disqus", "replies", "respond", "discussion", "reader", "cookie", "cookies", "consent", "gdpr", "notice",
-    "notices", "notification", "alert", "alerts", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "aside", "widget", "widgets", "related", "recommended",
-    "footer", "footnav", "copyright", "header", "masthead", "topbar", "toolbar", "share", "sharing", "social", "search", "pagination", "pager",
-    "toc", "skip", "contentinfo", "complementary", "dialog", "form",
+    "ad", "ads", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "comment", "comments", "replies", "discussion",
+    "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "nav", "navbar",
+    "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "related", "recommended", "footer", "header", "masthead", "share",
+    "social", "search", "pagination", "toc",
 }
 #: Words that say of what or where a named part is, and nothing of what it holds.
 PLAIN_NAMES = {
-    "site", "page", "main", "top", "bottom", "left", "right", "primary", "secondary", "global", "section", "list", "box", "block", "wrapper",
-    "wrap", "container", "inner", "outer", "area", "item", "bar", "links", "post", "article",
+    "site", "page", "main", "top", "bottom", "left", "right", "section", "list", "box", "block", "wrapper", "container", "area", "item", "bar",
+    "links", "post", "article", "reader", "user",
 }
-#: The share of its full score that a path outside an article has, where the article holds most of the page's text.
-OUTSIDE = 0.1
+#: The share of its score that a path keeps: inside an element so named, outside the article, and as a path of links only.
+NAMED, OUTSIDE, LINKS = 0.05, 0.1, 0.05
 #: Elements that never have content of their own.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements inside a line: they neither begin nor end a block.
@@ -62,70 +61,128 @@ _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _MARKS = re.compile(r"""(?:^|[\s"'/])(?:id|class|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s/>=])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_closing = cache(lambda name: re.compile(rf"</{name}\s*[^>]*>", re.I))
 _PUNCTUATION = re.compile(r"[,.;:!?，。；：！？、]")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """A block of text: its path, its parts, and whether it lies in what is set aside."""
+    """A block of text: the number of its tag path, its parts, and the innermost element of each kind that it lies in."""
 
-    __slots__ = ("asides", "heading", "hidden", "linked", "link_parts", "mains", "parts", "path", "text")
+    __slots__ = ("aside", "heading", "linked", "link_parts", "main", "parts", "path", "text", "weight")
 
-    def __init__(self, path: str, asides: list[int], hidden: bool, mains: list[int], heading: bool) -> None:
-        self.path, self.asides, self.hidden, self.mains, self.heading = path, asides, hidden, mains, heading
-        self.parts, self.link_parts, self.linked, self.text = [], [], 0, ""
+    def __init__(self, path: int, aside: int, main: int, heading: bool) -> None:
+        self.path, self.aside, self.main, self.heading = path, aside, main, heading
+        self.parts, self.link_parts, self.linked, self.text, self.weight = [], [], 0, "", 1.0
 
     def close(self) -> bool:
         """Makes the text from the parts; whether there is any."""
         self.text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
-        self.linked = sum(len(_SPACE.sub(" ", html.unescape(x)).strip()) for x in self.link_parts)
+        self.linked = min(len(self.text), sum(len(_SPACE.sub(" ", html.unescape(x)).strip()) for x in self.link_parts))
         return self.text != ""
 
 
-def _set_aside(name: str, tag: str) -> str:
-    """Why an element is set aside: ``element``, ``name`` or ``hidden``; empty if it is not."""
-    if name in ASIDE:
-        return "name" if name == "form" else "element"
-    if "=" not in tag and "hidden" not in tag:
-        return ""
-    if name in ("body", "html", "main", "article"):
-        return ""
-    if _HIDDEN.search(tag) is not None:
-        return "hidden"
+def _named(tag: str) -> bool:
+    """Whether an element's id, class or role says that it holds something else than the article."""
     for named in " ".join(m.strip("\"'") for m in _MARKS.findall(tag)).split():
         words = set(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()))
         if words & ASIDE_NAMES and words <= ASIDE_NAMES | PLAIN_NAMES:
-            return "name"
-    return ""
+            return True
+    return False
 
 
-def _spared(nodes: list[Node], named: set[int]) -> set[int]:
-    """Elements set aside that hold the article after all.
+class _Open:
+    """An open element, with what holds for all that it contains."""
+
+    __slots__ = ("aside", "heading", "hidden", "main", "name", "path")
+
+    def __init__(self, name: str, path: int, aside: int, main: int, heading: bool, hidden: bool) -> None:
+        self.name, self.path, self.aside, self.main, self.heading, self.hidden = name, path, aside, main, heading, hidden
+
+
+class _Stack:
+    """The open elements, outermost first. Where the innermost of a name, block or barrier stands is known at once,
+    so that the time for a tag does not depend on how deep it lies."""
+
+    def __init__(self) -> None:
+        self.held = [_Open("", 0, 0, 0, False, False)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks, self.barriers = [0], [0]
+
+    def last(self, name: str) -> int:
+        return (self.at.get(name) or [0])[-1]
+
+    def push(self, element: _Open) -> None:
+        i = len(self.held)
+        self.held.append(element)
+        self.at.setdefault(element.name, []).append(i)
+        if element.name not in INLINE:
+            self.blocks.append(i)
+        if element.name in BARRIER:
+            self.barriers.append(i)
+
+    def cut(self, i: int) -> bool:
+        """Closes all elements from position ``i`` on; whether a block was among them."""
+        while len(self.held) > i:
+            self.at[self.held.pop().name].pop()
+        block = self.blocks[-1] >= i
+        for positions in (self.blocks, self.barriers):
+            while positions[-1] >= i:
+                positions.pop()
+        return block
 
-    That is the ``article`` or ``main`` of most text, if none lies outside what is set aside or if it has
-    most of the page's text. Without any, named elements (not menus and the like) with most of the text.
-    """
-    total, mains, held, free = 0, {}, {}, False
-    for n in nodes:
-        total += len(n.text)
-        free = free or bool(n.mains and not n.asides)
-        for m in n.mains:
-            mains[m] = mains.get(m, 0) + len(n.text)
-        for a in n.asides:
-            held[a] = held.get(a, 0) + len(n.text)
-    if not mains:
-        return {a for a in named if held.get(a, 0) > 0.5 * total}
-    best = max(mains, key=lambda m: (mains[m], -m))
-    if free and mains[best] <= 0.5 * total:
-        return set()
-    return {a for n in nodes if best in n.mains for a in n.asides if a < best}
+
+class _Asides:
+    """The elements of a page that are set aside or weigh little, by number, each with the one around it."""
+
+    def __init__(self) -> None:
+        self.around, self.factor, self.inside_main = [0], [1.0], [0]
+
+    def add(self, around: int, factor: float, main: int) -> int:
+        self.around.append(around)
+        self.factor.append(factor)
+        self.inside_main.append(main)
+        return len(self.around) - 1
+
+    def weights(self, nodes: list[Node], mains: list[tuple[int, int]]) -> list[float]:
+        """The weight of what lies in each: the product down to it, without those that hold the article after all.
+
+        That is the ``article`` or ``main`` (a list of the aside and the main around each) of most text, if
+        all lie in asides or if it has most of the page's text. Without any, an aside with most of the text.
+        """
+        total, held, inner = 0, [0] * len(self.around), [0] * len(mains)
+        for n in nodes:
+            total += len(n.text)
+            held[n.aside] += len(n.text)
+            inner[n.main] += len(n.text)
+        for i in range(len(held) - 1, 0, -1):
+            held[self.around[i]] += held[i]
+        for i in range(len(inner) - 1, 0, -1):
+            inner[mains[i][1]] += inner[i]
+        spared = set()
+        if len(mains) > 1:
+            best = max(range(1, len(mains)), key=lambda m: (inner[m], -m))
+            if 2 * inner[best] > total or all(aside for aside, _ in mains[1:]):
+                at = mains[best][0]
+                while at:
+                    spared.add(at)
+                    at = self.around[at]
+        else:
+            spared = {i for i in range(1, len(held)) if 2 * held[i] > total and self.factor[i] >= NAMED}
+        weight = [1.0] * len(held)
+        for i in range(1, len(held)):
+            weight[i] = weight[self.around[i]] * (1.0 if i in spared else self.factor[i])
+        return weight
 
 
 def blocks(page: str) -> list[Node]:
-    """The page's non-empty blocks of text that are not set aside, in order. Unclosed elements end where an outer one does."""
-    stack: list[tuple[str, str, int]] = []  # (element, why it is set aside, its number on the page)
-    named: set[int] = set()
-    opened = 0
+    """The page's non-empty blocks of text with their weights, in order; those set aside weigh 0.
+
+    Unclosed elements end where an outer one does. Time is in proportion to the page's length.
+    """
+    stack, asides = _Stack(), _Asides()
+    mains: list[tuple[int, int]] = [(0, 0)]
+    paths: dict[tuple[int, str], int] = {}
     found: list[Node] = []
     node: Node | None = None
     at, end = 0, len(page)
@@ -134,15 +191,14 @@ def blocks(page: str) -> list[Node]:
         nonlocal node
         if not raw:
             return
+        inner = stack.held[-1]
         if node is None:
-            if raw.isspace():
+            if raw.isspace() or inner.hidden:
                 return
-            names = [n for n, _, _ in stack if n not in INLINE]
-            asides, mains = [i for _, a, i in stack if a], [i for n, _, i in stack if n in ("article", "main")]
-            node = Node("/".join(names), asides, any(a == "hidden" for _, a, _ in stack), mains, any(n in HEADINGS for n in names))
+            node = Node(inner.path, inner.aside, inner.main, inner.heading)
             found.append(node)
         node.parts.append(raw)
-        if any(n == "a" for n, _, _ in stack):
+        if stack.last("a"):
             node.link_parts.append(raw)
 
     while at < end:
@@ -161,16 +217,14 @@ def blocks(page: str) -> list[Node]:
         name = name.group(1).lower()
         inline = name in INLINE
         if tag[1] == "/":
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if stack[i][1] or any(n not in INLINE for n, _, _ in stack[i:]):
-                        node = None
-                    del stack[i:]
-                    break
-                if inline and stack[i][0] not in INLINE:
-                    break  # an inline end tag reaches no further than its block
-            else:
-                node = None if not inline else node
+            opened = stack.last(name)
+            if inline and opened < stack.blocks[-1]:
+                continue  # an inline end tag reaches no further than its block
+            aside = stack.held[-1].aside
+            if not inline or (opened and stack.held[opened].aside != stack.held[opened - 1].aside):
+                node = None
+            if opened and (stack.cut(opened) or aside != stack.held[-1].aside):
+                node = None
             continue
         if name == "br":
             put(" ")
@@ -178,33 +232,42 @@ def blocks(page: str) -> list[Node]:
         if not inline:
             node = None
         if name in RAW and not tag.endswith("/>"):
-            close = re.compile(rf"</{name}\s*[^>]*>", re.I).search(page, at)
+            close = _closing(name).search(page, at)
             at = close.end() if close else end
             continue
         if name in VOID:
             continue
         if name in CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES[name]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BARRIER:
-                    break
-        elif not inline and any(n == "p" for n, _, _ in stack):
-            i = max(i for i, (n, _, _) in enumerate(stack) if n == "p")
-            if not any(n in BARRIER for n, _, _ in stack[i:]):
-                del stack[i:]  # a block ends an open paragraph, and what that holds
-        aside = _set_aside(name, tag)
-        if aside:
+            opened = max(stack.last(n) for n in CLOSES[name])
+            if opened > stack.barriers[-1]:
+                stack.cut(opened)
+        elif not inline and stack.last("p") > stack.barriers[-1]:
+            stack.cut(stack.last("p"))  # a block ends an open paragraph, and what that holds
+        if tag.endswith("/>"):
+            continue
+        inner = stack.held[-1]
+        main, aside, marked = inner.main, inner.aside, name
+        hidden = inner.hidden or ("hidden" in tag or "display" in tag) and _HIDDEN.search(tag) is not None
+        if name in ("article", "main"):
+            mains.append((aside, main))
+            main = len(mains) - 1
+        elif name == "header" and main:
+            aside, marked = asides.add(aside, NAMED, main), name + "!"  # an article's own, whose headings count
+        elif name in ASIDE:
+            aside, marked = asides.add(aside, NAMED if name == "form" else 0.0, main), name + "!"
+        elif "=" in tag and name not in ("body", "html") and _named(tag):
+            aside, marked = asides.add(aside, NAMED, main), name + "!"
+        if aside != inner.aside:
             node = None
-        if not tag.endswith("/>"):
-            opened += 1
-            stack.append((name, aside, opened))
-            if aside == "name":
-                named.add(opened)
-    shown = [n for n in found if not n.hidden and n.close()]
-    spared = _spared(shown, named) if any(n.asides for n in shown) else set()
-    return [n for n in shown if spared.issuperset(n.asides)]
+        path = inner.path if inline and marked == name else paths.setdefault((inner.path, marked), len(paths) + 1)
+        stack.push(_Open(name, path, aside, main, inner.heading or name in HEADINGS, hidden))
+    shown = [n for n in found if n.close()]
+    weights = asides.weights(shown, mains)
+    for n in shown:
+        n.weight = weights[n.aside]
+        if n.heading and n.aside and n.main and asides.inside_main[n.aside] == n.main and n.weight == NAMED:
+            n.weight = 1.0
+    return shown
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -217,32 +280,43 @@ def _smooth(values: np.ndarray) -> np.ndarray:
 def content(page: str | None, keep: float = 0.25) -> list[str]:
     """The content blocks of a page.
 
-    A path is content if its fused ratio is at least ``keep`` of the mean over the page's text. An ``article``
-    or ``main`` that holds most of what is left only weighs: paths outside have ``OUTSIDE`` of their
-    score. Headings before the last content block go with it.
+    A path's ratios are its text, outside links, and its punctuation for each of its nodes; both are smoothed
+    along the page and fused. A path is content if that score, by the path's weight, is at least ``keep`` of
+    the mean over the page's text. Without an article a path's own ratios count as much as the smoothed ones. What is named like something else than an article, and what lies
+    outside the ``article`` or ``main`` that holds most of the text, weighs little; only elements such as
+    menus weigh nothing. Headings before the last content block go with it.
     """
-    nodes = [(n, n.text) for n in blocks(page or "")]
-    nodes = [(n, t) for n, t in nodes if n.mains or n.linked < 0.6 * len(t) or n.heading]
+    nodes = [n for n in blocks(page or "") if n.weight > 0]
     if not nodes:
         return []
-    paths = {p: i for i, p in enumerate(dict.fromkeys(n.path for n, _ in nodes))}
-    which = np.array([paths[n.path] for n, _ in nodes])
-    length = np.array([len(t) for _, t in nodes], float)
-    marks = np.array([len(_PUNCTUATION.findall(t)) for _, t in nodes], float)
+    paths = {p: i for i, p in enumerate(dict.fromkeys((n.path, n.weight) for n in nodes))}
+    which = np.array([paths[n.path, n.weight] for n in nodes])
+    length = np.array([len(n.text) for n in nodes], float)
+    linked = np.array([n.linked for n in nodes], float)
+    marks = np.array([len(_PUNCTUATION.findall(n.text)) for n in nodes], float)
+    weight = np.array([n.weight for n in nodes])
+    within = np.array([bool(n.main) for n in nodes])
+    framed = (length * weight)[within].sum() > 0.3 * (length * weight).sum()
+    if framed:
+        weight = weight * np.where(within, 1.0, OUTSIDE)
+    else:
+        # links lead elsewhere where no article says that they are part of it
+        share = np.bincount(which, linked) / np.bincount(which, length)
+        weight = weight * np.maximum(1.0 - share, LINKS)[which]
     per_path = np.bincount(which)
-    text_ratio, mark_ratio = np.bincount(which, length) / per_path, np.bincount(which, marks) / per_path
-    fused = np.sqrt(_smooth(text_ratio[which]) * (1.0 + _smooth(mark_ratio[which])))
+    text_ratio, mark_ratio = (np.bincount(which, length) / per_path)[which], (np.bincount(which, marks) / per_path)[which]
+    fused = _smooth(text_ratio) * (1.0 + _smooth(mark_ratio))
+    if not framed:
+        fused = np.sqrt(fused * text_ratio * (1.0 + mark_ratio))
+    fused = np.sqrt(fused) * weight
     path_score = np.bincount(which, fused) / per_path
-    mean = float((fused * length).sum() / length.sum())
-    within = np.array([bool(n.mains) for n, _ in nodes])
-    if length[within].sum() > 0.3 * length.sum():
-        path_score = path_score * np.where(np.bincount(which, within) > 0, 1.0, OUTSIDE)
-    good = path_score >= keep * mean
+    good = path_score >= keep * float((fused * length).sum() / length.sum())
     if not good.any():
         good = path_score >= path_score.max()
     first, last = np.flatnonzero(good[which])[[0, -1]]
-    led = np.array([n.heading for n, _ in nodes]) & (np.arange(len(nodes)) < last)
-    return [t for i, (_, t) in enumerate(nodes) if good[which[i]] or (led[i] and (within[i] or i >= first - 3))]
+    chosen = weight >= weight[good[which]].min()
+    led = np.array([n.heading for n in nodes]) & chosen & (np.arange(len(nodes)) < last)
+    return [n.text for i, n in enumerate(nodes) if good[which[i]] or (led[i] and (within[i] or i >= first - 3))]
 
 
 def extract(pages: DataFrame, html_column: str = "html", kept: list[str] | None = None) -> DataFrame:
