@@ -13,7 +13,7 @@ SLICE_ROWS = 500
 #: Rows and bytes of an Arrow batch: set on the session where it has Spark's own values (10,000 rows, 64 MB).
 BATCH = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
-    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "3145728b"),
 }
 
 
