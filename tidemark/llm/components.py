@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import stored
+from tidemark.llm.storage import small, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation on edges (a, b) with a > b: every node's neighbours move to its least one.
 
     A large star moves the greater neighbours and a small star the lesser ones and the node itself.
-    The least neighbour is aggregated before the shuffle; the join splits hot nodes.
+    The least neighbours are aggregated before their shuffle and stored, so that the join broadcasts them
+    while they are few, and is one of two plain shuffles beyond, of which adaptive execution splits the
+    part of a hub.
     """
     if large:
         seen = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = seen.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
-        moved = seen.join(least, F.col("a") == F.col("node")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("root").alias("b"))
+        met = seen.join(small(stored(least, "least")), F.col("a") == F.col("node"))
+        moved = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("root").alias("b"))
     else:
-        least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-        met = edges.join(least, F.col("a") == F.col("node"))
+        least = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "least")
+        met = edges.join(small(least), F.col("a") == F.col("node"))
         moved = met.select(F.col("b").alias("a"), F.col("root").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("root").alias("b")))
     return moved.where(F.col("a") != F.col("b")).distinct()
 
@@ -40,6 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before or mark[0] == 0:
             break
         before = mark
-        now = stored(_star(_star(now, True), False), "edges")
+        now = stored(_star(stored(_star(now, True), "large-star"), False), "edges")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -58,11 +58,21 @@ def runs_for(recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - _survival(2)))
 
 
-def repeats_for(recall: float, runs: int) -> int:
-    """How often a large node of depth one is split so that ``runs`` keep the recall if all ``MAX_DEPTH`` levels must be survived."""
-    miss, below = (1 - recall) ** (1 / runs), _survival(MAX_DEPTH - 1)
-    needed = -math.log(miss)  # of each large node: 1 - exp(-needed) is 1 - miss
-    return max(1, math.ceil(math.log(1 - needed) / math.log(1 - below)))
+def repeats_for(recall: float, runs: int, threshold: float = 0.8) -> int:
+    """How often a large node of depth one is split so that ``runs`` keep the recall if all ``MAX_DEPTH`` levels must be survived.
+
+    In a large node a pair may also be parted by the dense part: one of them in it, the other not. Both
+    share the part's min-hash with a probability of the threshold, so at worst, with half of the node in the
+    part, they meet with threshold * (1 + s) / 2 where s is the chance to survive the splits.
+    """
+    needed = -math.log(1 - recall) / runs  # of each large node: 1 - exp(-needed) is what a run must not miss
+    repeats, below = 0, _survival(MAX_DEPTH - 1)
+    while repeats < 64:
+        repeats += 1
+        survived = 1 - (1 - below) ** repeats
+        if min(survived, threshold * (1 + survived) / 2) >= needed:
+            break
+    return repeats
 
 
 def _chosen(tokens: np.ndarray, node: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +174,28 @@ def _leaves(
 
 
 def _texts_of(found: DataFrame, keys: DataFrame, docs: DataFrame, kept: list[str], doc_id: str, text: str) -> DataFrame:
-    """(*kept, body) of one row for each of ``keys`` (key, *kept), or of a few where rows have equal ids."""
-    first = found.join(small(keys), "key").groupBy("key").agg(F.min("doc").alias("doc"), *[F.first(c).alias(c) for c in kept])
-    wanted = stored(first, "wanted-texts")
-    rows = docs.select(F.col(doc_id).alias("own_doc"), F.col(text).cast("binary").alias("body"))
-    return rows.join(small(wanted), F.col("own_doc").eqNullSafe(F.col("doc"))).select("key", *kept, "body")
+    """(key, *kept, body) of one row for each of ``keys`` (key, *kept).
+
+    A row is known by its id and the hash of its text. Where several rows are alike in both, their texts are
+    brought down to one, within each task first.
+    """
+    first = found.join(small(keys), "key").groupBy("key").agg(F.min(F.struct("doc", "mark")).alias("at"), *[F.first(c).alias(c) for c in kept])
+    again = found.where(F.col("key").isNotNull()).groupBy(F.col("doc").alias("again"), F.col("mark").alias("again_mark")).agg(F.count("*").alias("rows")).where("rows > 1")
+    wanted = first.select("key", F.col("at.doc").alias("doc"), F.col("at.mark").alias("mark"), *kept)
+    same = F.col("doc").eqNullSafe(F.col("again")) & (F.col("mark") == F.col("again_mark"))
+    wanted = stored(wanted.join(again, same, "left").select("key", "doc", "mark", *kept, F.col("rows").isNotNull().alias("several")), "wanted-texts")
+    rows = docs.select(F.col(doc_id).alias("own_doc"), F.xxhash64(text).alias("own_mark"), F.col(text).cast("binary").alias("body"))
+
+    def met(of: DataFrame) -> DataFrame:
+        own = F.col("own_doc").eqNullSafe(F.col("doc")) & (F.col("own_mark") == F.col("mark"))
+        return rows.join(small(of), own).select("key", *kept, "body")
+
+    single = met(wanted.where(~F.col("several")))
+    several = wanted.where("several")
+    if several.isEmpty():
+        return single
+    one = met(several).groupBy("key").agg(*[F.first(c).alias(c) for c in kept], F.min("body").alias("body"))
+    return single.unionByName(one.select("key", *kept, "body"))
 
 
 def _deep_leaves(
@@ -376,7 +403,7 @@ def jaccard_classes(
     """
     runs = runs_for(recall)
     found = stored(_described(docs, runs, threshold, words, doc_id, text), "sets")
-    leaves, dense = _leaves(found, docs, threshold, words, repeats_for(recall, runs), doc_id, text)
+    leaves, dense = _leaves(found, docs, threshold, words, repeats_for(recall, runs, threshold), doc_id, text)
     near = _near(stored(leaves, "members"), found)
     together = components(near if dense is None else near.unionByName(dense))
     sizes = (

@@ -147,6 +147,26 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc LEFT JOIN cover USING (k) LEFT JOIN held USING (k)
     """,
+    "op5_jaccard_join": rf"""
+        WITH RECURSIVE doc AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents
+        ), sets AS MATERIALIZED (
+            SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s
+            FROM doc WHERE len(w) > 0
+        ), keyed AS MATERIALIZED (SELECT doc_id, sha256(array_to_string(s, '|')) AS k, len(s) AS n, s FROM sets
+        ), one AS MATERIALIZED (SELECT k, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS copy_of, count(*) AS rows FROM keyed GROUP BY k
+        ), gram AS MATERIALIZED (SELECT k, n, unnest(s) AS g FROM one
+        ), link AS MATERIALIZED (
+            SELECT a.k AS a, b.k AS b FROM gram a JOIN gram b ON a.g = b.g AND a.k <> b.k AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)
+            GROUP BY a.k, b.k, a.n, b.n HAVING 10 * count(*) >= 8 * (a.n + b.n - count(*))
+        ), reach(k, r) AS (SELECT k, k FROM one UNION SELECT link.b, r FROM reach JOIN link ON link.a = reach.k
+        ), class AS (SELECT reach.k, min(other.copy_of) AS class_id FROM reach JOIN one other ON other.k = r GROUP BY reach.k
+        ), links AS (SELECT a AS k, count(*) AS n_links FROM link GROUP BY a)
+        SELECT documents.doc_id, coalesce(class_id, documents.doc_id) AS class_id, coalesce(copy_of, documents.doc_id) AS copy_of,
+               coalesce(rows - 1, 0) AS n_copies, coalesce(n_links, 0) AS n_links
+        FROM documents LEFT JOIN keyed ON keyed.doc_id = documents.doc_id LEFT JOIN one ON one.k = keyed.k
+             LEFT JOIN class ON class.k = keyed.k LEFT JOIN links ON links.k = keyed.k
+    """,
     "op10_perspectives": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS speech
