@@ -22,8 +22,8 @@ from tidemark.llm.batches import map_column
 LONGEST, RANKS = 3, 400
 #: At most about so many documents of each language are learnt from; of a language with fewer, all.
 SAMPLE_DOCS = 2_000
-#: At most so many languages, the most frequent first, are learnt.
-MAX_LANGS = 500
+#: Characters of a text that are counted at one time, and counts that a task holds before it hands them on.
+PIECE, HELD_COUNTS = 1 << 20, 1 << 20
 
 _BITS = 21  # of a code point
 
@@ -46,9 +46,21 @@ def grams(text: str) -> np.ndarray:
     return np.sort(joined[joined != 32])
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a text and how often it has each; long texts are counted piece by piece."""
+    if len(text) <= PIECE:
+        return _counted(grams(text))
+    return _summed([_counted(grams(text[at : at + PIECE])) for at in range(0, len(text), PIECE)])
+
+
 def ranked(text: str, ranks: int = RANKS) -> np.ndarray:
     """The most frequent n-grams, most frequent first; of equally frequent ones the smaller integer."""
-    return _top(*_counted(grams(text)), ranks)
+    return _top(*counted(text), ranks)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +106,6 @@ def id_remainder(doc_id: Column) -> Column:
 def learn(
     docs: DataFrame,
     sample_docs: int = SAMPLE_DOCS,
-    max_langs: int = MAX_LANGS,
     ranks: int = RANKS,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -103,12 +114,12 @@ def learn(
     """Profiles of the languages that ``lang`` names, from rows whose id has no remainder 2 of 4.
 
     Learnt from is a sample, about ``sample_docs`` documents of each language, chosen by a hash of the
-    id; rows with null id, text or language are left out.
+    id; rows with null id, text or language are left out. Every language gets a profile.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & (id_remainder(F.col("id")) != 2)
     )
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    sizes = rows.groupBy("lang").count().collect()  # a row a language
     if not sizes:
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), ranks)
     spark = docs.sparkSession
@@ -117,17 +128,29 @@ def learn(
     )
     chosen = (
         rows.where(F.col("body").isNotNull())
-        .join(F.broadcast(share), "lang")  # at most max_langs rows
+        .join(F.broadcast(share), "lang")  # a row a language
         .where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
         .select("lang", "body")
     )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, texts in batch.groupby("lang")["body"]:
-                keys, counts = _counted(np.sort(np.concatenate([grams(t) for t in texts])))
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def summed() -> Iterator[pd.DataFrame]:
+            for name, parts in held.items():
+                keys, counts = _summed(parts)
                 yield pd.DataFrame({"lang": name, "gram": keys, "n": counts})
 
+        for batch in batches:
+            for name, text in zip(batch["lang"], batch["body"], strict=True):
+                held.setdefault(name, []).append(counted(text))
+                size += len(held[name][-1][0])
+                if size > HELD_COUNTS:
+                    yield from summed()
+                    held, size = {}, 0
+        yield from summed()
+
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = (
         chosen.mapInPandas(count, "lang string, gram bigint, n bigint")
@@ -136,7 +159,7 @@ def learn(
         .withColumn("place", F.row_number().over(best) - 1)
         .where(F.col("place") < ranks)
         .select("lang", "gram", "place")
-        .toPandas()  # at most max_langs times ranks rows
+        .toPandas()  # ``ranks`` rows a language
     )
     langs = sorted(top["lang"].unique())
     keys = np.unique(top["gram"].to_numpy(np.int64))
