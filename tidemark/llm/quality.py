@@ -31,7 +31,8 @@ def learn(
 ) -> Forest:
     """Fit on at most ``sample_rows`` rows of ``labels``, never on one whose id has remainder 0 of 5.
 
-    Rows without an id or a label are not learnt from. Without labels, or with labels of one kind
+    Rows without an id or a label are not learnt from; of ids with many rows or labels at most ``sample_rows``
+    rows come to the driver. Without labels, or with labels of one kind
     only, the model is a constant.
     """
     chosen = (
@@ -42,7 +43,8 @@ def learn(
     )
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
     rows = texts.join(F.broadcast(chosen), "id")  # the sample is bounded by sample_rows
-    seen = measured(rows, "body", ["id", "label"], lambda _, x: {"x": list(x)}, "x array<double>").toPandas()
+    seen = measured(rows, "body", ["id", "label"], lambda _, x: {"x": list(x)}, "x array<double>")
+    seen = seen.orderBy(F.xxhash64("id"), "id", "label", "x").limit(sample_rows).toPandas()  # an id may have any number of rows
     seen = seen.sort_values(["id", "label"], kind="stable")
     x = np.array(seen["x"].tolist(), float).reshape(len(seen), len(FEATURES))
     return fit(x, seen["label"].to_numpy(), monotone=monotone)
