@@ -24,7 +24,7 @@ def rotate_perspectives(
     """One row per conversation, participant and turn, in which that participant is the assistant.
 
     The participants of a conversation are its distinct roles but ``system``; a null role is the
-    participant ``unknown``. Returned are conv_id, perspective, turn, role (assistant, user, system),
+    participant ``unknown``; line breaks in a name become a blank in the header. Returned are conv_id, perspective, turn, role (assistant, user, system),
     name (the speaker of others' turns, else null), rendered (the turn's whole text with its
     markers), start and end (the code points of the learnt part, offsets into
     the rendered turn) and train (true on the perspective's own turns: the learnt part is the
@@ -51,7 +51,7 @@ def rotate_perspectives(
     )
     own, system = F.col("speaker") == F.col("me"), F.col("speaker") == SYSTEM
     as_role = F.when(own, "assistant").when(system, SYSTEM).otherwise("user")
-    name = F.when(~own & ~system, _safe(F.col("speaker")))
+    name = F.when(~own & ~system, F.regexp_replace(_safe(F.col("speaker")), r"[\r\n]+", " "))  # the header is one line
     head = F.concat(F.lit(OPEN), as_role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
     body = F.concat("speech", F.lit(CLOSE))
     begin = F.length("head").cast("long")
