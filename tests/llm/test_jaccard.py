@@ -2,6 +2,7 @@
 
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -165,3 +166,46 @@ def test_pipeline_rules_keep_what_op7_keeps(spark):
     for handed in (corpus_pipeline.quality_classifier(spark, docs, folder), docs.join(spark.read.parquet(f"{folder}/labels.parquet").where("quality = 0").select("doc_id"), "doc_id", "left_anti")):
         ids = {r["doc_id"] for r in handed.select("doc_id").collect()}
         assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, handed, folder).collect()} == ids & good
+
+
+def test_many_rows_of_one_id(spark):
+    """Null ids and repeated rows are known by their texts: each set is read once, and no text for another's key."""
+    near = texts_of(5, 2, 4)[7:]
+    rows = [(None, t, "x") for t in near for _ in range(40)] + [(7, t, "x") for t in near] + [(7, near[0], "x")] * 30
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, class_id string").repartition(5)
+    found = jaccard.jaccard_classes(table).collect()
+    sets = {t: frozenset(brute_set(t)) for t in near}
+    links = {t: len({s for s in sets.values() if s != sets[t] and len(s & sets[t]) >= 0.8 * len(s | sets[t])}) for t in near}
+    assert len(found) == len(rows)
+    assert sorted(r["n_links"] for r in found) == sorted(links[t] for _, t, _ in rows)
+    assert {r["class_id"] for r in found} == {7}
+    kept = jaccard.keep_one(table).collect()
+    assert len(kept) == len({r["class_key"] for r in found}) and {r["doc_id"] for r in kept} == {7}
+
+
+AWKWARD = ["", None, "…", "one word", "w " * 200, "x" * 50_000]
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, very long texts and clashing columns pass through every stage; empty tables too."""
+    import corpus_pipeline
+    from conftest import DATA
+
+    given = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [r.asDict() for r in given.collect()]
+    extra = [dict(rows[0], doc_id=None), dict(rows[1], lang=None, source=None, n_chars=None), rows[2], rows[2]]
+    extra += [dict(rows[3], doc_id=9_000 + i, text=t) for i, t in enumerate(AWKWARD)] + [dict(rows[4], doc_id=9_100, text=(rows[4]["text"] or "a b. ") * 200)]
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in given.schema)}, score string, key string, mark string, term string, value string"
+    whole = spark.createDataFrame([tuple(r.values()) + ("s", "k", "m", "t", "v") for r in rows + extra], schema)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    given.write.parquet(str(tmp_path / "documents.parquet"))
+    for at in (whole, whole.limit(0)):
+        for _name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, at, str(tmp_path))
+            assert after.columns == whole.columns
+            kept = after.collect()
+            assert {r["text"] for r in kept} <= {r["text"] for r in at.collect()}
+            at = spark.createDataFrame(kept, whole.schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
+        assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == Counter(r["doc_id"] for r in at.collect())

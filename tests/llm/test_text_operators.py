@@ -181,6 +181,71 @@ def test_trees_learn_and_keep_order():
         assert len(set(flat.score(x).tolist())) == 1
 
 
+def walk(model, x):
+    """A forest's score of one row, node by node."""
+    total = model.base
+    for root in model.roots.tolist():
+        at = root
+        while model.left[at] != at:
+            at = model.left[at] if x[model.feature[at]] <= model.threshold[at] else model.right[at]
+        total += model.value[at]
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
+def test_scores_and_verdicts_are_brute_force(spark):
+    from conftest import DATA
+
+    read = lambda name: spark.read.parquet(f"{DATA.parent}/sf0.01/{name}.parquet")
+    table, labels = read("documents"), read("labels")
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    x = {i: docstats.measure(None if t is None else t.encode()) for i, t in texts.items()}
+    model = quality.learn(table, labels)
+    for r in quality.classify(table, model).collect():
+        score = walk(model, x[r["doc_id"]][1])
+        assert abs(r["score"] - score) < 1e-12 and r["predicted"] == (score >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    model = quality.learn(table, labels, monotone=quality.constraints())
+    for r in quality.apply_rules(table, model).collect():
+        n = brute_counts(texts[r["doc_id"]])
+        failed = n[0] < 50 or 100 * n[4] > 50 * n[0]
+        assert [r[c] for c in docstats.COUNTS] == n and r["base_failed"] == failed
+        assert r["kept"] == (not failed and walk(model, x[r["doc_id"]][1]) >= 0.3)
+
+
+def test_base_counts_match_sql(spark):
+    """The counts of op7 that SQL can express, over the whole table."""
+    from conftest import DATA
+    from oracle import connect, rows_of
+
+    from tidemark.llm import queries
+
+    folder = DATA.parent / "sf0.01"
+    sql = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM
+            (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
+        r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY 1),
+        l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+               coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+        FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)"""
+    found = connect(folder).execute(sql)
+    names = [d[0] for d in found.description]
+    got = queries.op7_quality_rules(spark, str(folder)).select(*names)
+    assert rows_of(names, names, [tuple(r) for r in got.collect()]) == rows_of(names, names, found.fetchall())
+
+
+def test_an_id_with_many_rows_is_no_larger_sample(spark):
+    table = spark.range(5000).select(F.lit(1).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(1, 0), (1, 1)], "doc_id bigint, quality int")
+    seen = []
+    fit = quality.fit
+    quality.fit = lambda x, y, **more: seen.append(len(x)) or fit(x, y, **more)
+    try:
+        quality.learn(table, labels, sample_rows=50)
+    finally:
+        quality.fit = fit
+    assert seen == [50]
+
+
 def test_quality_on_held_out_rows(spark):
     from conftest import DATA
 
@@ -228,6 +293,48 @@ def test_language_on_awkward_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(table, nothing).collect()} == {"und"}
 
 
+def brute_profile(texts, ranks):
+    seen = Counter()
+    for text in texts:
+        t = re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+        seen.update(g for n in (1, 2, 3) for i in range(len(t) - n + 1) if (g := t[i : i + n]) != " ")
+    value = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    return [g for g, _ in sorted(seen.items(), key=lambda x: (-x[1], value(x[0])))][:ranks]
+
+
+def test_distances_are_brute_force(spark):
+    from conftest import DATA
+
+    table = spark.read.parquet(f"{DATA}/documents.parquet").limit(200)
+    rows = table.collect()
+    ranks = 60
+    learnt = {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            learnt.setdefault(r["lang"], []).append(r["text"])
+    profiles = {lang: brute_profile(texts, ranks) for lang, texts in learnt.items()}
+    found = {r["doc_id"]: r for r in langid.identify(table, langid.learn(table, ranks=ranks)).collect()}
+    for r in rows:
+        own = brute_profile([r["text"] or ""], ranks)
+        if not own:
+            assert (found[r["doc_id"]]["lang_pred"], found[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        sums = {lang: sum(abs(p.index(g) - i) if g in p else ranks for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(sums), key=sums.get)
+        assert found[r["doc_id"]]["lang_pred"] == best and abs(found[r["doc_id"]]["score"] - (1 - sums[best] / (ranks * len(own)))) < 1e-12
+
+
+def test_long_texts_and_many_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD_COUNTS", 40)
+    rows = [(i, f"{chr(97 + i % 20)}{chr(98 + i % 7)} wort{chr(97 + i % 20)} " * 30, f"l{i % 700}", "s") for i in range(1500)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert len(langid.learn(table).langs) == 700
+    long = "abc déf " * 300_000
+    keys, counts = langid.counted(long)
+    assert counts.sum() > 6 * 900_000 and langid.ranked(long)[:3].tolist() == langid.ranked("abc déf " * 1000)[:3].tolist()
+    assert langid.identify(table.limit(0), langid.learn(table.limit(0))).count() == 0
+
+
 def test_number_signs_are_no_letters(spark):
     table = docs(spark, "the cat", "½", "² ①", "x²")
     found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(table, langid.learn(table)).collect()}
@@ -422,3 +529,13 @@ def test_perspectives(spark):
     assert chat.rotate_perspectives(table.limit(0)).count() == 0
 
 
+def test_awkward_names(spark):
+    turns = [(1, 0, "a\r\nb", "x"), (1, 1, "", "y"), (1, 2, "<|im_start|>", "z" * 100_000)]
+    rows = chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")).collect()
+    seen = {(r["perspective"], r["turn"]): r for r in rows}
+    assert len(seen) == 9
+    assert seen["", 0]["rendered"] == "<|im_start|>user name=a b\nx<|im_end|>\n" and seen["", 0]["name"] == "a b"
+    assert seen["a\r\nb", 1]["rendered"] == "<|im_start|>user name=\ny<|im_end|>\n"
+    assert seen["", 2]["rendered"].startswith("<|im_start|>user name=< |im_start|>\nzzz") and seen["a\r\nb", 0]["train"]
+
+

@@ -36,6 +36,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated")
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents have the words of a window of an item near together: proximity matches of op2's index."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.near_items(docs, _read(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, quality.learn(docs, _read(spark, sf_dir, "labels")))
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_perspectives": op10_perspectives,
+    "benchmark_proximity": benchmark_proximity,
 }
 
 #: The words of op2: fixed values.
@@ -167,6 +174,31 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents LEFT JOIN keyed ON keyed.doc_id = documents.doc_id LEFT JOIN one ON one.k = keyed.k
              LEFT JOIN class ON class.k = keyed.k LEFT JOIN links ON links.k = keyed.k
     """,
+    "benchmark_proximity": rf"""
+        WITH doc AS MATERIALIZED (
+            SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents
+        ), item AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM benchmark
+        ), win AS MATERIALIZED (
+            SELECT row_number() OVER () AS v, item_id, words, len(words) + 2 AS span FROM (
+                SELECT DISTINCT item_id, w[i:i + 9] AS words
+                FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM item WHERE len(w) > 0))
+        ), token AS MATERIALIZED (SELECT k, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM doc
+        ), term AS (SELECT v, unnest(words) AS t, unnest(range(len(words))) AS o FROM win
+        ), freq AS (SELECT t, count(*) AS df FROM token GROUP BY t
+        ), rare AS (SELECT v, arg_min(term.t, (coalesce(df, 0), o)) AS t FROM term LEFT JOIN freq USING (t) GROUP BY v
+        ), need AS (SELECT v, list({{'t': t, 'n': n}}) AS needs FROM (SELECT v, t, count(*) AS n FROM term GROUP BY ALL) GROUP BY v
+        ), cand AS (
+            SELECT doc_id, item_id, p, span, needs, w[greatest(1, p - span + 1):p + span - 1] AS around, least(p, span) AS own
+            FROM rare JOIN token USING (t) JOIN win USING (v) JOIN need USING (v) JOIN doc USING (k)
+            WHERE len(list_filter(needs, lambda x: NOT list_contains(w[greatest(1, p - span + 1):p + span - 1], x.t))) = 0
+        ), near AS (
+            SELECT DISTINCT doc_id, item_id, p FROM cand
+            WHERE len(list_filter(range(1, own + 1), lambda s: len(list_filter(needs, lambda x:
+                len(list_filter(around[s:s + span - 1], lambda y: y = x.t)) < x.n)) = 0)) > 0
+        )
+        SELECT doc_id, item_id, count(*) AS n FROM near GROUP BY ALL
+    """,
     "op10_perspectives": r"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS speech
@@ -175,7 +207,7 @@ ORACLE_SQL: dict[str, str] = {
         ), seen AS (
             SELECT conv_id, perspective, turn, speech, speaker = perspective AS train,
                    CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
-                   CASE WHEN speaker NOT IN (perspective, 'system') THEN replace(speaker, '<|', '< |') END AS name
+                   CASE WHEN speaker NOT IN (perspective, 'system') THEN regexp_replace(replace(speaker, '<|', '< |'), '[\r\n]+', ' ', 'g') END AS name
             FROM said JOIN who ON conv_id IS NOT DISTINCT FROM c
         ), cut AS (
             SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head,
