@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,7 +40,7 @@ class Folder:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
     def remove(self, name: str) -> None:
-        self._fs.delete(self._paths(f"{self.path}/{name}"), True)
+        self._fs.delete(self._paths(f"{self.path}/{name}" if name else self.path), True)
 
     def mark(self, name: str) -> bool:
         """Makes an empty file; False if there is one already."""
@@ -47,12 +49,40 @@ class Folder:
         return self._fs.createNewFile(at)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet below ``shared_dir`` and read back: computed once, lineage cut."""
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables ``stored`` within are removed at the end; what they were made for must be written by then."""
+    made: list[str] = []
+    _passing.append(made)
+    try:
+        yield
+    finally:
+        _passing.remove(made)
+        remove_tables(spark, made)
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        Folder(spark, path).remove("")
+
+
+def stored(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
+    """``df`` written as Parquet below ``shared_dir`` and read back: computed once, lineage cut.
+
+    The table is removed when the driver's JVM ends, or with the innermost ``passing_tables``, unless ``into`` is
+    given: a list that gets its path.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    if into is not None:
+        into.append(path)
+    elif _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
