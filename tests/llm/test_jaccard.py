@@ -209,3 +209,23 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
             at = spark.createDataFrame(kept, whole.schema)
         packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
         assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == Counter(r["doc_id"] for r in at.collect())
+
+
+def test_the_pipeline_leaves_only_its_result(spark):
+    """The whole run gives what its stages give one after the other, and removes what they stored on the way."""
+    from pathlib import Path
+
+    import corpus_pipeline
+    from conftest import DATA
+
+    from tidemark.sources.tables import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "tidemark"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    packed = corpus_pipeline.run(spark, str(DATA))
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert left == {"pipeline-packing"}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(DATA))
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.collect()}
