@@ -179,7 +179,8 @@ def _texts_of(found: DataFrame, keys: DataFrame, docs: DataFrame, kept: list[str
     A row is known by its id and the hash of its text. Where several rows are alike in both, their texts are
     brought down to one, within each task first.
     """
-    first = found.join(small(keys), "key").groupBy("key").agg(F.min(F.struct("doc", "mark")).alias("at"), *[F.first(c).alias(c) for c in kept])
+    first = found.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("doc", "mark")).alias("at"))
+    first = first.join(small(keys), "key")  # after the rows of a set have become one
     again = found.where(F.col("key").isNotNull()).groupBy(F.col("doc").alias("again"), F.col("mark").alias("again_mark")).agg(F.count("*").alias("rows")).where("rows > 1")
     wanted = first.select("key", F.col("at.doc").alias("doc"), F.col("at.mark").alias("mark"), *kept)
     same = F.col("doc").eqNullSafe(F.col("again")) & (F.col("mark") == F.col("again_mark"))
@@ -325,9 +326,9 @@ def _alike(table: pa.Table) -> dict[str, list]:
 def _near(leaves: DataFrame, found: DataFrame) -> DataFrame:
     """Edges (a, b) between sets whose sketches are close in some node. Nodes over a block are cut in blocks."""
     sizes = stored(leaves.groupBy(F.col("leaf").alias("of")).agg(F.count("*").alias("sets")), "leaf-sizes")
-    keys = leaves.select(F.col("key").alias("wanted")).distinct()
-    known = found.where(F.col("key").isNotNull()).join(keys, F.col("key") == F.col("wanted"), "left_semi")
-    known = known.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    keys = stored(leaves.select(F.col("key").alias("wanted")).distinct(), "leaf-keys")
+    known = found.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    known = known.join(small(keys), F.col("key") == F.col("wanted"), "left_semi")
     rows = leaves.join(small(sizes), F.col("leaf") == F.col("of")).select("leaf", F.col("key").alias("own"), "sets")
     rows = rows.join(known, F.col("own") == F.col("key")).select("leaf", "sets", "key", "n", "sketch")
     dealt = _dealt(rows, "leaf", F.ceil(F.col("sets") / BLOCK_SETS))
@@ -435,8 +436,9 @@ def jaccard_classes(
     linked = copies.join(classes, F.col("key") == F.col("node")).join(links, F.col("key") == F.col("l_key"))
     linked = stored(linked.select("key", "copy_of", "root", "n_links"), "linked-classes")
     least = linked.groupBy(F.col("root").alias("c_root")).agg(F.min("copy_of").alias("class_id"))
-    linked = linked.join(least, F.col("root") == F.col("c_root")).select(F.col("key").alias("c_key"), "root", "class_id", "n_links")
-    facts = copies.join(linked, F.col("key") == F.col("c_key"), "left").select(
+    linked = linked.join(small(stored(least, "class-ids")), F.col("root") == F.col("c_root")).select(F.col("key").alias("c_key"), "root", "class_id", "n_links")
+    linked = stored(linked, "linked-sets")
+    facts = copies.join(small(linked), F.col("key") == F.col("c_key"), "left").select(
         F.col("key").alias("f_key"),
         F.coalesce("root", "key").alias("class_key"),
         F.coalesce("class_id", "copy_of").alias("class_id"),
@@ -444,8 +446,9 @@ def jaccard_classes(
         "rows",
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+    facts = stored(facts, "set-facts")  # a plain side of a join that a set of many copies makes skewed
     alone = F.col("key").isNull()
-    return found.select("doc", "mark", "key").join(facts, F.col("key") == F.col("f_key"), "left").select(
+    return found.select("doc", "mark", "key").join(small(facts), F.col("key") == F.col("f_key"), "left").select(
         F.col("doc").alias("doc_id"),
         "mark",
         "class_key",
