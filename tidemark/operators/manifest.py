@@ -93,8 +93,9 @@ def hidden_failures(failures: DataFrame, stages: DataFrame) -> DataFrame:
     names = failures.agg(
         F.array_join(F.array_sort(F.collect_set(F.concat("agent", F.lit("["), "ticker", F.lit("]")))), ", ").alias("names")
     ).where(F.col("names") != "")
-    told = stages.where(F.col("status") == "failed").select(F.lit(1).alias("told")).limit(1)
-    found = names.join(told, F.lit(True), "left_anti")
+    told = stages.where(F.col("status") == "failed").select(F.lit(None).cast("string").alias("names"), F.lit(1).alias("told")).limit(1)
+    both = names.withColumn("told", F.lit(0)).unionByName(told)
+    found = both.agg(F.max("names").alias("names"), F.max("told").alias("told")).where((F.col("told") == 0) & F.col("names").isNotNull())
     return found.select(F.concat(F.lit("agent failure(s) "), "names", F.lit(" but no stage is marked failed")).alias("problem"))
 
 
