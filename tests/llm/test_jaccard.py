@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import components, jaccard, shingles
@@ -25,7 +26,9 @@ def test_shingles_are_brute_force():
         assert len(np.intersect1d(s, t)) == len(brute_set(a) & brute_set(b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "BROADCAST_EDGES", few)
     rng = np.random.default_rng(0)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5, None), (7, 7)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a int, b int")).collect()}
