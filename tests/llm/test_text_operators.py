@@ -539,3 +539,17 @@ def test_awkward_names(spark):
     assert seen["", 2]["rendered"].startswith("<|im_start|>user name=< |im_start|>\nzzz") and seen["a\r\nb", 0]["train"]
 
 
+
+
+def test_arrow_batches_are_bounded(spark):
+    from tidemark.llm.batches import in_arrow
+
+    import pyarrow as pa
+
+    def sizes(held):
+        for b in held:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    rows = spark.range(0, 4_000, 1, 1).select(F.repeat(F.lit("x"), F.when(F.col("id") < 2_000, 10).otherwise(40_000)).alias("text"))
+    found = in_arrow(rows, sizes, "n bigint, size bigint").agg(F.max("n"), F.max("size"), F.sum("n")).first()
+    assert found[0] <= 1_000 and found[1] < 5 << 20 and found[2] == 4_000

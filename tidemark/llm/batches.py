@@ -31,7 +31,7 @@ def in_arrow(
     """``mapInArrow`` with batches bounded in rows and bytes, and workers that keep no freed memory."""
     conf = rows.sparkSession.conf
     for key, (usual, ours) in BATCH.items():
-        if conf.get(key, None) == usual:
+        if conf.get(key) == usual:
             conf.set(key, ours)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
