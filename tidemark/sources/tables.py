@@ -69,8 +69,9 @@ def remove_tables(spark: SparkSession, paths: list[str]) -> None:
         Folder(spark, path).remove("")
 
 
-def stored(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
-    """``df`` written as Parquet below ``shared_dir`` and read back: computed once, lineage cut.
+def stored(df: DataFrame, name: str, into: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """``df`` written as Parquet below ``shared_dir`` and read back: computed once, lineage cut. ``by`` names
+    columns that get folders of their own.
 
     The table is removed when the driver's JVM ends, or with the innermost ``passing_tables``, unless ``into`` is
     given: a list that gets its path.
@@ -83,7 +84,7 @@ def stored(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame
         into.append(path)
     elif _passing:
         _passing[-1].append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*by or []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
