@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, fim, html_text, jaccard, langid, packing, quality, urls, warc
+from tidemark.llm import chat, decontam, fim, html_text, jaccard, langid, packing, quality, ranking, shards, urls, warc
 
 #: The rules of op1: fixed values.
 URL_RULES = [
@@ -103,6 +103,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranking.rank(docs, _read(spark, sf_dir, "benchmark").select("item_id", "text")).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_rows(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_decontaminate": op2_decontaminate,
@@ -115,6 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_perspectives": op10_perspectives,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_sharding": op13_sharding,
     "benchmark_proximity": benchmark_proximity,
 }
 
@@ -122,6 +133,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+def _rebalanced_sql(held: str, to: str, n: int = 8) -> str:
+    """The map ``to`` that a rebalancing makes of ``held`` (v, sh), by the sizes ``size`` (v, b)."""
+    return f"""
+        {to}_a AS MATERIALIZED (
+            SELECT {held}.v AS v, sh, coalesce(b, 0) AS b, coalesce(b, 0) = 0 OR row_number() OVER w = 1
+                   OR {n} * sum(coalesce(b, 0)) OVER (w ROWS UNBOUNDED PRECEDING) <= (SELECT sum(b) FROM size) AS stays
+            FROM {held} LEFT JOIN size USING (v) WINDOW w AS (PARTITION BY sh ORDER BY coalesce(b, 0) DESC, {held}.v)
+        ), {to}_r AS (
+            SELECT range AS sh, (SELECT sum(b) FROM size) - {n} * coalesce((SELECT sum(b) FROM {to}_a a WHERE a.sh = range AND stays), 0) AS room FROM range({n})
+        ), {to}_i AS (
+            SELECT sh, 2 * (sum(room) OVER (ORDER BY room DESC, sh) - room) AS lo, 2 * sum(room) OVER (ORDER BY room DESC, sh) AS hi FROM {to}_r WHERE room > 0
+        ), {to}_f AS (
+            SELECT v, {n} * (2 * sum(b) OVER (ORDER BY b DESC, v) - b) AS at FROM {to}_a WHERE NOT stays
+        ), {to} AS MATERIALIZED (
+            SELECT {to}_a.v AS v, coalesce({to}_i.sh, {to}_a.sh) AS sh FROM {to}_a LEFT JOIN {to}_f ON {to}_f.v = {to}_a.v LEFT JOIN {to}_i ON at >= lo AND at < hi
+        )"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": f"""
         WITH cut AS (
@@ -246,6 +276,43 @@ ORACLE_SQL: dict[str, str] = {
                sha256(t) AS restored_sha256
         FROM cut
     """,
+    "op12_lexical_search": r"""
+        WITH doc AS MATERIALIZED (
+            SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '@U', '@L'), '@T') AS w FROM documents
+        ), item AS (
+            SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), '@U', '@L'), '@T'))) AS t FROM benchmark
+        ), sums AS (SELECT count(*) AS nd, sum(len(w)) AS nt FROM doc WHERE len(w) > 0
+        ), tf AS MATERIALIZED (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(w) AS t FROM doc) GROUP BY k, t
+        ), df AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(nd) + 2) / (2 * count(*) + 1))) AS BIGINT) AS wt FROM tf, sums GROUP BY t
+        ), size AS (SELECT k, doc_id, 50 + (50 * len(w) * CAST(nd AS BIGINT)) // CAST(nt AS BIGINT) AS m FROM doc, sums WHERE len(w) > 0
+        ), total AS (
+            SELECT item_id, k, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+            FROM item JOIN df USING (t) JOIN tf USING (t) JOIN size USING (k) GROUP BY item_id, k
+        ), placed AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM total JOIN size USING (k) WHERE score > 0
+        )
+        SELECT * FROM placed WHERE rank <= 50
+    """.replace("@U", _UPPER).replace("@L", _LOWER).replace("@T", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"),
+    "op13_sharding": f"""
+        WITH steps AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS step
+        ), doc AS MATERIALIZED (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+                   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes,
+                   ('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), text, ''))[1:8])::BIGINT AS place
+            FROM documents
+        ), held AS MATERIALIZED (
+            SELECT doc_id, size, place % 8192 AS v, (place // 8192) % 16 AS part,
+                   xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, step[1 + xor(c, b) % 256])), 4294967295) AS text_crc32
+            FROM doc, steps
+        ), size AS MATERIALIZED (SELECT v, sum(size) AS b FROM held GROUP BY v
+        ), m0 AS (SELECT range AS v, range % 8 AS sh FROM range(8192)
+        ), {_rebalanced_sql("m0", "m1")}, {_rebalanced_sql("m1", "m2")}, {_rebalanced_sql("m2", "m3")}
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(sh AS INTEGER) AS shard,
+               row_number() OVER (PARTITION BY sh ORDER BY v, part, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM held JOIN m3 USING (v)
+    """,
     "op8_warc": r"""
         WITH payload AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
