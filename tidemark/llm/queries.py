@@ -146,9 +146,9 @@ def _rebalanced_sql(held: str, to: str, n: int = 8) -> str:
         ), {to}_i AS (
             SELECT sh, 2 * (sum(room) OVER (ORDER BY room DESC, sh) - room) AS lo, 2 * sum(room) OVER (ORDER BY room DESC, sh) AS hi FROM {to}_r WHERE room > 0
         ), {to}_f AS (
-            SELECT v, {n} * (2 * sum(b) OVER (ORDER BY b DESC, v) - b) AS at FROM {to}_a WHERE NOT stays
+            SELECT v, {n} * (2 * sum(b) OVER (ORDER BY b DESC, v) - b) AS mid FROM {to}_a WHERE NOT stays
         ), {to} AS MATERIALIZED (
-            SELECT {to}_a.v AS v, coalesce({to}_i.sh, {to}_a.sh) AS sh FROM {to}_a LEFT JOIN {to}_f ON {to}_f.v = {to}_a.v LEFT JOIN {to}_i ON at >= lo AND at < hi
+            SELECT {to}_a.v AS v, coalesce({to}_i.sh, {to}_a.sh) AS sh FROM {to}_a LEFT JOIN {to}_f ON {to}_f.v = {to}_a.v LEFT JOIN {to}_i ON mid >= lo AND mid < hi
         )"""
 
 
