@@ -94,6 +94,11 @@ def _scanned(pieces: DataFrame, both: Automaton) -> DataFrame:
     return stored(in_arrow(pieces.select("key", "one", "two", "chunk", "piece"), work, schema), "chunk-functions")
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Groups dealt over all cores: their rows are few bytes, which adaptive execution would put into one task."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _in_order(part: pd.DataFrame, by: str) -> tuple[pd.DataFrame, list]:
     part = part.sort_values(by)
     return part, list(zip(part["to"], part["ends"], strict=True))
@@ -134,11 +139,11 @@ def cut_chunks(pieces: DataFrame, units: Automaton = LINES, marks: Sequence[str]
         row = {"key": head["key"], "which": head["which"], "chunk": part["chunk"].iloc[i], "state": met[i][0], "wanted": head["wanted"] - met[i][1]}
         return pd.DataFrame([row | {"at": head["at"] + part["chars"].iloc[:i].sum()}])
 
-    blocks = scanned.groupBy("key", "block").applyInPandas(fold, "key string, one bigint, two bigint, block bigint, chars bigint, to array<bigint>, ends array<bigint>")
-    texts = stored(blocks.groupBy("key").applyInPandas(resolve, "key string, n bigint, marked boolean, which int, at bigint, block bigint, state bigint, wanted bigint"), "text-functions")
+    blocks = _spread(scanned, "key", "block").groupBy("key", "block").applyInPandas(fold, "key string, one bigint, two bigint, block bigint, chars bigint, to array<bigint>, ends array<bigint>")
+    texts = stored(_spread(blocks, "key").groupBy("key").applyInPandas(resolve, "key string, n bigint, marked boolean, which int, at bigint, block bigint, state bigint, wanted bigint"), "text-functions")
     asked = texts.where(F.col("block").isNotNull()).select("key", "which", "at", "block", "state", "wanted")
     within = scanned.select("key", "block", "chunk", "chars", "to", "ends").join(small(asked), ["key", "block"])
-    inside = stored(within.groupBy("key", "which").applyInPandas(narrow, "key string, which int, chunk bigint, state bigint, wanted bigint, at bigint"), "chunks-with-cuts")
+    inside = stored(_spread(within, "key", "which").groupBy("key", "which").applyInPandas(narrow, "key string, which int, chunk bigint, state bigint, wanted bigint, at bigint"), "chunks-with-cuts")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
