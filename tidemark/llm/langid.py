@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import map_column
+from tidemark.llm.storage import stored
 
 #: n-grams of one to three characters; so many make a profile.
 LONGEST, RANKS = 3, 400
@@ -24,33 +25,51 @@ LONGEST, RANKS = 3, 400
 SAMPLE_DOCS = 2_000
 #: Characters of a text that are counted at one time, and counts that a task holds before it hands them on.
 PIECE, HELD_COUNTS = 1 << 20, 1 << 20
+#: Parts of a language's n-grams that are ranked apart before the best of all are.
+PARTS = 64
 
-_BITS = 21  # of a code point
+#: Languages at most; a column of more different values names no languages.
+MAX_LANGS = 10_000
+
+_BITS, _BLANK = 21, 32  # of a code point; the code of a space
+
+
+def _pieces(text: str, piece: int) -> Iterator[np.ndarray]:
+    """The n-grams of a text, lower-cased letters with one space for all between words, piece by piece.
+
+    What the next n-grams begin with, two codes at most, is carried over the edge of a piece, and so is an
+    open space, so a piece's length changes nothing. The whole text is lower-cased at once.
+    """
+    held = np.array([_BLANK], np.int64)
+    text = text.lower()
+    for at in range(0, len(text) + 1, piece):
+        part = text[at : at + piece] + (" " if at + piece > len(text) else "")
+        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        letters = np.array([c for c in np.unique(codes).tolist() if chr(c).isalpha()], np.int64)
+        near = np.searchsorted(letters, codes).clip(max=max(len(letters) - 1, 0))
+        codes = np.where(letters[near] == codes, codes, _BLANK) if len(letters) else np.full_like(codes, _BLANK)
+        blank = codes == _BLANK
+        codes = codes[~(blank & np.concatenate(([held[-1] == _BLANK], blank[:-1])))]
+        run, out = np.concatenate([held, codes]), []
+        wide, carried = run, len(held)
+        for n in range(1, LONGEST + 1):
+            if n > 1:
+                wide = (wide[:-1] << _BITS) | run[n - 1 :]
+            out.append(wide[max(0, carried - n + 1) :])
+        joined = np.concatenate(out)
+        yield joined[joined != _BLANK]
+        held = run[-(LONGEST - 1) :]
 
 
 def grams(text: str) -> np.ndarray:
-    """The n-grams of a text as sorted integers: lower-cased letters, everything between words one space."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    kinds = np.unique(codes)
-    letters = np.array([c for c in kinds.tolist() if chr(c).isalpha()], np.int64)
-    at = np.searchsorted(letters, codes).clip(max=max(len(letters) - 1, 0))
-    codes = np.where(letters[at] == codes, codes, 32) if len(letters) else np.full_like(codes, 32)
-    blank = codes == 32
-    codes = codes[~(blank & np.concatenate(([False], blank[:-1])))]
-    out, run = [], codes
-    for n in range(1, LONGEST + 1):
-        if n > 1:
-            run = (run[:-1] << _BITS) | codes[n - 1 :]
-        out.append(run)
-    joined = np.concatenate(out)
-    return np.sort(joined[joined != 32])
-
-
-def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The different n-grams of a text and how often it has each; long texts are counted piece by piece."""
-    if len(text) <= PIECE:
-        return _counted(grams(text))
-    return _summed([_counted(grams(text[at : at + PIECE])) for at in range(0, len(text), PIECE)])
+    """The n-grams of a text as sorted integers."""
+    return np.sort(np.concatenate(list(_pieces(text, PIECE))))
+
+
+def counted(text: str, piece: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a text and how often it has each; a long text's are counted piece by piece."""
+    parts = [_counted(np.sort(found)) for found in _pieces(text, piece or PIECE)]
+    return parts[0] if len(parts) == 1 else _summed(parts)
 
 
 def ranked(text: str, ranks: int = RANKS) -> np.ndarray:
@@ -114,21 +133,19 @@ def learn(
     """Profiles of the languages that ``lang`` names, from rows whose id has no remainder 2 of 4.
 
     Learnt from is a sample, about ``sample_docs`` documents of each language, chosen by a hash of the
-    id; rows with null id, text or language are left out. Every language gets a profile.
+    id; rows with null id, text or language are left out. Every language gets a profile; a column of more
+    than ``MAX_LANGS`` different values raises ValueError, as the profiles are held by the driver and every task.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), F.col(lang).alias("lang")).where(
         F.col("lang").isNotNull() & (id_remainder(F.col("id")) != 2)
     )
-    sizes = rows.groupBy("lang").count().collect()  # a row a language
-    if not sizes:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), ranks)
-    spark = docs.sparkSession
-    share = spark.createDataFrame(
-        [(r["lang"], min(1.0, sample_docs / r["count"])) for r in sizes], "lang string, share double"
-    )
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if sizes.count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} different values of {lang!r}")
+    share = sizes.select("lang", F.least(F.lit(1.0), sample_docs / F.col("n")).alias("share"))
     chosen = (
         rows.where(F.col("body").isNotNull())
-        .join(F.broadcast(share), "lang")  # a row a language
+        .join(F.broadcast(share), "lang")  # at most MAX_LANGS rows
         .where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
         .select("lang", "body")
     )
@@ -151,16 +168,20 @@ def learn(
                     held, size = {}, 0
         yield from summed()
 
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    grams_of = chosen.mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    order = [F.desc("n"), F.asc("gram")]
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).orderBy(*order)
+    best = Window.partitionBy("lang").orderBy(*order)  # of ``ranks`` n-grams of each part
     top = (
-        chosen.mapInPandas(count, "lang string, gram bigint, n bigint")
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
+        grams_of.withColumn("place", F.row_number().over(part))
+        .where(F.col("place") <= ranks)
         .withColumn("place", F.row_number().over(best) - 1)
         .where(F.col("place") < ranks)
         .select("lang", "gram", "place")
         .toPandas()  # ``ranks`` rows a language
     )
+    if not len(top):
+        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64), ranks)
     langs = sorted(top["lang"].unique())
     keys = np.unique(top["gram"].to_numpy(np.int64))
     places = np.full((len(keys), len(langs)), ranks, np.int64)
