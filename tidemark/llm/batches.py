@@ -41,6 +41,12 @@ def in_arrow(
     return rows.mapInArrow(run, schema)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or with a number at its end if a column, in whatever case, is called so."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(columns) + 2))) if n.lower() not in taken)
+
+
 def map_column(
     rows: DataFrame, kept: list[str], value: Column, make: Callable[[list], dict[str, object]], schema: str
 ) -> DataFrame:
@@ -61,4 +67,4 @@ def map_column(
                 columns = [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], *made])
 
-    return in_arrow(rows.select(*kept, value.alias("__value")), work, ddl)
+    return in_arrow(rows.select(*kept, value.alias(fresh(kept, "value"))), work, ddl)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import fresh
 from tidemark.llm.storage import small, stored
 from tidemark.llm.words import ascii_lower, cased_words, once, word_array
 
@@ -244,8 +245,9 @@ def near_items(
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows in whose text no window of an item occurs, with all their columns; null texts stay."""
+    """The rows in whose text no window of an item occurs, with all their columns, whatever their names; null texts stay."""
     _, found = _search(docs, items, window, doc_id, text)
-    hit = stored(found.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).distinct(), "contaminated")
-    same = F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__mark"))
+    doc, mark = fresh(docs.columns, "hit_doc"), fresh(docs.columns, "hit_mark")
+    hit = stored(found.select(F.col("doc").alias(doc), F.col("mark").alias(mark)).distinct(), "contaminated")
+    same = docs[doc_id].eqNullSafe(hit[doc]) & (F.xxhash64(docs[text]) == hit[mark])
     return docs.join(small(hit), same, "left_anti")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import in_arrow, map_column
+from tidemark.llm.batches import fresh, in_arrow, map_column
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mix, shingle_set
 from tidemark.llm.storage import small, stored
@@ -61,6 +61,8 @@ def runs_for(recall: float) -> int:
 def repeats_for(recall: float, runs: int, threshold: float = 0.8) -> int:
     """How often a large node of depth one is split so that ``runs`` keep the recall if all ``MAX_DEPTH`` levels must be survived.
 
+    ValueError if no number up to 64 does: more runs are needed then.
+
     In a large node a pair may also be parted by the dense part: one of them in it, the other not. Both
     share the part's min-hash with a probability of the threshold, so at worst, with half of the node in the
     part, they meet with threshold * (1 + s) / 2 where s is the chance to survive the splits.
@@ -71,8 +73,8 @@ def repeats_for(recall: float, runs: int, threshold: float = 0.8) -> int:
         repeats += 1
         survived = 1 - (1 - below) ** repeats
         if min(survived, threshold * (1 + survived) / 2) >= needed:
-            break
-    return repeats
+            return repeats
+    raise ValueError(f"{runs} runs cannot reach a recall of {recall} at a threshold of {threshold}")
 
 
 def _chosen(tokens: np.ndarray, node: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -460,7 +462,7 @@ def jaccard_classes(
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class of ``jaccard_classes``, that of the least id, with all its columns.
+    """One row of each class of ``jaccard_classes``, that of the least id, with all its columns, whatever their names.
 
     Rows without an id stay only where no row of their class has one; equal rows stay once. Texts
     without a word are classes of their own and all stay.
@@ -468,9 +470,10 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: fl
     judged = jaccard_classes(docs, threshold, words, recall, doc_id, text)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     best = judged.where(F.col("class_key").isNotNull()).groupBy("class_key").agg(F.min(order).alias("best"))
-    chosen = stored(best.select(F.col("best.doc_id").alias("__doc"), F.col("best.mark").alias("__mark")).distinct(), "chosen")
-    wordless = stored(judged.where(F.col("class_key").isNull()).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark")).distinct(), "wordless")
-    marked = docs.withColumn("__own", F.xxhash64(text))
-    same = F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__mark"))
-    kept = marked.join(small(chosen), same, "left_semi").dropDuplicates([doc_id, "__own"])
-    return kept.unionByName(marked.join(small(wordless), same, "left_semi")).drop("__own")
+    doc, mark, own = (fresh(docs.columns, n) for n in ("kept_doc", "kept_mark", "own_mark"))
+    chosen = stored(best.select(F.col("best.doc_id").alias(doc), F.col("best.mark").alias(mark)).distinct(), "chosen")
+    wordless = stored(judged.where(F.col("class_key").isNull()).select(F.col("doc_id").alias(doc), F.col("mark").alias(mark)).distinct(), "wordless")
+    marked = docs.withColumn(own, F.xxhash64(docs[text]))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(mark))
+    kept = marked.join(small(chosen), same, "left_semi").dropDuplicates([doc_id, own])
+    return kept.unionByName(marked.join(small(wordless), same, "left_semi")).drop(own)

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import fresh
 from tidemark.llm.boosting import Forest, fit
 from tidemark.llm.docstats import COUNTS, FEATURES, measured
 
@@ -95,16 +96,19 @@ __all__ = ["THRESHOLD", "apply_rules", "classify", "constraints", "docstats", "i
 
 
 def keep_classified(docs: DataFrame, model: Forest, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows that the classifier scores at ``threshold`` or more, with all their columns."""
-    scored = measured(docs, text, docs.columns, lambda _, x: {"__score": model.score(x)}, "__score double")
-    return scored.where(F.col("__score") >= threshold).drop("__score")
+    """The rows that the classifier scores at ``threshold`` or more, with all their columns, whatever their names."""
+    score = fresh(docs.columns, "score")
+    scored = measured(docs, text, docs.columns, lambda _, x: {score: model.score(x)}, f"`{score}` double")
+    return scored.where(scored[score] >= threshold).drop(score)
 
 
 def keep_ruled(docs: DataFrame, model: Forest, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows that pass the base rules and the constrained trees, with all their columns."""
+    """The rows that pass the base rules and the constrained trees, with all their columns, whatever their names."""
+    kept = fresh(docs.columns, "kept")
 
     def finish(counts: np.ndarray, x: np.ndarray) -> dict:
         n, repeated = counts[:, COUNTS.index("n_words")], counts[:, COUNTS.index("n_repeat_words")]
-        return {"__kept": (n >= 50) & (100 * repeated <= 50 * n) & (model.score(x) >= threshold)}
+        return {kept: (n >= 50) & (100 * repeated <= 50 * n) & (model.score(x) >= threshold)}
 
-    return measured(docs, text, docs.columns, finish, "__kept boolean").where("__kept").drop("__kept")
+    judged = measured(docs, text, docs.columns, finish, f"`{kept}` boolean")
+    return judged.where(judged[kept]).drop(kept)
