@@ -30,11 +30,33 @@ def test_as_of_instants(spark):
     ]
 
 
-@pytest.mark.parametrize("text", ["last tuesday", "", "2026", "2026-9-4", "2026-13-01", " 2026-09-14", "2026-W37-1", None])
+@pytest.mark.parametrize("text", ["last tuesday", "", "2026", "2026-9-4", "2026-13-01", " 2026-09-14", "2026-W54-1", "2025-W53", "2026-W37-8", "2026-W37-0", "20260230", "2026-09-14T24:30", "2026-09-14T10:60", "2026-09-14T1000:30", None])
 def test_what_is_no_stamp_is_null(spark, text):
     assert utc(spark, text) == [None]
 
 
+def test_every_iso_form_is_read_as_python_reads_it(spark):
+    """Dates and times of all forms, whole and damaged, against the standard library's parser."""
+    import random
+    from zoneinfo import ZoneInfo
+
+    dice = random.Random(5)
+    dates = ["2026-09-14", "20260914", "2026-W37", "2026-W37-3", "2026W37", "2026W373", "2020-W53-7", "2021-W53-1", "2024-02-29", "20230229", "2026-03-08", "2026-11-01"]
+    times = ["", "T10", " 10:30", "T1030", "x10:30:15", "T103015", "T10:30:15.5", "T10:30:15,123456789", "T103015.25", "T02:30", "T01:30", "T23:59:60", "T25", "T1", "T10:3"]
+    offsets = ["", "Z", "+05", "-0530", "+05:30", "+05:30:15", "-053015", "+05:30:15.5", "+24:00", "-23:59:59", "+5", "+05:3"]
+    texts = sorted({dice.choice(dates) + dice.choice(times) + dice.choice(offsets) for _ in range(1500)})
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = {r["t"]: r["u"] for r in rows.select("t", stamps.as_of_text(stamps.as_of_instant(F.col("t"))).alias("u")).collect()}
+    for text in texts:
+        try:
+            read = dt.datetime.fromisoformat(text)
+            read = read if read.tzinfo else read.replace(tzinfo=ZoneInfo("America/New_York"))
+            want = read.astimezone(dt.UTC).isoformat(timespec="microseconds")
+        except ValueError:
+            want = None
+        assert found[text] == want, text
+
+
 def test_known_instants_are_utc_and_cut_to_seconds(spark):
     known = stamps.known_instant(F.lit("2026-09-14T18:00:00.999999"))
     assert values(spark, [stamps.as_of_text(known)]) == ["2026-09-14T18:00:00.000000+00:00"]

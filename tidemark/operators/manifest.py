@@ -13,12 +13,15 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.jsontext import one_json
 from tidemark.functions.stamps import as_of_instant, session_day
 from tidemark.operators import rules
 
 REPLAY_SUFFIX = "-dryrun"
 NO_SECTOR = "insufficient_data: the data layer returned no sector"
 NO_SUMMARY = "no summary: no stage produced one"
+#: What is said of a field that is empty for no stated reason: fixed text.
+BLANK = "no data gap explains it; the report must show the gap rather than write a blank"
 _TICKER = r"^[A-Z0-9.\-]{1,10}$"
 _TEXT, _WHOLE, _AMOUNT = {"type": "string", "minLength": 1}, {"type": "integer", "minimum": 0}, {"type": "number", "minimum": 0}
 
@@ -101,7 +104,7 @@ def hidden_failures(failures: DataFrame, stages: DataFrame) -> DataFrame:
 
 def misfiled_research(research: DataFrame, as_of: Column) -> DataFrame:
     """Outputs that name another ticker than they are filed under, or another session than the run's."""
-    v = F.try_parse_json("data")
+    v = one_json(F.col("data"))
     said, stamp = F.try_variant_get(v, "$.ticker", "string"), F.coalesce(F.try_variant_get(v, "$.as_of", "string"), F.lit(""))
     agent = F.coalesce(F.try_variant_get(v, "$.agent", "string"), F.lit("?"))
     run = session_day(as_of_instant(as_of))
@@ -166,7 +169,7 @@ class Parts:
     def problems(self, as_of: str) -> DataFrame:
         """All cross-checks at once: one row a problem."""
         blank = unexplained_blanks(self.meta, self.gaps).select(
-            F.concat(F.lit("ticker_meta["), "ticker", F.lit("].sector is empty but no data gap explains it")).alias("problem")
+            F.concat(F.lit("ticker_meta["), "ticker", F.lit(f"].sector is empty but {BLANK}")).alias("problem")
         )
         silent = unexplained_summaries(self.meta, self.summaries, self.gaps).select(
             F.concat("ticker", F.lit(" has no summary and no data gap saying why")).alias("problem")

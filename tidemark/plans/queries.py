@@ -99,6 +99,22 @@ def bars_for_requests(spark, sf_dir):
     return found.groupBy("request_id").agg(F.count("*").alias("n"), F.round(F.sum("close"), 2).alias("total"))
 
 
+@query(f"""WITH {_BARS}, r AS (
+    SELECT c_custkey AS request_id, (SELECT min(o_orderpriority) FROM orders) AS ticker, DATE '1995-06-01' + CAST(c_custkey % 700 AS INTEGER) AS s FROM customer)
+    SELECT request_id, count(*) AS n, round(sum(close), 2) AS total FROM r JOIN bars USING (ticker)
+    WHERE (request_id % 3 = 0 OR date >= s) AND (request_id % 3 = 1 OR date <= s + 900) AND date + lag <= s + 1200 GROUP BY 1""")
+def bars_for_open_ends(spark, sf_dir):
+    """Requests of one ticker without a first day, without a last one, and with both."""
+    ticker = views.table(spark, sf_dir, "orders").agg(F.min("o_orderpriority")).first()[0]
+    start, n = F.date_add(F.lit("1995-06-01").cast("date"), (F.col("c_custkey") % 700).cast("int")), F.col("c_custkey") % 3
+    asked = views.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("request_id"), F.lit(ticker).alias("ticker"), F.when(n != 0, start).alias("start"), F.when(n != 1, F.date_add(start, 900)).alias("end"),
+        F.lit("").alias("as_of"), F.date_add(start, 1200).cast("string").alias("known_at"),
+    )
+    found = asof.bars_for(views.bars(spark, sf_dir), asked)
+    return found.groupBy("request_id").agg(F.count("*").alias("n"), F.round(F.sum("close"), 2).alias("total"))
+
+
 @query(f"WITH {_BARS} SELECT ticker, min(date) AS first_date, max(date) AS last_date FROM bars GROUP BY 1")
 def bars_coverage(spark, sf_dir):
     return asof.coverage(views.bars(spark, sf_dir))
@@ -134,6 +150,40 @@ def payload_asof_known(spark, sf_dir):
     return _hits(asof.payloads_for(views.payloads(spark, sf_dir), views.requests(spark, sf_dir)))
 
 
+#: Requests of which some have a stamp that cannot be read.
+_FORMS = """forms AS (
+    SELECT event_id AS request_id, event_type AS kind, CAST(user_id AS VARCHAR) AS key, event_id % 10 AS form,
+           (ts + INTERVAL 1 HOUR) AT TIME ZONE 'America/New_York' AS cut, date_trunc('second', ts + INTERVAL 48 HOUR) AS known
+    FROM events)"""
+_FORMS_SQL = """SELECT request_id, f.kind, f.key, arg_max(payload, (as_of_ts, fetched)) AS payload,
+    strftime(arg_max(fetched, (as_of_ts, fetched)), '%Y-%m-%dT%H:%M:%S') AS fetched_at
+    FROM forms f LEFT JOIN pay p ON f.kind = p.kind AND f.key = p.key AND p.as_of_ts <= f.cut AND {more} GROUP BY 1, 2, 3"""
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of which some have a stamp that cannot be read, and some one in the basic form."""
+    n, cut = F.col("request_id") % 10, F.col("as_of")
+    noon = F.concat(F.substring(cut, 1, 10), F.lit(" noon"))
+    return views.requests(spark, sf_dir).withColumns(
+        {
+            "as_of": F.when(n == 1, noon).when(n == 2, "soon").when(n == 4, F.regexp_replace(cut, "[-:]", "")).otherwise(cut),
+            "known_at": F.when(n == 3, F.concat(F.col("known_at"), F.lit("?"))).otherwise(F.col("known_at")),
+        }
+    )
+
+
+@query(f"WITH {_PAYLOADS}, {_FORMS} {_FORMS_SQL.format(more='form NOT IN (1, 2, 3) AND p.fetched <= f.known')}")
+def payload_damaged_stamps(spark, sf_dir):
+    """Cut-offs that cannot be read bring nothing, however late the payloads are."""
+    return _hits(asof.payloads_for(views.payloads(spark, sf_dir), _damaged(spark, sf_dir)))
+
+
+@query(f"WITH {_PAYLOADS}, {_FORMS} {_FORMS_SQL.format(more='form NOT IN (1, 2)')}")
+def payload_damaged_as_of(spark, sf_dir):
+    """The same with one cut-off: what cannot be read brings nothing here either."""
+    return _hits(asof.payloads_at(views.payloads(spark, sf_dir), _damaged(spark, sf_dir)))
+
+
 @query(f"WITH {_PAYLOADS} SELECT kind, key, arg_max(payload, (as_of_ts, fetched)) AS payload FROM pay GROUP BY 1, 2")
 def payload_latest(spark, sf_dir):
     asked = views.payloads(spark, sf_dir).select("kind", "key").distinct().select(
@@ -174,6 +224,32 @@ def as_of_instant(spark, sf_dir):
     return _stamped(spark, sf_dir).select("event_id", stamps.as_of_text(stamps.as_of_instant(F.col("stamp"))).alias("instant"))
 
 
+@query("""WITH forms AS (SELECT event_id, date_trunc('second', ts) AS t, event_id % 9 AS form FROM events)
+    SELECT event_id, strftime(CASE form
+        WHEN 0 THEN date_trunc('day', t) WHEN 1 THEN t WHEN 2 THEN (date_trunc('day', t) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC'
+        WHEN 3 THEN t - INTERVAL 19815 SECOND WHEN 4 THEN t + INTERVAL 19800 SECOND WHEN 5 THEN date_trunc('week', t)
+        WHEN 6 THEN date_trunc('minute', t) WHEN 7 THEN t + INTERVAL 250000 MICROSECOND END, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS instant FROM forms""")
+def iso_forms(spark, sf_dir):
+    """Week dates, the basic form, offsets with seconds, one character for another, and a week that is none."""
+    n, at = F.col("event_id") % 9, lambda pattern: F.date_format("ts", pattern)
+    two = lambda number: F.lpad(number.cast("string"), 2, "0")
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), F.col("ts")).cast("string"), F.lit("-W"), two(F.weekofyear("ts")))
+    day = (F.weekday("ts") + 1).cast("string")
+    stamp = (
+        F.when(n == 0, F.concat(week, F.lit("-"), day, F.lit("T00Z")))
+        .when(n == 1, F.concat(at("yyyyMMdd'T'HHmmss"), F.lit("Z")))
+        .when(n == 2, F.concat(F.replace(week, F.lit("-"), F.lit("")), day))
+        .when(n == 3, F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30:15")))
+        .when(n == 4, F.concat(at("yyyyMMdd HHmmss"), F.lit("-0530")))
+        .when(n == 5, F.concat(week, F.lit(" 00:00Z")))
+        .when(n == 6, F.concat(at("yyyy-MM-dd'_'HH:mm"), F.lit("+00")))
+        .when(n == 7, F.concat(at("yyyy-MM-dd'T'HH:mm:ss"), F.lit(",25Z")))
+        .otherwise(F.concat(at("yyyy"), F.lit("-W54-1")))
+    )
+    events = views.table(spark, sf_dir, "events")
+    return events.select("event_id", stamps.as_of_text(stamps.as_of_instant(stamp)).alias("instant"))
+
+
 @query(f"SELECT event_id, CAST(({_INSTANT}) AT TIME ZONE 'America/New_York' AS DATE) AS session_day FROM events")
 def session_day(spark, sf_dir):
     return _stamped(spark, sf_dir).select("event_id", stamps.session_day(stamps.as_of_instant(F.col("stamp"))).alias("session_day"))
@@ -395,7 +471,7 @@ def manifest_gaps(spark, sf_dir):
     return manifest.derived_gaps(parts.meta, parts.summaries, parts.gaps)
 
 
-@query(f"""WITH {_PARTS} SELECT 'ticker_meta[' || ticker || '].sector is empty but no data gap explains it' AS problem FROM blank
+@query(f"""WITH {_PARTS} SELECT 'ticker_meta[' || ticker || '].sector is empty but {manifest.BLANK}' AS problem FROM blank
     UNION ALL SELECT ticker || ' has no summary and no data gap saying why' FROM silent
     UNION ALL SELECT 'agent failure(s) ' || string_agg(n, ', ' ORDER BY n) || ' but no stage is marked failed'
     FROM (SELECT DISTINCT c_mktsegment || '[' || c_custkey || ']' AS n FROM customer WHERE c_custkey < 5)""")
@@ -618,10 +694,13 @@ def store_payloads(spark, sf_dir):
 
 
 # ---- JSON ----
-@query("""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
-    CASE WHEN event_id % 4 = 3 THEN 'the reply contains no JSON object: ' || props[:-2] END AS problem FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 10 IN (0, 1, 2, 4, 5, 7) THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+    CASE event_id % 10 WHEN 3 THEN 'the reply contains no JSON object: ' || chr(39) || props[:-2] || chr(39)
+        WHEN 6 THEN 'the reply is not valid JSON: Extra data: line 1 column ' || (length(props) + 2) || ' (char ' || (length(props) + 1) || ')'
+        WHEN 8 THEN 'the reply is a list, not a JSON object'
+        WHEN 9 THEN 'the reply contains no JSON object: ' || chr(39) || 'it' || chr(92) || chr(39) || 's ' || props[:-2] || chr(39) END AS problem FROM events""")
 def extract_json(spark, sf_dir):
-    found = views.replies(spark, sf_dir).withColumn("found", jsontext.extract_object(F.col("reply")))
+    found = jsontext.with_objects(views.replies(spark, sf_dir), F.col("reply"), "found")
     k = F.try_variant_get(F.try_parse_json("found.object"), "$.k", "bigint")
     return found.select("event_id", k.alias("k"), F.col("found.problem").alias("problem"))
 

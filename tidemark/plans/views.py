@@ -76,13 +76,19 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event properties as replies: plain, fenced, inside a sentence, cut short."""
-    p, n = F.col("props"), F.col("event_id") % 4
+    """Event properties as replies: plain, fenced, inside a sentence, cut short, and objects that something follows."""
+    p, n = F.col("props"), F.col("event_id") % 10
     text = (
         F.when(n == 0, p)
         .when(n == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```")))
         .when(n == 2, F.concat(F.lit("Here it is: "), p, F.lit(" as asked.")))
-        .otherwise(p.substr(F.lit(1), F.length(p) - 1))
+        .when(n == 3, p.substr(F.lit(1), F.length(p) - 1))
+        .when(n == 4, F.concat(p, F.lit(" hope this helps")))
+        .when(n == 5, F.concat(p, F.lit("\n```")))
+        .when(n == 6, F.concat(F.lit("x "), p, F.lit(" y "), p))
+        .when(n == 7, F.concat(F.lit("[1] "), p))
+        .when(n == 8, F.concat(F.lit("["), p, F.lit("]")))
+        .otherwise(F.concat(F.lit("it's "), p.substr(F.lit(1), F.length(p) - 1)))
     )
     return table(spark, sf_dir, "events").select("event_id", text.alias("reply"))
 
