@@ -17,7 +17,7 @@ BATCH = {
 }
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Hands the memory that a task has freed back to the system: workers stay alive between tasks."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
@@ -36,7 +36,7 @@ def in_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
-        _give_back()
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

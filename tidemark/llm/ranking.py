@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import in_arrow
+from tidemark.llm.batches import give_back, in_arrow
 from tidemark.llm.storage import small, stored
 from tidemark.llm.words import ascii_lower, cased_words
 
 #: Documents and postings at which a segment is closed. Documents are numbered in 16 bits.
-SEGMENT_DOCS, SEGMENT_POSTINGS = 16_384, 2_000_000
+SEGMENT_DOCS, SEGMENT_POSTINGS = 16_384, 500_000
 #: Of a segment's postings of a term so many at least, and such a share, lie in the first tier, or in the first two.
 TIERS = ((64, 32), (512, 4))
 #: Pairs of item and term that are answered at one time.
@@ -91,8 +91,8 @@ class _Segment:
         held, known = Counter(words), self.known
         self.ids.append(doc_id)
         self.lengths.append(len(words))
-        self.terms.append(np.fromiter((known.setdefault(w, len(known)) for w in held), np.int64, len(held)))
-        self.counts.append(np.fromiter(held.values(), np.int64, len(held)))
+        self.terms.append(np.fromiter((known.setdefault(w, len(known)) for w in held), np.int32, len(held)))
+        self.counts.append(np.fromiter(held.values(), np.int32, len(held)))
         self.size += len(held)
 
     def full(self) -> bool:
@@ -108,7 +108,7 @@ class _Segment:
         if not self.size:
             return
         sizes = np.array([len(t) for t in self.terms])
-        doc, tf = np.repeat(number, sizes), np.concatenate(self.counts)
+        doc, tf = np.repeat(number, sizes), np.concatenate(self.counts).astype(np.int64)
         impact = corpus.impacts(tf, np.repeat(np.array(self.lengths, np.int64), sizes))
         names = sorted(self.known)
         place = np.empty(len(names), np.int64)
@@ -227,6 +227,7 @@ def _score(rows: DataFrame, asked: dict[int, list[tuple[str, int, int]]], least:
             out_score += total[chosen].tolist()
             out_open += [None] * len(chosen)
         kind = table.schema.field("ids").type.value_type
+        give_back()
         return pa.table({"row": pa.array(out_row, pa.int64()), "doc": pa.array(out_doc, kind), "score": pa.array(out_score, pa.int64()), "open": pa.array(out_open, pa.int64())})
 
     kind = rows.schema["ids"].dataType.elementType.simpleString()
