@@ -9,9 +9,11 @@ or ``,``, and ``Z`` or numeric offsets, which may have seconds and a fraction.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EXCHANGE_ZONE = "America/New_York"
@@ -151,12 +153,23 @@ def unreadable(text: Column, instant: Column) -> Column:
     return given(text).isNotNull() & instant.isNull()
 
 
-def must_read(spark: SparkSession, **stamps: str | None) -> None:
+# ---- one stamp, on the driver ----
+def moment(text: str, zone: str = EXCHANGE_ZONE) -> dt.datetime:
+    """The instant of one stamp; ValueError if it cannot be read. The columns' forms are the standard library's."""
+    read = dt.datetime.fromisoformat(text)
+    return (read if read.tzinfo else read.replace(tzinfo=ZoneInfo(zone))).astimezone(dt.UTC)
+
+
+def session_of(text: str) -> dt.date:
+    """The exchange date of one stamp."""
+    return moment(text).astimezone(ZoneInfo(EXCHANGE_ZONE)).date()
+
+
+def must_read(**stamps: str | None) -> None:
     """ValueError if one of the stamps, by name, is given (neither None nor empty) and cannot be read."""
-    asked = {name: text for name, text in stamps.items() if text}
-    if not asked:
-        return
-    found = spark.sql("SELECT 1").select(*[as_of_instant(F.lit(text)).isNotNull().alias(name) for name, text in asked.items()]).first()
-    for name, text in asked.items():
-        if not found[name]:
-            raise ValueError(f"{name} is not a stamp: {text!r}")
+    for name, text in stamps.items():
+        try:
+            if text:
+                moment(text)
+        except (ValueError, OverflowError):
+            raise ValueError(f"{name} is not a stamp: {text!r}") from None

@@ -32,7 +32,7 @@ def read_bars(
     Empty text counts as not given; a stamp that cannot be read raises ValueError. The as-of cut is the stamp's
     session, and binds even if ``end`` is later.
     """
-    must_read(bars.sparkSession, as_of=as_of, known_at=known_at)
+    must_read(as_of=as_of, known_at=known_at)
     found = bars if not ticker else bars.where(F.col("ticker") == ticker)
     if start:
         found = found.where(F.col("date") >= F.lit(start).cast("date"))
@@ -162,7 +162,7 @@ def _known_by(rows: DataFrame) -> DataFrame:
 def latest_payload(payloads: DataFrame, kind: str, key: str, as_of: str | None = None, known_at: str | None = None) -> DataFrame:
     """No row, or the one payload that ``payloads_for`` gives: (payload, as_of, fetched_at). A stamp that cannot be
     read raises ValueError."""
-    must_read(payloads.sparkSession, as_of=as_of, known_at=known_at)
+    must_read(as_of=as_of, known_at=known_at)
     found = payloads.where((F.col("kind") == kind) & (F.col("key") == key) & F.col("as_of_ts").isNotNull())
     if as_of:
         found = found.where(F.col("as_of_ts") <= as_of_instant(F.lit(as_of)))
@@ -178,7 +178,7 @@ def keys_with_prefix(payloads: DataFrame, kind: str, prefix: str, day: str) -> D
     The session is a half-open range of instants, so the predicate reaches the scan. A day that cannot be read
     raises ValueError.
     """
-    must_read(payloads.sparkSession, day=day)
+    must_read(day=day)
     of = session_day(as_of_instant(F.lit(day)))
     at = F.col("as_of_ts")
     return (

@@ -42,8 +42,9 @@ _BARS = """bars AS (
     FROM orders GROUP BY 1, 2)"""
 _CLOSED = ", ".join(f"DATE '{d}'" for d in CLOSED.split())
 _SESSIONS = f"{_BARS}, sbars AS (SELECT * FROM bars WHERE isodow(date) < 6 AND date NOT IN ({_CLOSED}))"
-_GRID = f"""grid AS (SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '2024-01-01', DATE '2028-12-31', INTERVAL 1 DAY) t(d)),
-    wide AS (SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '2023-12-01', DATE '2029-01-31', INTERVAL 1 DAY) t(d)),
+_GRID = f"""grid AS (
+        SELECT CAST(CAST(o_orderdate AS DATE) + INTERVAL 30 YEAR AS DATE) AS day FROM orders UNION SELECT CAST(ts AS DATE) FROM events),
+    wide AS (SELECT CAST(d AS DATE) AS day FROM generate_series((SELECT min(day) - 31 FROM grid), (SELECT max(day) + 31 FROM grid), INTERVAL 1 DAY) t(d)),
     sess AS (SELECT day AS s FROM wide WHERE isodow(day) < 6 AND day NOT IN ({_CLOSED}))"""
 _PAYLOADS = """pay AS (
     SELECT event_type AS kind, CAST(user_id AS VARCHAR) AS key, ts, (ts AT TIME ZONE 'America/New_York') AS as_of_ts, props AS payload,
@@ -265,49 +266,49 @@ def ny_day_counts(spark, sf_dir):
 @query(f"WITH {_GRID} SELECT day, isodow(day) < 6 AND day NOT IN ({_CLOSED}) AS is_session, year(day) IN (2025, 2026, 2027) AS covered FROM grid")
 def trading_days(spark, sf_dir):
     day = F.col("day")
-    return views.grid(spark).select(day, NYSE.is_session(day).alias("is_session"), NYSE.covers(day).alias("covered"))
+    return views.grid(spark, sf_dir).select(day, NYSE.is_session(day).alias("is_session"), NYSE.covers(day).alias("covered"))
 
 
 @query(f"WITH {_GRID} SELECT day, (SELECT count(*) FROM sess WHERE s BETWEEN day AND day + 6) AS n, (SELECT max(s) FROM sess WHERE s BETWEEN day AND day + 6) AS last FROM grid")
 def trading_days_between(spark, sf_dir):
     found = NYSE.sessions_between(F.col("day"), F.date_add("day", 6))
-    return views.grid(spark).select("day", F.size(found).cast("long").alias("n"), F.array_max(found).alias("last"))
+    return views.grid(spark, sf_dir).select("day", F.size(found).cast("long").alias("n"), F.array_max(found).alias("last"))
 
 
 @query(f"WITH {_GRID} SELECT day, (SELECT max(s) FROM sess WHERE s <= day) AS session FROM grid")
 def last_session(spark, sf_dir):
-    return views.grid(spark).select("day", NYSE.last_session(F.col("day")).alias("session"))
+    return views.grid(spark, sf_dir).select("day", NYSE.last_session(F.col("day")).alias("session"))
 
 
 @query(f"WITH {_GRID} SELECT day, (SELECT min(s) FROM sess WHERE s > day) AS session FROM grid")
 def next_session(spark, sf_dir):
-    return views.grid(spark).select("day", NYSE.next_session(F.col("day")).alias("session"))
+    return views.grid(spark, sf_dir).select("day", NYSE.next_session(F.col("day")).alias("session"))
 
 
 _HOURS = "SELECT day, h, (day + to_hours(h)) AT TIME ZONE 'America/New_York' AS now FROM grid, (VALUES (9), (16), (23)) t(h)"
 
 
-def _moments(spark: SparkSession) -> DataFrame:
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = F.explode(F.array(*map(F.lit, (9, 16, 23)))).alias("h")
     text = F.concat(F.date_format("day", "yyyy-MM-dd'T'"), F.lpad(F.col("h").cast("string"), 2, "0"), F.lit(":00:00"))
-    return views.grid(spark).select("day", hours).withColumn("now", stamps.as_of_instant(text))
+    return views.grid(spark, sf_dir).select("day", hours).withColumn("now", stamps.as_of_instant(text))
 
 
 @query(f"WITH {_GRID} SELECT day, h, (SELECT max(s) FROM sess WHERE s < day OR (s = day AND h >= 16)) AS session FROM ({_HOURS})")
 def last_completed(spark, sf_dir):
-    return _moments(spark).select("day", "h", NYSE.last_completed(F.col("now")).alias("session"))
+    return _moments(spark, sf_dir).select("day", "h", NYSE.last_completed(F.col("now")).alias("session"))
 
 
 @query(f"WITH {_GRID} SELECT day, h, day - 1 < (SELECT max(s) FROM sess WHERE s < day OR (s = day AND h >= 16)) AS lookahead FROM ({_HOURS})")
 def lookahead_flags(spark, sf_dir):
     stamp = F.date_format(F.date_sub("day", 1), "yyyy-MM-dd'T'16:30:00")
-    return _moments(spark).select("day", "h", NYSE.is_lookahead(stamp, F.col("now")).alias("lookahead"))
+    return _moments(spark, sf_dir).select("day", "h", NYSE.is_lookahead(stamp, F.col("now")).alias("lookahead"))
 
 
 @query(f"""WITH {_GRID} SELECT strftime(day, '%Y-%m-%d') AS text, CASE WHEN year(day) NOT IN (2025, 2026, 2027) THEN 255
     WHEN isodow(day) < 6 AND day NOT IN ({_CLOSED}) THEN 0 ELSE 1 END AS status FROM grid UNION ALL SELECT 'not-a-date', 255""")
 def guard_status(spark, sf_dir):
-    texts = views.grid(spark).select(F.col("day").cast("string").alias("text")).union(spark.createDataFrame([("not-a-date",)], "text string"))
+    texts = views.grid(spark, sf_dir).select(F.col("day").cast("string").alias("text")).union(spark.createDataFrame([("not-a-date",)], "text string"))
     return texts.select("text", NYSE.guard_status(F.col("text")).alias("status"))
 
 

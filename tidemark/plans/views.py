@@ -105,7 +105,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    """Every day from 2024 to 2028."""
-    days = spark.sql("SELECT explode(sequence(date'2024-01-01', date'2028-12-31')) AS day")
-    return days
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of all orders, thirty years later, and of all events: covered years and others."""
+    days = table(spark, sf_dir, "orders").select(F.add_months(F.col("o_orderdate").cast("date"), 360).alias("day"))
+    return days.unionByName(table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"))).distinct()

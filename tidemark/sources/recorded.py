@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import Folder
+
 
 def recordings(spark: SparkSession, folder: str) -> DataFrame:
     """(place, recorded): each file's path below the folder and its whole text."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    path = F.col("_metadata.file_path")
-    last = F.substring_index(path, "/", -2)
-    base = folder.rstrip("/").rsplit("/", 1)[-1]
-    return files.select(
-        F.regexp_replace(last, f"^{base}/", "").alias("place"), F.col("value").alias("recorded")
-    )
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # it is a URI, in which only blanks and the like are coded
+    return files.select(F.substring_index(path, f"{Folder(spark, folder).place()}/", -1).alias("place"), F.col("value").alias("recorded"))
 
 
 def places(agent: str = "agent", ticker: str = "ticker") -> list:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,11 +34,20 @@ class Folder:
         self._paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.path = path.rstrip("/")
         self._fs = self._paths(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._io = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+
+    def place(self) -> str:
+        """The folder's whole path, without the file system's name."""
+        return self._fs.makeQualified(self._paths(self.path)).toUri().getPath()
 
     def names(self, below: str = "") -> list[str]:
         """What lies in the folder, or in one below it; nothing if there is no such folder."""
         at = self._paths(f"{self.path}/{below}" if below else self.path)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        if not self._fs.exists(at):
+            return []
+        if self._fs.getScheme() == "file":
+            return sorted(os.listdir(at.toUri().getPath()))  # not a call for each name
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at))
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._paths(f"{self.path}/{name}" if name else self.path), True)
@@ -48,6 +58,44 @@ class Folder:
         self._fs.mkdirs(at.getParent())
         return self._fs.createNewFile(at)
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._paths(f"{self.path}/{name}"))
+
+    def read(self, name: str) -> str:
+        """The whole of a small text file."""
+        opened = self._fs.open(self._paths(f"{self.path}/{name}"))
+        try:
+            return bytes(self._io.toByteArray(opened)).decode()
+        finally:
+            opened.close()
+
+    def put(self, name: str, text: str) -> bool:
+        """Makes a file with a text, whole at once; False if there is one already, whoever was first.
+
+        The text is written beside and then given the name: by a link on a local disk, elsewhere by a rename,
+        which the file system must refuse if the name is taken, as HDFS does.
+        """
+        at = self._paths(f"{self.path}/{name}")
+        beside = self._paths(f"{self.path}/_beside/{uuid.uuid4().hex}")
+        made = self._fs.create(beside, False)
+        try:
+            made.write(bytearray(text.encode()))
+        finally:
+            made.close()
+        self._fs.mkdirs(at.getParent())
+        if self._fs.getScheme() == "file":
+            try:
+                os.link(beside.toUri().getPath(), at.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                self._fs.delete(beside, False)
+        if self._fs.exists(at) or not self._fs.rename(beside, at):
+            self._fs.delete(beside, False)
+            return False
+        return True
+
 
 _passing: list[list[str]] = []
 
