@@ -24,13 +24,19 @@ from tidemark.llm.batches import map_column
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select"}
 #: Elements set aside with all they hold.
 ASIDE = {
-    "nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "figcaption", "label", "fieldset",
+    "nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset",
     "input", "option", "optgroup", "datalist", "canvas", "audio", "video", "map", "applet", "embed", "frameset",
 }
+#: Elements that hold text of their own kind. In the article they stay, however short, unless they are lists of links.
+HOLDING = {"p", "td", "th", "li", "dt", "dd", "pre", "blockquote", "figcaption", "caption", "summary", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Words that an element's id, class or role begins or ends with, and that make it weigh little, whatever the others are,
+#: but for those that say that something is there, or is not.
+STRONG_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "comment", "comments", "responses", "cookie", "cookies", "newsletter"}
+DENYING_NAMES = {"has", "no", "with", "without", "not", "is", "non", "hide", "layout", "view", "paper"}
 #: Words in an element's id, class or role that make it weigh little. A name counts if it has no word but these and PLAIN_NAMES.
-ASIDE_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "comment", "comments", "replies", "discussion",
-    "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "nav", "navbar",
+ASIDE_NAMES = STRONG_NAMES | {
+    "banner", "replies", "discussion", "reactions", "feedback",
+    "consent", "notice", "notices", "alert", "popup", "modal", "subscribe", "signup", "login", "nav", "navbar",
     "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "widget", "related", "recommended", "footer", "header", "masthead", "share",
     "social", "search", "pagination", "toc",
 }
@@ -41,6 +47,10 @@ PLAIN_NAMES = {
 }
 #: The share of its score that a path keeps: inside an element so named, outside the article, and as a path of links only.
 NAMED, OUTSIDE, LINKS = 0.05, 0.1, 0.05
+#: An article frames the page if it has this share of the weighed text, or so many characters and a smaller share.
+FRAME_SHARE, FRAME_CHARS, FRAME_LEAST = 0.3, 100, 0.05
+#: From this share of linked text on, a path in the article is one of links and is not kept for its kind.
+LINK_LIST = 0.8
 #: Elements that never have content of their own.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements inside a line: they neither begin nor end a block.
@@ -64,15 +74,16 @@ _WORDS = re.compile(r"[a-z]+")
 _closing = cache(lambda name: re.compile(rf"</{name}\s*[^>]*>", re.I))
 _PUNCTUATION = re.compile(r"[,.;:!?，。；：！？、]")
 _SPACE = re.compile(r"\s+")
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
 
 class Node:
     """A block of text: the number of its tag path, its parts, and the innermost element of each kind that it lies in."""
 
-    __slots__ = ("aside", "heading", "linked", "link_parts", "main", "parts", "path", "text", "weight")
+    __slots__ = ("aside", "heading", "holding", "linked", "link_parts", "main", "parts", "path", "text", "weight")
 
-    def __init__(self, path: int, aside: int, main: int, heading: bool) -> None:
-        self.path, self.aside, self.main, self.heading = path, aside, main, heading
+    def __init__(self, path: int, aside: int, main: int, heading: bool, holding: bool) -> None:
+        self.path, self.aside, self.main, self.heading, self.holding = path, aside, main, heading, holding
         self.parts, self.link_parts, self.linked, self.text, self.weight = [], [], 0, "", 1.0
 
     def close(self) -> bool:
@@ -85,9 +96,12 @@ class Node:
 def _named(tag: str) -> bool:
     """Whether an element's id, class or role says that it holds something else than the article."""
     for named in " ".join(m.strip("\"'") for m in _MARKS.findall(tag)).split():
-        words = set(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower()))
+        listed = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())
+        words = set(listed)
         if words & ASIDE_NAMES and words <= ASIDE_NAMES | PLAIN_NAMES:
             return True
+        if listed and not words & DENYING_NAMES and (listed[0] in STRONG_NAMES or listed[-1] in STRONG_NAMES):
+            return True
     return False
 
 
@@ -195,7 +209,7 @@ def blocks(page: str) -> list[Node]:
         if node is None:
             if raw.isspace() or inner.hidden:
                 return
-            node = Node(inner.path, inner.aside, inner.main, inner.heading)
+            node = Node(inner.path, inner.aside, inner.main, inner.heading, stack.held[stack.blocks[-1]].name in HOLDING)
             found.append(node)
         node.parts.append(raw)
         if stack.last("a"):
@@ -280,11 +294,13 @@ def _smooth(values: np.ndarray) -> np.ndarray:
 def content(page: str | None, keep: float = 0.25) -> list[str]:
     """The content blocks of a page.
 
-    A path's ratios are its text, outside links, and its punctuation for each of its nodes; both are smoothed
+    A path's ratios are its text and its punctuation for each of its nodes; both are smoothed
     along the page and fused. A path is content if that score, by the path's weight, is at least ``keep`` of
-    the mean over the page's text. Without an article a path's own ratios count as much as the smoothed ones. What is named like something else than an article, and what lies
-    outside the ``article`` or ``main`` that holds most of the text, weighs little; only elements such as
-    menus weigh nothing. Headings before the last content block go with it.
+    the mean over the page's text. What is named like something else than an article, and what lies outside the
+    ``article`` or ``main`` that holds the text, weighs little; elements such as menus weigh nothing. In the article
+    the ratios decide on what lies in ``div`` and the like, and on lists of links; paragraphs, cells, items, captions,
+    quotations and code stay. Without an article a path's own ratios count as much as the smoothed ones, links and lines of
+    rights weigh little, and headings before the last content block go with it.
     """
     nodes = [n for n in blocks(page or "") if n.weight > 0]
     if not nodes:
@@ -296,13 +312,16 @@ def content(page: str | None, keep: float = 0.25) -> list[str]:
     marks = np.array([len(_PUNCTUATION.findall(n.text)) for n in nodes], float)
     weight = np.array([n.weight for n in nodes])
     within = np.array([bool(n.main) for n in nodes])
-    framed = (length * weight)[within].sum() > 0.3 * (length * weight).sum()
+    weighed, inner = length * weight, (length * weight)[within].sum()
+    framed = inner > FRAME_SHARE * weighed.sum() or (inner >= FRAME_CHARS and inner > FRAME_LEAST * weighed.sum())
+    share = (np.bincount(which, linked) / np.bincount(which, length))[which]
     if framed:
+        sheltered = within & (weight == 1.0) & np.array([n.holding for n in nodes]) & (share < LINK_LIST)
         weight = weight * np.where(within, 1.0, OUTSIDE)
     else:
+        sheltered = np.zeros(len(nodes), bool)
         # links lead elsewhere where no article says that they are part of it
-        share = np.bincount(which, linked) / np.bincount(which, length)
-        weight = weight * np.maximum(1.0 - share, LINKS)[which]
+        weight = weight * np.maximum(1.0 - share, LINKS) * np.where([_RIGHTS.match(n.text) is not None for n in nodes], NAMED, 1.0)
     per_path = np.bincount(which)
     text_ratio, mark_ratio = (np.bincount(which, length) / per_path)[which], (np.bincount(which, marks) / per_path)[which]
     fused = _smooth(text_ratio) * (1.0 + _smooth(mark_ratio))
@@ -313,6 +332,7 @@ def content(page: str | None, keep: float = 0.25) -> list[str]:
     good = path_score >= keep * float((fused * length).sum() / length.sum())
     if not good.any():
         good = path_score >= path_score.max()
+    good[which[sheltered]] = True
     first, last = np.flatnonzero(good[which])[[0, -1]]
     chosen = weight >= weight[good[which]].min()
     led = np.array([n.heading for n in nodes]) & chosen & (np.arange(len(nodes)) < last)
