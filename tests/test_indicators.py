@@ -50,6 +50,30 @@ def test_series_match_pandas(spark, bars):
     np.testing.assert_allclose(found.astype(float), want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("block", [2, 128])
+def test_series_of_many_blocks_parts_and_tickers(spark, monkeypatch, block):
+    """A ticker with nearly all rows lies in several parts; others, one without a value, follow each other in one."""
+    monkeypatch.setattr(indicators, "EWM_BLOCK", block)
+    dice = np.random.default_rng(block)
+    rows, days = [], pd.date_range("2000-01-01", periods=2000)
+    for ticker, n, holes in (("A", 3, 0.0), ("B", 2000, 0.3), ("C", 60, 0.9), ("D", 40, 1.0), ("E", 400, 0.0)):
+        rows += [(ticker, d.date(), None if dice.random() < holes else float(x)) for d, x in zip(days[:n], dice.random(n) * 100, strict=True)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = indicators.ewm_series(spark.createDataFrame(rows, "ticker string, date date, x double"), "y", 2.0 / 22, 21)
+        assert "Python" not in found._jdf.queryExecution().toString()
+        found = found.toPandas().sort_values(["ticker", "date"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    given = pd.DataFrame(rows, columns=["ticker", "date", "x"])
+    want = given.groupby("ticker")["x"].transform(lambda x: x.astype(float).ewm(alpha=2 / 22, adjust=False, min_periods=21).mean())
+    assert len(found) == len(given)
+    np.testing.assert_allclose(found["y"].astype(float), want, rtol=1e-11)
+
+
 def test_constant_range(spark):
     flat = synthetic.walk(40).assign(close=100.0, high=101.0, low=99.0)
     found = indicators.atr_series(to_spark(spark, flat)).orderBy("date").toPandas()["atr_14"]

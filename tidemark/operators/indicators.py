@@ -2,24 +2,24 @@
 
 Series are window columns over one specification, so that one exchange and one sort serve them all.
 Exponential smoothing is recursive, which no window expresses: its last value is a fold over a
-ticker's sorted bars, its whole series a grouped pandas function. A ticker's history, a bar a day, is
-the most that either gathers.
+ticker's sorted bars (a ticker's history, a bar a day, is the most that it gathers), its whole series a
+composition of blocks of rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.stamps import finite
+from tidemark.operators.ranges import carried, in_order, with_carried
 
 #: Rows that each trailing return looks back, sessions of the averages, and the least history of a snapshot.
 LOOKBACKS = {"1w": 5, "1m": 21, "3m": 63, "6m": 126, "1y": 252}
 AVERAGES = (20, 50, 200)
 LEAST_BARS, SLOPE_BARS = 30, 10
+#: Rows of a block of an exponential series, and blocks of a larger one.
+EWM_BLOCK = 128
 #: The fields of a snapshot after the ticker.
 SNAPSHOT_FIELDS = [
     "as_of_bar", "close", "n_bars", "atr_14", "atr_pct", "ema_21", "sma_20", "sma_20_slope", "sma_50", "sma_50_slope",
@@ -71,24 +71,72 @@ def slope(values: Column, lookback: int = SLOPE_BARS) -> Column:
     return finite(F.try_divide(last - before, before))
 
 
-def ewm_series(bars: DataFrame, out: str, value: Callable[[pd.DataFrame], pd.Series], alpha: float, least: int) -> DataFrame:
-    """(ticker, date, ``out``): the whole exponential series of each ticker."""
+def ewm_series(values: DataFrame, out: str, alpha: float, least: int) -> DataFrame:
+    """(ticker, date, ``out``): the whole exponential series of (ticker, date, x), null before ``least`` values.
+
+    A step is an affine map of the mean before it, and maps compose: those of a block of rows make one, those of
+    blocks make one of a larger block, and so on up to a ticker. Down again, each block learns the mean that it
+    begins with, and its rows theirs. Rows are sorted by ranges, so a ticker lies in as many parts as its length
+    asks for. Nulls keep the mean and let the weight of what came before decay.
+    """
+    rows = in_order(values.select("ticker", "date", "x"), [F.col("ticker"), F.col("date")], "ewm-order")
+    one, some = F.lit(1).cast("bigint"), F.col("x").isNotNull()
+    upto = Window.partitionBy("part", "ticker").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    rows = with_carried(rows.withColumn("n", F.row_number().over(upto)), carried(rows, ["ticker"], one, F.sum), ["ticker"])
+    rows = rows.withColumn("number", F.col("n") + F.coalesce("carry", F.lit(0))).drop("carry")
+    held = with_carried(rows, carried(rows, ["ticker"], some.cast("bigint"), F.sum), ["ticker"]).withColumnRenamed("carry", "seen_before")
+    held = with_carried(held, carried(rows, ["ticker"], F.when(some, F.col("number")), F.max), ["ticker"])
+    last = F.coalesce(F.max(F.when(some, F.col("number"))).over(before), F.col("carry"))
+    seen = F.coalesce(F.col("seen_before"), F.lit(0)) + F.count("x").over(upto)
+    held = held.withColumns({"gap": F.col("number") - last, "seen": seen})
+    kept = F.pow(F.lit(1 - alpha), F.col("gap"))
+    scale = F.when(~some, 1.0).when(F.col("gap").isNull(), 0.0).otherwise(kept / (kept + alpha))
+    shift = F.when(~some, 0.0).when(F.col("gap").isNull(), F.col("x")).otherwise(alpha * F.col("x") / (kept + alpha))
+    blocks = {f"b{i}": F.floor((F.col("n") - 1) / EWM_BLOCK**i) for i in (2, 1)}
+    held = held.withColumns(blocks).select("part", "ticker", "b2", "b1", "at", "date", "seen", scale.alias("scale"), shift.alias("shift"))
+    keys = ["ticker", "part", "b2", "b1"]
+    levels = [_folded(held, keys, "at", F.struct("at", "scale", "shift", "date", "seen"))]
+    for depth in (3, 2, 1):
+        levels.append(_folded(levels[-1], keys[:depth], keys[depth], F.struct(keys[depth], "scale", "shift")))
+    found = levels[-1].select("ticker", "maps", F.lit(0.0).alias("mean"))
+    for depth, below in ((1, levels[2]), (2, levels[1]), (3, levels[0])):
+        begun = found.select(*keys[:depth], F.inline(_means(F.col("maps"), F.col("mean"), keys[depth]))).select(*keys[:depth], keys[depth], "mean")
+        found = below.join(begun, keys[: depth + 1])
+    series = found.select("ticker", F.inline(_means(F.col("maps"), F.col("mean"), "date", "seen", after=True)))
+    return series.select("ticker", "date", F.when(F.col("seen") >= least, F.col("mean")).alias(out))
+
+
+def _folded(rows: DataFrame, keys: list[str], order: str, one: Column) -> DataFrame:
+    """A row a key: its maps in order, and the map that they make together."""
+    maps = F.array_sort(F.collect_list(one))
+    whole = F.aggregate(
+        "maps",
+        F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift")),
+        lambda s, m: F.struct((s["scale"] * m["scale"]).alias("scale"), (s["shift"] * m["scale"] + m["shift"]).alias("shift")),
+    )
+    return rows.groupBy(*keys).agg(maps.alias("maps")).withColumn("whole", whole).select(*keys, "maps", "whole.scale", "whole.shift")
+
+
+def _means(maps: Column, mean: Column, *kept: str, after: bool = False) -> Column:
+    """An array of (``kept``, mean): the mean before each map, or after it, if the first one finds ``mean``."""
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        smooth = value(rows).ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-        return pd.DataFrame({"ticker": rows["ticker"], "date": rows["date"], out: smooth})
+    def step(s: Column, m: Column) -> Column:
+        now = s["mean"] * m["scale"] + m["shift"]
+        one = F.struct(*[m[c].alias(c) for c in kept], (now if after else s["mean"]).alias("mean"))
+        return F.struct(now.alias("mean"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    return bars.groupBy("ticker").applyInPandas(work, f"ticker string, date date, {out} double")
+    none = F.transform(F.slice(maps, 1, 0), lambda m: F.struct(*[m[c].alias(c) for c in kept], m["shift"].alias("mean")))
+    return F.aggregate(maps, F.struct(mean.alias("mean"), none.alias("out")), step, lambda s: s["out"])
 
 
 def ema_series(bars: DataFrame, n: int) -> DataFrame:
-    return ewm_series(bars.select("ticker", "date", "close"), f"ema_{n}", lambda r: r["close"], 2.0 / (n + 1), n)
+    close = F.nanvl(F.col("close"), F.lit(None).cast("double"))
+    return ewm_series(bars.select("ticker", "date", close.alias("x")), f"ema_{n}", 2.0 / (n + 1), n)
 
 
 def atr_series(bars: DataFrame, n: int = 14) -> DataFrame:
-    ranged = bars.select("ticker", "date", true_range().alias("tr"))
-    return ewm_series(ranged, f"atr_{n}", lambda r: r["tr"], 1.0 / n, n)
+    return ewm_series(bars.select("ticker", "date", true_range().alias("x")), f"atr_{n}", 1.0 / n, n)
 
 
 def too_short(bars: DataFrame) -> DataFrame:
