@@ -102,8 +102,8 @@ def hidden_failures(failures: DataFrame, stages: DataFrame) -> DataFrame:
     return found.select(F.concat(F.lit("agent failure(s) "), "names", F.lit(" but no stage is marked failed")).alias("problem"))
 
 
-def misfiled_research(research: DataFrame, as_of: Column) -> DataFrame:
-    """Outputs that name another ticker than they are filed under, or another session than the run's."""
+def misfiled_research(research: DataFrame, as_of: Column, *kept: str) -> DataFrame:
+    """Outputs that name another ticker than they are filed under, or another session than the run's, with ``kept`` columns."""
     v = one_json(F.col("data"))
     said, stamp = F.try_variant_get(v, "$.ticker", "string"), F.coalesce(F.try_variant_get(v, "$.as_of", "string"), F.lit(""))
     agent = F.coalesce(F.try_variant_get(v, "$.agent", "string"), F.lit("?"))
@@ -111,7 +111,7 @@ def misfiled_research(research: DataFrame, as_of: Column) -> DataFrame:
     same, day = session_day(as_of_instant(stamp)) == run, F.coalesce(run.cast("string"), F.lit("None"))
     wrong = F.when(~said.eqNullSafe(F.col("ticker")), F.concat(agent, F.lit(" output filed under "), "ticker", F.lit(" names "), F.coalesce(said, F.lit("nothing"))))
     other = F.when(~F.coalesce(same, F.lit(False)), F.concat(agent, F.lit("["), "ticker", F.lit("] is stamped '"), stamp, F.lit("', not session "), day))
-    return research.select(F.explode(F.array_compact(F.array(wrong, other))).alias("problem"))
+    return research.select(*kept, F.explode(F.array_compact(F.array(wrong, other))).alias("problem"))
 
 
 def impossible_usage(usage: DataFrame) -> DataFrame:

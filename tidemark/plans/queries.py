@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import jsontext, stamps
-from tidemark.operators import asof, indicators, manifest, rules
+from tidemark.operators import asof, indicators, manifest, records, rules
 from tidemark.operators import calls as external
 from tidemark.operators.calendar import CLOSED, NYSE
 from tidemark.plans import cycle, views
@@ -480,6 +480,67 @@ def cross_check_violations(spark, sf_dir):
     return _parts(spark, sf_dir).problems("2026-09-14T16:30:00-04:00")
 
 
+_RUNS = """e AS (SELECT *, CAST(ts AS DATE) AS day, event_type || ' ' || CAST(CAST(ts AS DATE) AS VARCHAR) AS run, 'U' || user_id AS ticker FROM events),
+    pair AS (SELECT run, ticker, user_id, any_value(day) AS day, any_value(event_type) AS agent, max(value) AS top FROM e GROUP BY ALL),
+    gap AS (SELECT run, ticker FROM pair WHERE user_id % 8 = 0),
+    miss AS (
+        SELECT run, ticker, 'ticker_meta[' || ticker || '].sector is empty but @B' AS problem FROM pair WHERE user_id % 4 = 0 AND user_id % 8 <> 0
+        UNION ALL SELECT run, ticker, ticker || ' has no summary and no data gap saying why' FROM pair WHERE top <= 50),
+    stage AS (SELECT run, user_id % 3 AS r, bool_or(value > 98) AS failed FROM e GROUP BY ALL),
+    told AS (
+        SELECT run, problem FROM miss
+        UNION ALL SELECT run, 'stage stage-2 has no note' FROM stage WHERE r = 2
+        UNION ALL SELECT run, 'agent failure(s) ' || string_agg(n, ', ' ORDER BY n) || ' but no stage is marked failed'
+            FROM (SELECT DISTINCT run, event_type || '[' || ticker || ']' AS n FROM e WHERE value > 95) WHERE run NOT IN (SELECT run FROM stage WHERE failed) GROUP BY run
+        UNION ALL SELECT run, 'usage[' || agent || ']: more cached calls than calls' FROM (
+            SELECT run, any_value(event_type) AS agent, count(*) AS n, 2 * count(*) FILTER (WHERE event_id % 2 = 0) AS cached FROM e GROUP BY run) WHERE cached > n
+        UNION ALL SELECT run, agent || ' output filed under ' || ticker || ' names U0' FROM pair WHERE user_id % 10 = 5)""".replace("@B", manifest.BLANK)
+
+
+@query(f"""WITH {_RUNS}, said AS (SELECT run, string_agg(problem, '|' ORDER BY problem) AS problems FROM told GROUP BY run),
+    gaps AS (SELECT run, count(*) AS n FROM (SELECT run FROM gap UNION ALL SELECT run FROM miss) GROUP BY run)
+    SELECT run, coalesce(problems, '') AS problems, coalesce(n, 0) AS n_gaps, (SELECT count(*) FROM pair p WHERE p.run = r.run) AS n_meta,
+           (SELECT count(*) FROM pair p WHERE p.run = r.run AND top > 50) AS n_summaries, (SELECT count(*) FROM e WHERE e.run = r.run AND value > 95) AS n_failures,
+           (SELECT count(*) FROM pair p WHERE p.run = r.run AND user_id % 5 = 0) AS n_research, replace(split_part(run, ' ', 2), ' ', '') || '-morning' AS run_id
+    FROM (SELECT DISTINCT run FROM e) r LEFT JOIN said USING (run) LEFT JOIN gaps USING (run)""")
+def run_records(spark, sf_dir):
+    """A record for each event type and day: what its document holds, read back from it, and what is wrong with it."""
+    day, who = F.col("ts").cast("date").cast("string"), F.concat(F.lit("U"), F.col("user_id").cast("string"))
+    events = views.table(spark, sf_dir, "events").withColumns({"day": day, "run": F.concat("event_type", F.lit(" "), day), "ticker": who})
+    pair = events.groupBy("run", "ticker", F.col("user_id").alias("seq")).agg(F.first("event_type").alias("agent"), F.first("day").alias("day"), F.max("value").alias("last"), F.count("*").alias("n"))
+    runs = events.select("run", F.lit("morning").alias("run_type"), F.lit("live").alias("backend"), F.col("day").alias("date"), F.concat("day", F.lit("T16:30:00")).alias("as_of")).distinct()
+    named = F.when(F.col("seq") % 10 == 5, "U0").otherwise(F.col("ticker"))
+    data = F.to_json(F.struct("agent", named.alias("ticker"), F.col("day").alias("as_of")))
+    third = F.col("user_id") % 3
+    cost = F.round(F.sum("value"), 2)
+    found = records.documents(
+        runs,
+        meta=pair.select("run", "ticker", "seq", F.when(F.col("seq") % 4 != 0, F.col("agent")).alias("sector"), "last"),
+        summaries=pair.where(F.col("last") > 50).select("run", "ticker", F.to_json(F.struct("n")).alias("summary")),
+        gaps=pair.where(F.col("seq") % 8 == 0).select("run", "ticker", "seq", F.lit("sector").alias("field"), F.lit("told").alias("detail")),
+        failures=events.where(F.col("value") > 95).select("run", F.col("event_id").alias("seq"), F.col("event_type").alias("agent"), "ticker", F.lit("schema").alias("stage"), F.lit("no").alias("error")),
+        research=pair.where(F.col("seq") % 5 == 0).select("run", "ticker", "seq", data.alias("data")),
+        usage=events.groupBy("run", F.col("event_type").alias("agent")).agg(
+            F.lit("m").alias("model"), F.lit("live").alias("backend"), F.count("*").alias("calls"), (2 * F.count_if(F.col("event_id") % 2 == 0)).alias("cached_calls"),
+            F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"), cost.alias("cost_usd"), cost.alias("spent_usd"),
+        ),
+        stages=events.groupBy("run", third.alias("seq")).agg(
+            F.concat(F.lit("stage-"), F.first(third).cast("string")).alias("stage"), F.when(F.max("value") > 98, "failed").otherwise("ran").alias("status"),
+            F.when(F.first(third) == 2, " ").otherwise("done").alias("note"),
+        ),
+    )
+    v = F.parse_json("document")
+
+    def size(part: str, kind: str) -> Column:
+        held = F.variant_get(v, f"$.{part}", f"{kind}variant>")
+        return F.size(F.map_keys(held) if kind.startswith("map") else held).cast("bigint")
+
+    sizes = {"n_gaps": ("data_gaps", "array<"), "n_meta": ("ticker_meta", "map<string,"), "n_summaries": ("summaries", "map<string,"), "n_failures": ("agent_failures", "array<"), "n_research": ("research", "map<string,")}
+    return found.select(
+        "run", F.array_join("problems", "|").alias("problems"), *[size(*of).alias(name) for name, of in sizes.items()], F.variant_get(v, "$.run_id", "string").alias("run_id")
+    )
+
+
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS ticker FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""")
 def missing_source_gaps(spark, sf_dir):
     asked = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ticker"))
