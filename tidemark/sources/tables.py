@@ -40,6 +40,9 @@ class Folder:
         """The folder's whole path, without the file system's name."""
         return self._fs.makeQualified(self._paths(self.path)).toUri().getPath()
 
+    def make(self) -> None:
+        self._fs.mkdirs(self._paths(self.path))
+
     def names(self, below: str = "") -> list[str]:
         """What lies in the folder, or in one below it; nothing if there is no such folder."""
         at = self._paths(f"{self.path}/{below}" if below else self.path)
@@ -117,14 +120,12 @@ def remove_tables(spark: SparkSession, paths: list[str]) -> None:
         Folder(spark, path).remove("")
 
 
-def stored(df: DataFrame, name: str, into: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
-    """``df`` written as Parquet below ``shared_dir`` and read back: computed once, lineage cut. ``by`` names
-    columns that get folders of their own.
+def passing_path(spark: SparkSession, name: str, into: list[str] | None = None) -> str:
+    """A path below ``shared_dir`` for what is not to stay.
 
-    The table is removed when the driver's JVM ends, or with the innermost ``passing_tables``, unless ``into`` is
-    given: a list that gets its path.
+    It is removed when the driver's JVM ends, or with the innermost ``passing_tables``, unless ``into`` is
+    given: a list that gets it.
     """
-    spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
@@ -132,8 +133,16 @@ def stored(df: DataFrame, name: str, into: list[str] | None = None, by: list[str
         into.append(path)
     elif _passing:
         _passing[-1].append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, into: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """``df`` written as Parquet to a ``passing_path`` and read back: computed once, lineage cut. ``by`` names
+    columns that get folders of their own.
+    """
+    path = passing_path(df.sparkSession, name, into)
     df.write.partitionBy(*by or []).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class AppendLog:
