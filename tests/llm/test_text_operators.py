@@ -482,7 +482,8 @@ def test_archives_round_trip(spark):
         assert r["payload"] is None if r["record_type"] == "revisit" else bytes(r["payload"]) == want
     kinds = sorted((str(r["record_key"]), r["record_type"], r["refers_to"]) for r in found)
     assert kinds == [("1", "revisit", "5"), ("2", "revisit", "5"), ("3", "response", None), ("4", "revisit", "6"), ("5", "response", None), ("5", "response", None), ("6", "response", None), ("None", "response", None)]
-    held = {r["bundle"]: bytes(r["content"]) for r in archive.collect()}
+    held = {r["bundle"]: bytes(r["content"]) for r in warc.bundle_files(spark, archive.folder).collect()}
+    assert {r["bundle"]: r["bytes"] for r in archive.bundles.collect()} == {name: len(content) for name, content in held.items()}
     for at in warc.locate(archive).collect():
         headers, _ = warc.read_record(held[at["bundle"]], at["frame"], at["offset"])
         assert headers["Record-Key"] == (at["record_id"] or "")
@@ -490,6 +491,26 @@ def test_archives_round_trip(spark):
     assert large.count() == 0 and warc.read_archive(warc.write_archive(rows.limit(0))).count() == 0
 
 
+def test_bundles_are_files_that_plain_tools_open(spark, tmp_path):
+    import io
+
+    import zstandard
+
+    rows = spark.createDataFrame([(i, f"u{i}", "x" * i) for i in range(50)], "page_id bigint, url string, html string").repartition(3)
+    folder = f"file://{tmp_path}/archive"
+    archive = warc.write_archive(rows, folder=folder)
+    (tmp_path / "archive" / "_writing-lost").mkdir()
+    (tmp_path / "archive" / "_writing-lost" / "half").write_bytes(b"junk")
+    names = sorted(p.name for p in (tmp_path / "archive").iterdir() if p.is_file() and not p.name.startswith("."))
+    assert names == sorted(r["bundle"] for r in archive.bundles.collect()) and len(names) == 3
+    keys = []
+    for name in names:
+        whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO((tmp_path / "archive" / name).read_bytes()), read_across_frames=True).read()
+        keys += [h["Record-Key"] for _, h, _ in warc.read_records(whole)]
+    assert sorted(map(int, keys)) == list(range(50)) and warc.read_archive(archive).count() == 50
+    assert warc.read_archive(warc.write_archive(rows, folder=folder)).count() == 50
+
+
 def test_a_damaged_bundle_is_refused():
     bundle = warc.Bundle()
     bundle.add(1, warc.write_record(1, "u", b"x", warc.payload_digest(b"x")))

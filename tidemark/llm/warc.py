@@ -4,8 +4,9 @@ A bundle is the concatenation of independent Zstandard frames, each a group of W
 footer in a skippable frame: the seek table, with every frame's compressed and plain size. A record
 is addressed by its bundle, its frame and its offset in the plain frame; only that frame is read for it.
 
-Bundles are rows of a table (bundle, content, index), written with Spark's commit protocol, so a task
-that is run again replaces its own bundles and nothing else.
+Bundles are files that plain tools open. A task writes its bundles beside the archive, under names of their own, and
+returns where; that table is written with Spark's commit protocol, and only what it names is moved into place,
+so a task that is run again, or twice at one time, leaves each record in one bundle.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import in_arrow, map_column
 from tidemark.llm.storage import small, stored
+from tidemark.sources.tables import Folder, passing_path
 
 #: Plain bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 16 << 20
@@ -33,6 +37,14 @@ DATE = "2000-01-01T00:00:00Z"
 _INDEX = "array<struct<record_id:string,frame:int,offset:bigint,length:bigint>>"
 
 
+@dataclass(frozen=True)
+class Archive:
+    """A folder of bundles, and a row for each: (bundle, bytes, index), index an array of record addresses."""
+
+    folder: str
+    bundles: DataFrame
+
+
 def payload_digest(payload: bytes) -> str:
     """Upper-case base32 of the SHA-1."""
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -172,13 +184,18 @@ def revisits(pages: DataFrame, min_bytes: int, record_id: str, payload: str) ->
 
 
 def write_archive(
-    pages: DataFrame, min_bytes: int = 0, record_id: str = "page_id", url: str = "url", payload: str = "html"
-) -> DataFrame:
-    """The stored archive of ``pages``: (bundle, content, index), index an array of record addresses.
+    pages: DataFrame, min_bytes: int = 0, record_id: str = "page_id", url: str = "url", payload: str = "html", folder: str | None = None
+) -> Archive:
+    """The archive of ``pages``: ``.warc.zst`` files in ``folder``, or in one that passes if none is given.
 
     Every row becomes one record; a null payload is empty, a null url an empty target. Line breaks in a
-    url become blanks in its header. Other columns are not archived. No rows give no bundles.
+    url become blanks in its header. Other columns are not archived. No rows give no bundles. The folder must
+    be one that the executors reach, of a file system that pyarrow opens; bundles in it stay, those of equal names are replaced.
     """
+    spark = pages.sparkSession
+    folder = (folder or passing_path(spark, "archive")).rstrip("/")
+    writing = f"{folder}/_writing-{uuid.uuid4().hex}"
+    Folder(spark, writing).make()
     rows = revisits(pages.select(record_id, url, payload), min_bytes, record_id, payload)
     rows = rows.select(
         F.col(record_id).alias("record_id"),
@@ -190,13 +207,18 @@ def write_archive(
     )
     out = pa.schema([
         ("bundle", pa.string()),
-        ("content", pa.binary()),
+        ("beside", pa.string()),
+        ("bytes", pa.int64()),
         ("index", pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))),
     ])
 
     def ended(bundle: Bundle, part: int, number: int) -> pa.RecordBatch:
         addresses = [dict(zip(("record_id", "frame", "offset", "length"), x, strict=True)) for x in bundle.index]
-        row = {"bundle": f"part-{part:06d}-{number:06d}.warc.zst", "content": bundle.finish(), "index": addresses}
+        content, beside = bundle.finish(), uuid.uuid4().hex
+        files, place = fs.FileSystem.from_uri(writing)
+        with files.open_output_stream(f"{place}/{beside}") as stream:
+            stream.write(content)
+        row = {"bundle": f"part-{part:06d}-{number:06d}.warc.zst", "beside": beside, "bytes": len(content), "index": addresses}
         return pa.RecordBatch.from_pylist([row], out)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +233,29 @@ def write_archive(
         if bundle.index:
             yield ended(bundle, part, number)
 
-    return stored(in_arrow(rows, work, f"bundle string, content binary, index {_INDEX}"), "archive")
+    written = stored(in_arrow(rows, work, f"bundle string, beside string, bytes bigint, index {_INDEX}"), "bundles")
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, place = fs.FileSystem.from_uri(writing)
+        for batch in batches:
+            for bundle, beside in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                if files.get_file_info(f"{place}/{beside}").type != fs.FileType.NotFound:  # else a run before this moved it
+                    files.move(f"{place}/{beside}", f"{place.rsplit('/', 1)[0]}/{bundle}")
+            yield batch
+
+    moved = in_arrow(written.select("bundle", "beside"), move, "bundle string, beside string")
+    moved.write.format("noop").mode("overwrite").save()
+    Folder(spark, writing).remove("")
+    return Archive(folder, written.drop("beside"))
+
+
+def bundle_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(bundle, content) of the bundles in a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    return files.select(F.substring_index("path", "/", -1).alias("bundle"), "content")
 
 
-def read_archive(archive: DataFrame) -> DataFrame:
+def read_archive(archive: Archive) -> DataFrame:
     """Every record of an archive: bundle, frame, offset, record_key, url, record_type, payload_digest,
     payload_bytes, refers_to, payload (null for revisits).
 
@@ -247,9 +288,9 @@ def read_archive(archive: DataFrame) -> DataFrame:
         "bundle string, frame int, offset bigint, record_key string, url string, record_type string, "
         "payload_digest string, payload_bytes bigint, refers_to string, payload binary"
     )
-    return in_arrow(archive.select("bundle", "content"), work, schema)
+    return in_arrow(bundle_files(archive.bundles.sparkSession, archive.folder), work, schema)
 
 
-def locate(archive: DataFrame) -> DataFrame:
+def locate(archive: Archive) -> DataFrame:
     """The archive's index: record_id -> bundle, frame, offset, length."""
-    return archive.select("bundle", F.explode("index").alias("r")).select("r.record_id", "bundle", "r.frame", "r.offset", "r.length")
+    return archive.bundles.select("bundle", F.explode("index").alias("r")).select("r.record_id", "bundle", "r.frame", "r.offset", "r.length")
