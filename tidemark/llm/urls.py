@@ -7,6 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import fresh
 from tidemark.llm.storage import small, stored
 
 #: Hex digits of the digest that the equi-join uses; the rest is confirmed afterwards.
@@ -43,9 +44,9 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     Only expressions that some rule could equal are made: as many labels as the deepest rule host,
     path prefixes of lengths that rules have. The join is an equi-join on a hash prefix; the full
-    digest is compared after it. Rules are broadcast only if counted small.
+    digest is compared after it. Hosts and paths are judged once each, and apart from the rows that have them; rules,
+    and hosts and paths that a rule fits, are broadcast only if counted small.
     """
-    spark = urls.sparkSession
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     known = stored(
         rules.where(F.col("host").isNotNull() & (F.col("host") != ""))
@@ -73,33 +74,21 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
     )
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
+    judged = urls.select(url_host(F.col(url)).alias("u_host"), url_path(F.col(url)).alias("u_path")).distinct()
     rows = (
-        urls.select(
-            F.struct(*[F.col(f"`{c}`") for c in kept]).alias("u_row"),
-            F.monotonically_increasing_id().alias("u_key"),
-            url_host(F.col(url)).alias("u_host"),
-            url_path(F.col(url)).alias("u_path"),
-        )
-        .withColumn("u_text", F.explode_outer(expressions))
+        judged.withColumn("u_text", F.explode(expressions))
         .withColumn("u_digest", F.sha2("u_text", 256))
         .withColumn("u_prefix", F.substring("u_digest", 1, PREFIX_DIGITS))
     )
-    fits = F.col("u_digest") == F.col("r_digest")
     order = F.struct(F.length("r_rule"), F.length("r_host"))
-    return (
-        rows.join(small(known), F.col("u_prefix") == F.col("r_prefix"), "left")
-        .groupBy("u_key")
-        .agg(
-            F.first("u_row").alias("u_row"),
-            F.first("u_host").alias("host"),
-            F.first("u_path").alias("path"),
-            F.max_by(F.when(fits, F.struct("r_rule", "r_verdict")), F.when(fits, order)).alias("won"),
-        )
-        .select(
-            "u_row.*",
-            "host",
-            "path",
-            F.col("won.r_rule").alias("rule"),
-            F.coalesce("won.r_verdict", F.lit(default)).alias("verdict"),
-        )
+    won = (
+        rows.join(small(known), F.col("u_prefix") == F.col("r_prefix"))
+        .where(F.col("u_digest") == F.col("r_digest"))
+        .groupBy("u_host", "u_path")
+        .agg(F.max_by(F.struct("r_rule", "r_verdict"), order).alias("won"))
     )
+    of_host, of_path, rule, verdict = (fresh(kept, n) for n in ("won_host", "won_path", "won_rule", "won_verdict"))
+    won = stored(won.select(F.col("u_host").alias(of_host), F.col("u_path").alias(of_path), F.col("won.r_rule").alias(rule), F.col("won.r_verdict").alias(verdict)), "url-verdicts")
+    each = urls.select(*[F.col(f"`{c}`") for c in kept], url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    met = each.join(small(won), (F.col("host") == F.col(of_host)) & (F.col("path") == F.col(of_path)), "left")
+    return met.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col(rule).alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict"))
