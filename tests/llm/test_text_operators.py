@@ -607,3 +607,12 @@ def test_arrow_batches_are_bounded(spark):
     rows = spark.range(0, 4_000, 1, 1).select(F.repeat(F.lit("x"), F.when(F.col("id") < 2_000, 10).otherwise(40_000)).alias("text"))
     found = in_arrow(rows, sizes, "n bigint, size bigint").agg(F.max("n"), F.max("size"), F.sum("n")).first()
     assert found[0] <= 1_000 and found[1] < 5 << 20 and found[2] == 4_000
+
+
+def test_near_words_are_counted_once_in_repeated_rows_and_their_places_are_not_broadcast(spark):
+    """Equal rows counted each word twice, and what was spread over words and places could go through the driver."""
+    bench = spark.createDataFrame([(1, "apple pear apple")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "apple pear plum fig date lime")] * 2 + [(2, "pear apple apple fig")], "doc_id long, text string")
+    found = decontam.near_items(docs, bench)
+    assert [tuple(r) for r in found.collect()] in ([(2, 1, 1)], [(2, 1, 2)])
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()

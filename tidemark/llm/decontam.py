@@ -130,28 +130,34 @@ def find_near(index: DataFrame, ranked: DataFrame, slop: int) -> DataFrame:
     word that the phrase has twice must be there twice.
 
     The lists of the rarest and of the next rarest different term are met in blocks of a span's length;
-    the other lists are read only around what is left, at most two spans about each occurrence.
+    the other lists are read only around what is left, at most two spans about each occurrence, which takes up to
+    three blocks of the longest span. An occurrence carries no words of its phrase, and no side of a join whose rows
+    have become more than its files tell is broadcast.
     """
     terms = F.array_distinct(F.transform("ranked", lambda r: r["term"]))
     needs = F.transform(terms, lambda t: F.struct(t.alias("term"), F.size(F.filter("ranked", lambda r: r["term"] == t)).alias("times")))
     asked = stored(ranked.select("phrase", "item", (F.col("n") + slop).alias("span"), needs.alias("needs")), "near-phrases")
-    rare = asked.select("phrase", "item", "span", "needs", F.col("needs")[0]["term"].alias("term"))
-    anchors = index.join(small(stored(rare, "near-rarest")), "term").select("doc", "mark", "phrase", "item", "span", "needs", "pos")
+    width = asked.agg(F.max("span")).first()[0] or 1
+    rare = asked.select("phrase", "item", "span", (F.size("needs") > 1).alias("more"), F.col("needs")[0]["term"].alias("term"))
+    anchors = index.join(small(stored(rare, "near-rarest")), "term").select("doc", "mark", "phrase", "item", "span", "more", "pos")
     second = stored(asked.where(F.size("needs") > 1).select("phrase", "span", F.col("needs")[1]["term"].alias("term")), "near-second")
     block = F.floor(F.col("pos") / F.col("span"))
     beside = index.join(small(second), "term").select("doc", "mark", "phrase", F.explode(F.sequence(block - 1, block + 1)).alias("block")).distinct()
-    pairs = anchors.where(F.size("needs") > 1).withColumn("block", block)
+    pairs = anchors.where("more").withColumn("block", block)
     pairs = _met_far(pairs, beside, ["doc", "mark", "phrase", "block"]).drop("block")
-    anchors = stored(pairs.unionByName(anchors.where(F.size("needs") == 1)), "near-anchors")
-    at = F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("span") + 1), F.col("pos") + F.col("span") - 1)
-    wanted = anchors.select("doc", "mark", "phrase", F.col("pos").alias("anchor"), F.explode(F.col("needs.term")).alias("term"), at.alias("at"))
-    wanted = wanted.select("doc", "mark", "phrase", "anchor", "term", F.explode("at").alias("pos"))
+    anchors = stored(pairs.unionByName(anchors.where(~F.col("more"))).drop("more").distinct(), "near-anchors")
+    first, last = F.greatest(F.lit(0), F.col("pos") - F.col("span") + 1), F.col("pos") + F.col("span") - 1
+    blocks = F.explode(F.sequence(F.floor(first / width), F.floor(last / width)))
+    wanted = anchors.select("doc", "mark", "phrase", "item", "span", F.col("pos").alias("anchor"), blocks.alias("block"))
     marks = stored(anchors.select("mark").distinct(), "near-marks")
-    around, met = _same(wanted, index.join(small(marks), "mark", "left_semi").select(*_PLACE).distinct(), _PLACE)
-    seen = wanted.join(around, met).groupBy("doc", "mark", "phrase", "anchor").agg(F.collect_list(F.struct("pos", "term")).alias("seen"))
-    held = anchors.withColumn("anchor", F.col("pos"))
-    seen, met = _same(held, seen, ["doc", "mark", "phrase", "anchor"])
-    full = held.join(seen, met)
+    words = stored(asked.select("phrase", F.explode("needs.term").alias("term")), "near-words")
+    kinds = stored(words.select("term").distinct(), "near-terms")
+    around = index.join(small(marks), "mark", "left_semi").join(small(kinds), "term", "left_semi").select(*_PLACE).distinct()
+    around, met = _same(wanted, around.withColumn("block", F.floor(F.col("pos") / width)), ["doc", "mark", "block"])
+    inside = F.abs(F.col("pos") - F.col("anchor")) < F.col("span")
+    seen = wanted.hint("merge").join(around, met).where(inside).join(small(words), ["phrase", "term"])
+    seen = seen.groupBy("doc", "mark", "phrase", "item", "span", F.col("anchor")).agg(F.collect_set(F.struct("pos", "term")).alias("seen"))
+    full = seen.withColumnRenamed("anchor", "pos").join(small(stored(asked.select("phrase", "needs"), "near-needs")), "phrase")
 
     def holds(first: Column) -> Column:
         def enough(need: Column) -> Column:
