@@ -147,3 +147,20 @@ def test_requests_that_ask_the_same_are_answered_once(spark):
     assert {tuple(r) for r in totals.groupBy(F.col("request_id") % 2, "n", "total").count().collect()} == {(0, 26, sum(range(974, 1000)) * 1.0, 20_000), (1, 1000, 499_500.0, 20_000)}
     few = asked.where("request_id < 4")
     assert asof.bars_for(bars, few).groupBy("request_id").count().orderBy("request_id").collect() == [(0, 26), (1, 1000), (2, 26), (3, 1000)]
+
+
+def test_stamps_of_payloads_are_read_once_for_the_sort(spark):
+    """A sort by range looks at its rows twice, for bounds and for the sort; both times every stamp was read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = spark.range(200).select(
+        F.lit("k").alias("kind"), F.lit("a").alias("key"), F.lit("2026-09-14").alias("as_of"), counted(F.col("id").cast("string")).alias("payload"),
+        as_of_instant(F.lit("2026-09-14")).alias("as_of_ts"), known_instant(F.lit("2026-09-14")).alias("fetched_at"),
+    )
+    asked = spark.createDataFrame([(1, "k", "a", None, None)], ASKED)
+    assert asof.payloads_for(rows, asked).count() == 1 and seen.value == 200
