@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import manifest, records, rules
 
 
@@ -49,3 +51,14 @@ def test_problems_are_told_of_the_run_that_has_them(spark):
     assert found["r1"] == sorted([*shared, "usage[z]: more cached calls than calls", "usage[z]: spent_usd exceeds cost_usd"])
     assert found["r2"] == sorted([*shared, "stage data reported twice", "stage data has no note", "agent failure(s) a[AAA], a[CCC] but no stage is marked failed",
         "a[AAA] is stamped '2026-09-14', not session 2026-09-15", "b[AAA] is stamped '2026-09-14', not session 2026-09-15"])
+
+
+def test_tickers_are_hashed_and_outputs_are_parsed_once(spark):
+    made = parts_of(spark, ["r1"])
+    facts = records.ticker_facts(made["meta"], made["summaries"], made["gaps"])
+    assert "SortAggregate" not in facts._jdf.queryExecution().executedPlan().toString()
+    assert {(r["ticker"], r["field"]) for r in records.missing(facts).collect()} == {('B"B', "sector"), ('B"B', "summary")}
+    found = manifest.misfiled_research(made["research"], F.lit("2026-09-15T16:30:00"), "run")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.lower().replace("_", "").count("parsejson") <= 3  # those of one ``one_json``
+    assert {r["problem"] for r in found.collect()} == {f"{a}[AAA] is stamped '2026-09-14', not session 2026-09-15" for a in "ab"}

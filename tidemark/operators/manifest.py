@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.jsontext import one_json
-from tidemark.functions.stamps import as_of_instant, session_day
+from tidemark.functions.stamps import as_of_instant, let, session_day
 from tidemark.operators import rules
 
 REPLAY_SUFFIX = "-dryrun"
@@ -104,14 +104,25 @@ def hidden_failures(failures: DataFrame, stages: DataFrame) -> DataFrame:
 
 def misfiled_research(research: DataFrame, as_of: Column, *kept: str) -> DataFrame:
     """Outputs that name another ticker than they are filed under, or another session than the run's, with ``kept`` columns."""
-    v = one_json(F.col("data"))
-    said, stamp = F.try_variant_get(v, "$.ticker", "string"), F.coalesce(F.try_variant_get(v, "$.as_of", "string"), F.lit(""))
-    agent = F.coalesce(F.try_variant_get(v, "$.agent", "string"), F.lit("?"))
-    run = session_day(as_of_instant(as_of))
-    same, day = session_day(as_of_instant(stamp)) == run, F.coalesce(run.cast("string"), F.lit("None"))
-    wrong = F.when(~said.eqNullSafe(F.col("ticker")), F.concat(agent, F.lit(" output filed under "), "ticker", F.lit(" names "), F.coalesce(said, F.lit("nothing"))))
-    other = F.when(~F.coalesce(same, F.lit(False)), F.concat(agent, F.lit("["), "ticker", F.lit("] is stamped '"), stamp, F.lit("', not session "), day))
-    return research.select(*kept, F.explode(F.array_compact(F.array(wrong, other))).alias("problem"))
+    return misfiled_on(research, session_day(as_of_instant(as_of)), *kept)
+
+
+def misfiled_on(research: DataFrame, run: Column, *kept: str) -> DataFrame:
+    """``misfiled_research`` of runs whose session day is ``run``. Each output is parsed, and its stamp read, once."""
+
+    def said(v: Column) -> Column:
+        stamp = F.coalesce(F.try_variant_get(v, "$.as_of", "string"), F.lit(""))
+        agent = F.coalesce(F.try_variant_get(v, "$.agent", "string"), F.lit("?"))
+        return F.struct(F.try_variant_get(v, "$.ticker", "string").alias("ticker"), stamp.alias("stamp"), agent.alias("agent"))
+
+    def problems(p: Column) -> Column:
+        same, day = session_day(as_of_instant(p["stamp"])) == run, F.coalesce(run.cast("string"), F.lit("None"))
+        names = F.concat(p["agent"], F.lit(" output filed under "), "ticker", F.lit(" names "), F.coalesce(p["ticker"], F.lit("nothing")))
+        wrong = F.when(~p["ticker"].eqNullSafe(F.col("ticker")), names)
+        stamped = F.concat(p["agent"], F.lit("["), "ticker", F.lit("] is stamped '"), p["stamp"], F.lit("', not session "), day)
+        return F.array_compact(F.array(wrong, F.when(~F.coalesce(same, F.lit(False)), stamped)))
+
+    return research.select(*kept, F.explode(let(let(one_json(F.col("data")), said), problems)).alias("problem"))
 
 
 def impossible_usage(usage: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """The records of many runs at once: parts with a ``run`` column in, a document and its problems a run out.
 
-All that concerns a ticker of a run meets in one row, which tells what is missing without a join; all parts of a run
-then meet in one row, a document. Two shuffles serve any number of runs, and nothing comes to the driver.
+All that concerns a ticker of a run meets in one row, which tells what is missing without a join; the elements of each
+part of a run then meet in one row, and the parts of a run in another, a document. Three shuffles serve any number of
+runs, and nothing comes to the driver.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.stamps import as_of_instant, session_day
 from tidemark.operators import manifest
 
 #: The parts of a document that are lists, with what their elements hold.
@@ -24,33 +26,41 @@ def _json(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def _quoted(column: str) -> Column:
+    """A text as JSON, which is an array of it without its brackets."""
+    listed = F.to_json(F.array(column))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def _listed(rows: DataFrame, part: str, order: Column) -> DataFrame:
     """Rows of a part as (run, part, key, seq, value): value is an element's JSON."""
     return rows.select("run", F.lit(part).alias("part"), F.lit("").alias("key"), order.alias("seq"), _json(*LISTS[part]).alias("value"))
 
 
 def ticker_facts(meta: DataFrame, summaries: DataFrame, gaps: DataFrame) -> DataFrame:
-    """A row a ticker of a run: (run, ticker, seq, sector, last, reported, summary, explained), explained the fields that gaps name."""
-    own = meta.select("run", "ticker", "seq", "sector", "last", F.lit(True).alias("reported"))
-    told = summaries.select("run", "ticker", "summary")
-    named = gaps.select("run", "ticker", "field")
-    every = own.unionByName(told, allowMissingColumns=True).unionByName(named, allowMissingColumns=True)
-    return every.groupBy("run", "ticker").agg(
-        *[F.max(c).alias(c) for c in ("seq", "sector", "last", "reported", "summary")], F.collect_set("field").alias("explained")
-    )
+    """A row a ticker of a run: (run, ticker, seq, reported, sector, summary), the last two true if it has them or a gap names them.
+
+    All but the keys are of fixed width, so that groups are hashed and not sorted.
+    """
+    def told(rows: DataFrame, reported: bool, sector: Column, summary: Column) -> DataFrame:
+        seq = F.col("seq") if reported else F.lit(None).cast("bigint")
+        return rows.select("run", "ticker", seq.alias("seq"), F.lit(reported).alias("reported"), sector.alias("sector"), summary.alias("summary"))
+
+    field, no = F.coalesce("field", F.lit("")), F.lit(False)
+    every = told(meta, True, F.coalesce("sector", F.lit("")) != "", no).unionByName(told(summaries, False, no, F.col("summary").isNotNull()))
+    every = every.unionByName(told(gaps, False, field == "sector", field == "summary"))
+    return every.groupBy("run", "ticker").agg(*[F.max(c).alias(c) for c in ("seq", "reported", "sector", "summary")])
 
 
 def missing(facts: DataFrame) -> DataFrame:
     """(run, ticker, seq, field, detail, problem): every reported ticker's fields that are empty for no stated reason."""
-    sector = (F.coalesce("sector", F.lit("")) == "") & ~F.array_contains("explained", "sector")
-    summary = F.col("summary").isNull() & ~F.array_contains("explained", "summary")
 
     def gap(wanted: Column, field: str, place: int, detail: str, problem: Column) -> Column:
         return F.when(wanted, F.struct((F.col("seq") * 2 + place).alias("seq"), F.lit(field).alias("field"), F.lit(detail).alias("detail"), problem.alias("problem")))
 
     blank = F.concat(F.lit("ticker_meta["), "ticker", F.lit(f"].sector is empty but {manifest.BLANK}"))
     silent = F.concat("ticker", F.lit(" has no summary and no data gap saying why"))
-    found = F.array_compact(F.array(gap(sector, "sector", 0, manifest.NO_SECTOR, blank), gap(summary, "summary", 1, manifest.NO_SUMMARY, silent)))
+    found = F.array_compact(F.array(gap(~F.col("sector"), "sector", 0, manifest.NO_SECTOR, blank), gap(~F.col("summary"), "summary", 1, manifest.NO_SUMMARY, silent)))
     return facts.where("reported").select("run", "ticker", F.explode(found).alias("gap")).select("run", "ticker", "gap.*")
 
 
@@ -66,12 +76,12 @@ def documents(
     lacking = missing(ticker_facts(meta, summaries, gaps))
     added = lacking.select("run", "ticker", "field", "detail", (F.col("seq") + (1 << 40)).alias("seq"))
     every_gap = gaps.select("run", "ticker", "field", "detail", "seq").unionByName(added)
-    outputs = research.groupBy("run", "ticker").agg(F.array_sort(F.collect_list(F.struct("seq", "data"))).alias("held"))
+    outputs = research.groupBy("run", "ticker").agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("held"))
     outputs = outputs.withColumn("value", F.concat(F.lit("["), F.array_join(F.transform("held", lambda h: h["data"]), ", "), F.lit("]")))
     by_ticker = [("research", outputs), ("summaries", summaries.select("run", "ticker", F.col("summary").alias("value"))), ("ticker_meta", meta.withColumn("value", F.when(F.col("last").isNull(), _json("sector")).otherwise(_json("sector", "last"))))]
     parts = [_listed(failures, "agent_failures", F.col("seq")), _listed(every_gap, "data_gaps", F.col("seq")), _listed(stages, "stages", F.col("seq"))]
     parts.append(_listed(usage.withColumn("seq", F.lit(0).cast("bigint")), "usage", F.col("seq")).withColumn("key", F.get_json_object("value", "$.agent")))
-    parts += [rows.select("run", F.lit(part).alias("part"), F.col("ticker").alias("key"), F.lit(0).cast("bigint").alias("seq"), F.concat(F.regexp_replace(F.to_json(F.array("ticker")), r"^\[|\]$", ""), F.lit(": "), "value").alias("value")) for part, rows in by_ticker]
+    parts += [rows.select("run", F.lit(part).alias("part"), F.col("ticker").alias("key"), F.lit(0).cast("bigint").alias("seq"), F.concat(_quoted("ticker"), F.lit(": "), "value").alias("value")) for part, rows in by_ticker]
     told = F.lit("problem")
     problems = [
         lacking.select("run", told.alias("part"), F.lit("").alias("key"), F.lit(0).cast("bigint").alias("seq"), F.col("problem").alias("value")),
@@ -80,11 +90,13 @@ def documents(
     whole = parts[0]
     for more in [*parts[1:], *problems]:
         whole = whole.unionByName(more)
-    met = whole.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "key", "value"))).alias("held"))
-    own = runs.join(met, "run", "left").withColumn("held", F.coalesce("held", F.array().cast("array<struct<part:string,seq:bigint,key:string,value:string>>")))
+    by_part = whole.groupBy("run", "part").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "value"))).alias("held"))
+    by_part = by_part.select("run", F.struct("part", F.col("held")["value"].alias("values")).alias("of"))
+    met = by_part.groupBy("run").agg(F.map_from_entries(F.collect_list("of")).alias("held"))
+    own = runs.join(met, "run", "left")
 
     def values(part: str) -> Column:
-        return F.transform(F.filter("held", lambda h: h["part"] == part), lambda h: h["value"])
+        return F.coalesce(F.try_element_at("held", F.lit(part)), F.array().cast("array<string>"))
 
     def shown(part: str) -> Column:
         begin, end = "[]" if part in LISTS else "{}"
@@ -122,5 +134,5 @@ def _usage(usage: DataFrame) -> DataFrame:
 
 def _misfiled(research: DataFrame, runs: DataFrame) -> DataFrame:
     """Outputs filed under another ticker, or of another session than their run's."""
-    own = research.join(runs.select("run", F.col("as_of").alias("run_as_of")), "run")
-    return manifest.misfiled_research(own, F.col("run_as_of"), "run")
+    days = runs.select("run", session_day(as_of_instant(F.col("as_of"))).alias("run_day"))
+    return manifest.misfiled_on(research.join(days, "run"), F.col("run_day"), "run")

@@ -17,7 +17,7 @@ from tidemark.operators.calendar import CLOSED, NYSE
 from tidemark.plans import cycle, views
 from tidemark.sources import recorded
 from tidemark.sources.store import Store, current
-from tidemark.sources.tables import shared_dir
+from tidemark.sources.tables import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -511,8 +511,12 @@ def run_records(spark, sf_dir):
     """A record for each event type and day: what its document holds, read back from it, and what is wrong with it."""
     day, who = F.col("ts").cast("date").cast("string"), F.concat(F.lit("U"), F.col("user_id").cast("string"))
     events = views.table(spark, sf_dir, "events").withColumns({"day": day, "run": F.concat("event_type", F.lit(" "), day), "ticker": who})
-    pair = events.groupBy("run", "ticker", F.col("user_id").alias("seq")).agg(F.first("event_type").alias("agent"), F.first("day").alias("day"), F.max("value").alias("last"), F.count("*").alias("n"))
+    keys = ["run", "ticker", "user_id", "event_type", "day"]  # the last two say what the run does, and need no sort as keys
+    dealt = events.repartition(3 * spark.sparkContext.defaultParallelism, *keys)  # else few tasks make all the parts
+    pair = dealt.groupBy(*keys).agg(F.max("value").alias("last"), F.count("*").alias("n"))
+    pair = stored(pair.withColumnsRenamed({"user_id": "seq", "event_type": "agent"}), "record-pairs")
     runs = events.select("run", F.lit("morning").alias("run_type"), F.lit("live").alias("backend"), F.col("day").alias("date"), F.concat("day", F.lit("T16:30:00")).alias("as_of")).distinct()
+    runs = stored(runs, "record-runs")
     named = F.when(F.col("seq") % 10 == 5, "U0").otherwise(F.col("ticker"))
     data = F.to_json(F.struct("agent", named.alias("ticker"), F.col("day").alias("as_of")))
     third = F.col("user_id") % 3
@@ -524,25 +528,20 @@ def run_records(spark, sf_dir):
         gaps=pair.where(F.col("seq") % 8 == 0).select("run", "ticker", "seq", F.lit("sector").alias("field"), F.lit("told").alias("detail")),
         failures=events.where(F.col("value") > 95).select("run", F.col("event_id").alias("seq"), F.col("event_type").alias("agent"), "ticker", F.lit("schema").alias("stage"), F.lit("no").alias("error")),
         research=pair.where(F.col("seq") % 5 == 0).select("run", "ticker", "seq", data.alias("data")),
-        usage=events.groupBy("run", F.col("event_type").alias("agent")).agg(
+        usage=stored(events.groupBy("run", F.col("event_type").alias("agent")).agg(
             F.lit("m").alias("model"), F.lit("live").alias("backend"), F.count("*").alias("calls"), (2 * F.count_if(F.col("event_id") % 2 == 0)).alias("cached_calls"),
             F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"), cost.alias("cost_usd"), cost.alias("spent_usd"),
-        ),
-        stages=events.groupBy("run", third.alias("seq")).agg(
+        ), "record-usage"),
+        stages=stored(events.groupBy("run", third.alias("seq")).agg(
             F.concat(F.lit("stage-"), F.first(third).cast("string")).alias("stage"), F.when(F.max("value") > 98, "failed").otherwise("ran").alias("status"),
             F.when(F.first(third) == 2, " ").otherwise("done").alias("note"),
-        ),
+        ), "record-stages"),
     )
-    v = F.parse_json("document")
 
-    def size(part: str, kind: str) -> Column:
-        held = F.variant_get(v, f"$.{part}", f"{kind}variant>")
-        return F.size(F.map_keys(held) if kind.startswith("map") else held).cast("bigint")
-
-    sizes = {"n_gaps": ("data_gaps", "array<"), "n_meta": ("ticker_meta", "map<string,"), "n_summaries": ("summaries", "map<string,"), "n_failures": ("agent_failures", "array<"), "n_research": ("research", "map<string,")}
-    return found.select(
-        "run", F.array_join("problems", "|").alias("problems"), *[size(*of).alias(name) for name, of in sizes.items()], F.variant_get(v, "$.run_id", "string").alias("run_id")
-    )
+    sizes = {"n_gaps": ("data_gaps", "array<string>"), "n_meta": ("ticker_meta", "map<string, string>"), "n_summaries": ("summaries", "map<string, string>"), "n_failures": ("agent_failures", "array<string>"), "n_research": ("research", "map<string, string>")}
+    held = F.from_json("document", ", ".join(["run_id string", *[f"{part} {kind}" for part, kind in sizes.values()]]), {"mode": "FAILFAST"})
+    read = found.select("run", F.array_join("problems", "|").alias("problems"), F.inline(F.array(held)))  # a document is read once
+    return read.select("run", "problems", *[F.size(part).cast("bigint").alias(name) for name, (part, _) in sizes.items()], "run_id")
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS ticker FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""")
